@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import mixing, sharding
+from . import decontamination, mixing, sharding
 
 
 def queries() -> dict:
     return {
+        "op6_decontamination": decontamination.op6_decontamination,
         "op7_sharding": sharding.op7_sharding,
         "op8_mixing": mixing.op8_mixing,
     }
@@ -14,6 +15,7 @@ def queries() -> dict:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op6_decontamination": decontamination.SQL_DECONTAMINATION,
         "op7_sharding": sharding.SQL_SHARDING,
         "op8_mixing": mixing.SQL_MIXING,
     }
