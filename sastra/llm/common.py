@@ -86,10 +86,10 @@ _powers: dict[str, np.ndarray] = {}
 def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of the base and of its inverse modulo 2**64."""
     if len(_powers.get("up", ())) < n:
-        n = max(n, 1 << 20)
+        size = max(n, 1 << 20)
         inverse = np.uint64(pow(int(_BASE), -1, 1 << 64))
         for name, base in (("up", _BASE), ("down", inverse)):
-            x = np.full(n, base, np.uint64)
+            x = np.full(size, base, np.uint64)
             x[0] = 1
             _powers[name] = np.cumprod(x)
     return _powers["up"][:n], _powers["down"][:n]

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontamination, mixing, sharding
+from . import decontamination, mixing, sharding, toxicity
 
 
 def queries() -> dict:
@@ -10,6 +10,7 @@ def queries() -> dict:
         "op6_decontamination": decontamination.op6_decontamination,
         "op7_sharding": sharding.op7_sharding,
         "op8_mixing": mixing.op8_mixing,
+        "op9_toxicity": toxicity.op9_toxicity,
     }
 
 
