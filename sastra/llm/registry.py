@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import decontamination, mixing, sharding, toxicity
+from . import decontamination, language_id, mixing, sharding, toxicity
 
 
 def queries() -> dict:
     return {
+        "op2_language_id": language_id.op2_language_id,
         "op6_decontamination": decontamination.op6_decontamination,
         "op7_sharding": sharding.op7_sharding,
         "op8_mixing": mixing.op8_mixing,
