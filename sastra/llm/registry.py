@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import decontamination, language_id, mixing, sharding, toxicity
+from . import decontamination, language_id, mixing, near_dedup, sharding, toxicity
 
 
 def queries() -> dict:
     return {
         "op2_language_id": language_id.op2_language_id,
+        "op3_near_dedup": near_dedup.op3_near_dedup,
         "op6_decontamination": decontamination.op6_decontamination,
         "op7_sharding": sharding.op7_sharding,
         "op8_mixing": mixing.op8_mixing,
@@ -17,6 +18,7 @@ def queries() -> dict:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op3_near_dedup": near_dedup.SQL_NEAR_DEDUP,
         "op6_decontamination": decontamination.SQL_DECONTAMINATION,
         "op7_sharding": sharding.SQL_SHARDING,
         "op8_mixing": mixing.SQL_MIXING,
