@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import decontamination, language_id, mixing, near_dedup, sharding, toxicity
+from . import ann, decontamination, language_id, mixing, near_dedup, sharding, toxicity
 
 
 def queries() -> dict:
     return {
+        "op1_ann": ann.op1_ann,
         "op2_language_id": language_id.op2_language_id,
         "op3_near_dedup": near_dedup.op3_near_dedup,
         "op6_decontamination": decontamination.op6_decontamination,
