@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import ann, decontamination, language_id, mixing, near_dedup, sharding, toxicity
+from . import ann, decontamination, language_id, mixing, near_dedup, sharding, toxicity, url_filter
 
 
 def queries() -> dict:
@@ -10,6 +10,7 @@ def queries() -> dict:
         "op1_ann": ann.op1_ann,
         "op2_language_id": language_id.op2_language_id,
         "op3_near_dedup": near_dedup.op3_near_dedup,
+        "op5_url_filter": url_filter.op5_url_filter,
         "op6_decontamination": decontamination.op6_decontamination,
         "op7_sharding": sharding.op7_sharding,
         "op8_mixing": mixing.op8_mixing,
@@ -20,6 +21,7 @@ def queries() -> dict:
 def oracle_sql() -> dict[str, str]:
     return {
         "op3_near_dedup": near_dedup.SQL_NEAR_DEDUP,
+        "op5_url_filter": url_filter.SQL_URL_FILTER,
         "op6_decontamination": decontamination.SQL_DECONTAMINATION,
         "op7_sharding": sharding.SQL_SHARDING,
         "op8_mixing": mixing.SQL_MIXING,
