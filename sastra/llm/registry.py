@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import ann, decontamination, language_id, mixing, near_dedup, sharding, toxicity, url_filter
+from . import ann, decontamination, html_text, language_id, mixing, near_dedup, sharding, toxicity, url_filter
 
 
 def queries() -> dict:
@@ -10,6 +10,7 @@ def queries() -> dict:
         "op1_ann": ann.op1_ann,
         "op2_language_id": language_id.op2_language_id,
         "op3_near_dedup": near_dedup.op3_near_dedup,
+        "op4_html_text": html_text.op4_html_text,
         "op5_url_filter": url_filter.op5_url_filter,
         "op6_decontamination": decontamination.op6_decontamination,
         "op7_sharding": sharding.op7_sharding,

@@ -127,8 +127,8 @@ p AS (SELECT page_id, url, translate(raw, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefg
 j AS (SELECT p.*, {rule} AS rule, {verdict} AS given,
   list_distinct(list_concat(
     list_transform(list_filter(string_split(host, '.'), lambda x: x <> ''), lambda x: 'h:' || x),
-    list_transform(list_filter(string_split(path, '/'), lambda x: x <> ''), lambda x: 'p:' || CASE WHEN regexp_full_match(x, '[0-9]+(\.[a-z]+)?') THEN '#' ELSE x END),
-    list_transform(list_filter(string_split(regexp_extract(url, '\?([^#]*)', 1), '&'), lambda x: x <> ''), lambda x: 'q:' || string_split(x, '=')[1]))) AS tokens FROM p),
+    list_transform(list_filter(string_split(path, '/'), lambda x: x <> ''), lambda x: 'p:' || CASE WHEN regexp_full_match(x, '[0-9]+([.][a-z]+)?') THEN '#' ELSE x END),
+    list_transform(list_filter(string_split(regexp_extract(url, '[?]([^#]*)', 1), '&'), lambda x: x <> ''), lambda x: 'q:' || string_split(x, '=')[1]))) AS tokens FROM p),
 l AS (SELECT doc_id AS page_id, max(CASE WHEN quality = 0 OR toxic = 1 THEN 'block' ELSE 'allow' END) AS verdict FROM labels WHERE quality IS NOT NULL OR toxic IS NOT NULL GROUP BY 1),
 t AS (SELECT row_number() OVER () AS r, tokens, verdict FROM j JOIN l USING (page_id)),
 x AS (SELECT r, unnest(tokens) AS token, verdict FROM t),
