@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import ann, decontamination, html_text, language_id, mixing, near_dedup, sharding, toxicity, url_filter
+from . import ann, decontamination, html_text, language_id, mixing, near_dedup, sharding, token_counts, toxicity, url_filter
 
 
 def queries() -> dict:
@@ -16,6 +16,7 @@ def queries() -> dict:
         "op7_sharding": sharding.op7_sharding,
         "op8_mixing": mixing.op8_mixing,
         "op9_toxicity": toxicity.op9_toxicity,
+        "op10_token_counts": token_counts.op10_token_counts,
     }
 
 
