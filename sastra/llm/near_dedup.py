@@ -183,26 +183,44 @@ def _block_links(left: list[np.ndarray], right: list[np.ndarray], percent: int)
     return np.nonzero(100 * total.astype(np.int64) >= percent * (both - total.astype(np.int64)))
 
 
+def _forest(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Which of the links (a, b) still join two parts when taken in order."""
+    parent: dict[int, int] = {}
+
+    def root(x: int) -> int:
+        while (up := parent.setdefault(x, x)) != x:
+            parent[x] = x = parent[up]
+        return x
+
+    out = np.zeros(len(a), bool)
+    for k, (x, y) in enumerate(zip(a.tolist(), b.tolist(), strict=True)):
+        x, y = root(x), root(y)
+        if x != y:
+            parent[x], out[k] = y, True
+    return out
+
+
 def _in_blocks(placed: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """(a, b) links within large buckets, whose members are dealt into blocks of about ``BLOCK``; only links leave a task.
 
-    A member's block lies in its largest bucket, so buckets of one group share blocks; blocks that meet in a bucket are compared once.
+    Of the links of two blocks those are kept that join different components, as a forest. A member's block lies in its largest bucket, so buckets of one group share blocks; blocks that meet in a bucket are compared once.
     """
-    home = placed.groupBy("id").agg(F.max(F.struct("size", "bucket")).alias("h"))
+    home = placed.groupBy("id").agg(F.max(F.struct("size", "bucket")).alias("h"), F.first("comp").alias("comp"))
     block = F.xxhash64("h.bucket", F.pmod(F.xxhash64("id"), F.ceil(F.col("h.size") / BLOCK))).alias("block")
-    home = cut(home.select("id", block))
+    home = cut(home.select("id", "comp", block))
     meet = placed.join(home, "id").groupBy("bucket").agg(F.array_sort(F.collect_set("block")).alias("blocks"))
     pairs = meet.select(F.posexplode("blocks").alias("i", "x"), "blocks").select("x", F.explode(F.slice("blocks", F.col("i") + 1, F.size("blocks"))).alias("y")).distinct()
     held = sets.join(home, "id")
-    sides = pairs.join(held, pairs["x"] == held["block"]).select("x", "y", F.lit(0).alias("side"), "id", "shingles")
-    sides = sides.union(pairs.where("x <> y").join(held, F.col("y") == held["block"]).select("x", "y", F.lit(1).alias("side"), "id", "shingles"))
+    sides = pairs.join(held, pairs["x"] == held["block"]).select("x", "y", F.lit(0).alias("side"), "id", "comp", "shingles")
+    sides = sides.union(pairs.where("x <> y").join(held, F.col("y") == held["block"]).select("x", "y", F.lit(1).alias("side"), "id", "comp", "shingles"))
 
     def run(key, pdf):
         left = pdf[pdf["side"] == 0]
         right = left if key[0] == key[1] else pdf[pdf["side"] == 1]
         i, j = _block_links(list(left["shingles"]), list(right["shingles"]), percent)
-        a, b = left["id"].to_numpy()[i], right["id"].to_numpy()[j]
-        return pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)})[a != b].drop_duplicates()
+        found = pd.DataFrame({"a": left["id"].to_numpy()[i], "b": right["id"].to_numpy()[j], "ca": left["comp"].to_numpy()[i], "cb": right["comp"].to_numpy()[j]})
+        found = found[found["ca"] != found["cb"]].drop_duplicates(["ca", "cb"])
+        return found[_forest(found["ca"].to_numpy(), found["cb"].to_numpy())][["a", "b"]]
 
     return cut(sides.groupBy("x", "y").applyInPandas(run, "a long, b long"))
 
