@@ -99,27 +99,36 @@ def proximity_matches(index: DataFrame, queries: DataFrame, span: int) -> DataFr
     return near.groupBy("query_id", "doc_id", "text_key", "k", "start").agg(F.count_distinct("term").alias("found")).where("found = k").drop("k", "found")
 
 
-def decontaminate(docs: DataFrame, items: DataFrame, size: int = WINDOW, min_items: int = ITEMS) -> DataFrame:
-    """One row a document: doc_id, text, n_words, n_hit (words inside any occurrence of a window), items (sorted ids), contaminated.
-
-    Null and empty texts have no words and no hits; an empty benchmark marks nothing; repeated rows each get their row.
-    """
-    docs = docs.select("doc_id", "text")
+def flag(docs: DataFrame, items: DataFrame, size: int = WINDOW, min_items: int = ITEMS) -> DataFrame:
+    """``docs`` (doc_id, text and any other columns) with ``__n_words``, ``__n_hit``, ``__items`` and ``__contaminated``."""
     phrases = cut(windows(items, size))
     terms = cut(phrases.select(F.explode("win").alias("term")).distinct())
     index = store(postings(docs, terms, terms.count()), "postings")
     found = exact_matches(index, phrases.select("wid", "win")).join(maybe_broadcast(phrases, phrases.count()), "wid")
-    found = found.groupBy("doc_id", "text_key").agg(F.collect_set(F.struct("start", "win", "items")).alias("found"))
-    found = found.select(F.col("doc_id").alias("__id"), F.col("text_key").alias("__key"), "found")
-    rows = docs.withColumn("__k", text_key(F.col("text"))).withColumn("n_words", F.size(words_of(F.col("text"))).cast("long"))
+    found = found.groupBy("doc_id", "text_key").agg(F.collect_set(F.struct("start", "win", "items")).alias("__found"))
+    found = found.select(F.col("doc_id").alias("__id"), F.col("text_key").alias("__key"), "__found")
+    rows = docs.withColumn("__k", text_key(F.col("text"))).withColumn("__n_words", F.size(words_of(F.col("text"))).cast("long"))
     rows = rows.join(found, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__k") == F.col("__key")), "left").drop("__id", "__key", "__k")
-    rows = rows.withColumn("__w", F.when(F.col("found").isNotNull(), words_of(F.col("text"))))
-    rows = rows.withColumn("hits", F.filter("found", lambda c: F.slice(F.col("__w"), c["start"] + 1, F.size(c["win"])) == c["win"]))
-    inside = F.array_distinct(F.flatten(F.transform("hits", lambda h: F.sequence(h["start"], h["start"] + F.size(h["win"]) - 1))))
-    rows = rows.withColumn("n_hit", F.coalesce(F.size(inside), F.lit(0)).cast("long"))
-    rows = rows.withColumn("n_hit", F.when(F.col("found").isNull(), F.lit(0).cast("long")).otherwise(F.col("n_hit")))
-    rows = rows.withColumn("items", F.coalesce(F.array_sort(F.array_distinct(F.flatten(F.transform("hits", lambda h: h["items"])))), F.array().cast("array<string>")))
-    return rows.withColumn("contaminated", F.size("items") >= min_items).drop("found", "hits", "__w")
+    rows = rows.withColumn("__w", F.when(F.col("__found").isNotNull(), words_of(F.col("text"))))
+    rows = rows.withColumn("__hits", F.filter("__found", lambda c: F.slice(F.col("__w"), c["start"] + 1, F.size(c["win"])) == c["win"]))
+    inside = F.array_distinct(F.flatten(F.transform("__hits", lambda h: F.sequence(h["start"], h["start"] + F.size(h["win"]) - 1))))
+    rows = rows.withColumn("__n_hit", F.when(F.col("__found").isNull(), F.lit(0)).otherwise(F.size(inside)).cast("long"))
+    rows = rows.withColumn("__items", F.coalesce(F.array_sort(F.array_distinct(F.flatten(F.transform("__hits", lambda h: h["items"])))), F.array().cast("array<string>")))
+    return rows.withColumn("__contaminated", F.size("__items") >= min_items).drop("__found", "__hits", "__w")
+
+
+def decontaminate(docs: DataFrame, items: DataFrame, size: int = WINDOW, min_items: int = ITEMS) -> DataFrame:
+    """One row a document: doc_id, text, n_words, n_hit (words inside any occurrence of a window), items (sorted ids), contaminated.
+
+    Null and empty texts have no words and no hits; an empty benchmark marks nothing; repeated rows each get their row.
+    """
+    rows = flag(docs.select("doc_id", "text"), items, size, min_items)
+    return rows.select("doc_id", "text", *[F.col(f"__{c}").alias(c) for c in ("n_words", "n_hit", "items", "contaminated")])
+
+
+def clean_documents(docs: DataFrame, items: DataFrame, min_items: int = 1, size: int = WINDOW) -> DataFrame:
+    """The rows of ``docs`` (all columns) that share windows with fewer than ``min_items`` items."""
+    return flag(docs, items, size, min_items).where("not __contaminated").select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

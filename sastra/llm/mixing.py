@@ -16,7 +16,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import cut, read
-from .sharding import occurrence, without
+from .sharding import fingerprints, occurrence, without
 
 SEED = 8
 #: Part of the corpus's tokens that op8 asks for, and epochs that a leaf may run through.
@@ -112,13 +112,12 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def mix_documents(docs: DataFrame, *, fraction: float, max_epochs: int, weights: dict[str, float] = WEIGHTS, seed: int = SEED) -> DataFrame:
     """Documents (all their columns) drawn to the mixture; the text travels once, in the join that brings the choice back."""
-    raw = F.encode(F.coalesce("text", F.lit("")), "UTF-8")
-    order = ["source", "lang", F.crc32(raw), F.octet_length(raw)]
-    light = occurrence(docs.select("doc_id", "source", "lang", "text"), "doc_id", *order)
-    light = light.select("doc_id", F.col("__occ").alias("occ"), domain_of(F.col("source")).alias("domain"), "lang", "source", tokens_of(F.col("text")).alias("n_tokens"))
+    rows, order = fingerprints(docs), ["source", "lang", "__crc", "__size"]
+    light = occurrence(rows.select("doc_id", *order, tokens_of(F.col("text")).alias("n_tokens")), "doc_id", *order)
+    light = light.select("doc_id", F.col("__occ").alias("occ"), domain_of(F.col("source")).alias("domain"), "lang", "source", "n_tokens")
     taken = draw(light, list(LEVELS), "doc_id", "n_tokens", weights, fraction=fraction, max_epochs=max_epochs, seed=seed)
     taken = taken.select(F.col("doc_id").alias("__id"), F.col("occ").alias("__o"))
-    full = occurrence(docs, "doc_id", *order)
+    full = occurrence(rows, "doc_id", *order)
     return full.join(taken, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__occ") == F.col("__o"))).select(*[full[f"`{c}`"] for c in docs.columns])
 
 

@@ -21,6 +21,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import FOLD, NOT_SPACE, Words, cut, mix, read, slices, small_batches, store
@@ -270,6 +271,17 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, size: int = SHINGLE
     return out.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.coalesce("comp", "id").alias("component_id"))
 
 
+def _ties(docs: DataFrame) -> list[str]:
+    return [f"`{c}`" for c, kind in docs.dtypes if c not in ("doc_id", "text") and kind in ("string", "int", "bigint", "double", "boolean")]
+
+
+def one_of_each(docs: DataFrame, percent: int = PERCENT, size: int = SHINGLE) -> DataFrame:
+    """The rows of ``docs`` (all columns) with the smallest id of their component, once; rows with a null id stay."""
+    gone = near_duplicates(docs.select("doc_id", "text"), percent, size).where("component_id < doc_id").select("doc_id").distinct()
+    kept = docs.join(gone, "doc_id", "left_anti").withColumn("__n", F.row_number().over(W.partitionBy("doc_id").orderBy(F.xxhash64("text"), *_ties(docs))))
+    return kept.where("__n = 1 or doc_id is null").select(*[F.col(f"`{c}`") for c in docs.columns])
+
+
 def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = near_duplicates(read(spark, sf_dir, "documents", "doc_id", "text"))
     return out.withColumn("kept", F.col("doc_id") == F.col("component_id"))

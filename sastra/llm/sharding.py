@@ -87,16 +87,19 @@ def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def fingerprints(docs: DataFrame) -> DataFrame:
+    """``docs`` with ``__crc`` and ``__size`` of the text, which order the rows of a repeated id."""
+    raw = F.encode(F.coalesce("text", F.lit("")), "UTF-8")
+    return docs.withColumn("__crc", F.crc32(raw)).withColumn("__size", F.octet_length(raw))
+
+
 def shard_documents(docs: DataFrame, shards: int = SHARDS, seed: int = SEED) -> DataFrame:
     """``docs`` with ``shard`` and ``slot``. The text travels once, in the join that brings the places back."""
-    docs = without(docs, "shard", "slot")
-    raw = F.encode(F.coalesce("text", F.lit("")), "UTF-8")
-    order = ["source", F.crc32(raw), F.octet_length(raw)]
-    light = occurrence(docs.select("doc_id", "source", "text"), "doc_id", *order).select("doc_id", "source", "__occ")
-    places = interleave(light.withColumnRenamed("__occ", "occ"), shards, seed)
-    places = places.select(F.col("doc_id").alias("__id"), F.col("occ").alias("__o"), "shard", "slot")
-    full = occurrence(docs, "doc_id", *order)
-    return full.join(places, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__occ") == F.col("__o"))).drop("__id", "__o", "__occ")
+    rows, order = fingerprints(without(docs, "shard", "slot")), ["source", "__crc", "__size"]
+    light = occurrence(rows.select("doc_id", *order), "doc_id", *order).select("doc_id", "source", F.col("__occ").alias("occ"))
+    places = interleave(light, shards, seed).select(F.col("doc_id").alias("__id"), F.col("occ").alias("__o"), "shard", "slot")
+    full = occurrence(rows, "doc_id", *order)
+    return full.join(places, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__occ") == F.col("__o"))).drop("__id", "__o", "__occ", "__crc", "__size")
 
 
 SQL_SHARDING = f"""
