@@ -12,6 +12,7 @@ at its own rows, and only the ends of ranges are stitched. What is exchanged abo
 from __future__ import annotations
 
 import re
+import zlib
 from bisect import bisect_left
 from html import unescape
 
@@ -180,13 +181,23 @@ def _line_hashes(batches):
 
 
 def _kept_lines(batches):
+    """Lines that aren't template by their element, packed: the text is the only large thing that travels."""
     for b in batches:
         found = []
         for page in b.column("html").to_pylist():
-            lines = lines_of(page)
-            found.append([{"at": i, "text": t, "kind": k} for i, (t, k) in enumerate(lines) if k != TEMPLATE])
-        kind = pa.list_(pa.struct([("at", pa.int32()), ("text", pa.string()), ("kind", pa.int32())]))
-        yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(found, kind)], [*b.schema.names[:-1], "lines"])
+            lines = [f"{i}\t{k}\t{t}" for i, (t, k) in enumerate(lines_of(page)) if k != TEMPLATE]
+            found.append(zlib.compress("\n".join(lines).encode("utf-8", "surrogatepass"), 6))
+        yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(found, pa.binary())], [*b.schema.names[:-1], "packed"])
+
+
+def _texts(batches):
+    for b in batches:
+        found = []
+        for packed, shared in zip(b.column("packed").to_pylist(), b.column("shared").to_pylist(), strict=True):
+            rows = [x.split("\t", 2) for x in zlib.decompress(packed).decode("utf-8", "surrogatepass").split("\n") if x]
+            article, gone = any(k == str(ARTICLE) for _, k, _ in rows), set(shared)
+            found.append("\n".join(t for i, k, t in rows if (k == str(ARTICLE) if article else int(i) not in gone)))
+        yield pa.RecordBatch.from_arrays([b.column("page_id"), b.column("url"), pa.array(found, pa.string())], ["page_id", "url", "text"])
 
 
 def _shared(batches):
@@ -216,11 +227,8 @@ def extract(pages: DataFrame) -> DataFrame:
     side = lambda k, name: hashes.select(F.col("key").alias(k), F.col("hashes").alias(name))
     near = near.join(side("b", "before"), "b", "left").join(side("a", "after"), "a", "left").join(hashes.select("key", "hashes"), "key")
     shared = near.select("key", "hashes", "before", "after").mapInArrow(_shared, "key string, shared array<int>")
-    lines = pages.select("page_id", "url", "key", "html").mapInArrow(_kept_lines, "page_id long, url string, key string, lines array<struct<at:int,text:string,kind:int>>")
-    rows = lines.join(shared, "key")
-    article = F.exists("lines", lambda x: x["kind"] == ARTICLE)
-    kept = F.filter("lines", lambda x: F.when(article, x["kind"] == ARTICLE).otherwise(~F.array_contains("shared", x["at"])))
-    return rows.select("page_id", "url", F.array_join(F.transform(kept, lambda x: x["text"]), "\n").alias("text"))
+    lines = pages.select(F.col("page_id").cast("long"), "url", "key", "html").mapInArrow(_kept_lines, "page_id long, url string, key string, packed binary")
+    return lines.join(shared, "key").select("page_id", "url", "packed", "shared").mapInArrow(_texts, "page_id long, url string, text string")
 
 
 def op4_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
