@@ -41,7 +41,8 @@ def render(found, kind: str, path: str, now: str) -> str:
     return made[kind]()
 
 
-def run_scan(spark: SparkSession, args: argparse.Namespace, out=sys.stdout) -> int:
+def run_scan(spark: SparkSession, args: argparse.Namespace) -> int:
+    out = sys.stdout
     custom = corpus.load_rules(spark, args.custom_rules, "customPatterns") if args.custom_rules else ()
     config = corpus.load_config(spark, args.config) if args.config else None
     chosen = findings.gate(args.env, args.severity) if args.env or args.severity else None
