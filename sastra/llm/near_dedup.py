@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import FOLD, NOT_SPACE, Words, cut, mix, read, slices, small_batches, store
+from .common import FOLD, NOT_SPACE, Words, cut, mix, read, release, slices, small_batches, store
 
 REGISTERS, BAND, MANTISSA = 96, 4, 10
 #: The estimate may lie so far below the threshold (six standard errors at 0.85).
@@ -141,6 +141,7 @@ def components(links: DataFrame) -> DataFrame:
         top = spread.select(F.col("id").alias("__i"), F.col("comp").alias("__c"))
         jumped = cut(spread.join(top, spread["comp"] == top["__i"]).select("id", F.least("comp", "__c").alias("comp"), "old"))
         labels = jumped.select("id", "comp")
+        del near, spread, top
         if jumped.where("comp <> old").isEmpty():
             return labels
 
@@ -233,6 +234,7 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, size: int = SHINGLE
     shingle; without words or text a document links with nothing. Rows that repeat an id count as one document. A
     null id can't be linked and has a null component. An empty table gives an empty result.
     """
+    spark = docs.sparkSession
     known = store(sketches(docs, size), "sketches")
     able = known.where("n > 0 and id is not null")
     classes = able.groupBy("n", "s1", "s2").agg(F.min("id").alias("rep"))
@@ -250,11 +252,16 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, size: int = SHINGLE
     regs = cut(regs)
     sets = store(_sets(docs.join(involved.withColumnRenamed("id", "doc_id"), "doc_id", "left_semi"), size), "sets")
 
+    release(spark)
+
     leaders = members.groupBy("bucket").agg(F.max(F.struct("score", (-F.col("id")).alias("o"), F.col("id").alias("a"), F.col("n").alias("na"))).alias("l")).select("bucket", "l.a", "l.na")
     star = members.join(leaders, "bucket").where("id <> a").where(_alike(percent, "n", "na"))
     tested = cut(star.select(F.least("a", "id").alias("a"), F.greatest("a", "id").alias("b")).distinct())
     links = _confirm(tested, regs, sets, percent)
+    del star, leaders
+    release(spark)
     labels = components(links)
+    release(spark)
 
     placed = members.join(labels, "id", "left").select("bucket", "id", "n", F.coalesce("comp", "id").alias("comp"))
     torn = placed.groupBy("bucket").agg(F.count("*").alias("size"), F.min("comp").alias("x"), F.max("comp").alias("y")).where("x < y").select("bucket", "size")
@@ -263,7 +270,11 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, size: int = SHINGLE
     other = small.select("bucket", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("comp").alias("cb"))
     rest = small.withColumnRenamed("id", "a").join(other, "bucket").where("a < b and comp <> cb").where(_alike(percent, "n", "nb")).select("a", "b").distinct()
     rest = rest.join(tested, ["a", "b"], "left_anti")
-    links = links.union(_confirm(rest, regs, sets, percent)).union(_in_blocks(placed.where(f"size > {SMALL}"), sets, percent))
+    links = links.union(_confirm(rest, regs, sets, percent))
+    del rest, other, small
+    release(spark)
+    links = links.union(_in_blocks(placed.where(f"size > {SMALL}"), sets, percent))
+    release(spark)
     labels = components(links)
 
     of_class = classes.join(labels, classes["rep"] == labels["id"], "left").select("n", "s1", "s2", F.coalesce("comp", "rep").alias("comp"))
