@@ -91,11 +91,11 @@ def proximity_matches(index: DataFrame, queries: DataFrame, span: int) -> DataFr
     whole = terms.groupBy("query_id").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "term")).alias("m"), F.count("*").alias("k"))
     terms = terms.join(whole.where("m.n > 0"), "query_id")
     hits = index.join(terms.select("query_id", "term", "k", F.col("m.term").alias("rarest")), "term")
-    rows = hits.where("term = rarest").select("query_id", "doc_id", "text_key").distinct()
-    hits = hits.join(rows, hits["query_id"].eqNullSafe(rows["query_id"]) & _same_row(hits, rows), "left_semi").withColumn("block", F.expr(f"pos div {span}"))
-    start = hits.select("query_id", "doc_id", "text_key", "k", F.col("pos").alias("start"), F.explode(F.array("block", F.col("block") + 1)).alias("block")).distinct()
-    on = start["query_id"].eqNullSafe(hits["query_id"]) & _same_row(start, hits) & (start["block"] == hits["block"]) & hits["pos"].between(start["start"], start["start"] + span - 1)
-    near = start.join(hits, on).select(start["query_id"], start["doc_id"], start["text_key"], start["k"], start["start"], hits["term"])
+    rows = hits.where("term = rarest").select(F.col("query_id").alias("q"), F.col("doc_id").alias("d"), F.col("text_key").alias("t")).distinct()
+    same = F.col("query_id").eqNullSafe(F.col("q")) & F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("text_key") == F.col("t"))
+    hits = cut(hits.join(rows, same, "left_semi").select("query_id", "doc_id", "text_key", "k", "term", "pos", F.expr(f"pos div {span}").alias("block")))
+    start = hits.select(F.col("query_id").alias("q"), F.col("doc_id").alias("d"), F.col("text_key").alias("t"), F.col("pos").alias("start"), F.explode(F.array("block", F.col("block") + 1)).alias("b")).distinct()
+    near = hits.join(start, same & (F.col("block") == F.col("b")) & F.col("pos").between(F.col("start"), F.col("start") + span - 1))
     return near.groupBy("query_id", "doc_id", "text_key", "k", "start").agg(F.count_distinct("term").alias("found")).where("found = k").drop("k", "found")
 
 

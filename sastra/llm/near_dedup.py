@@ -84,11 +84,11 @@ def expected_collisions(n: float, m: float, mantissa: int = MANTISSA) -> float:
 def estimated_similarity(a: str, b: str, n: str, m: str):
     """The collision-corrected Jaccard estimate of register arrays ``a`` and ``b`` of sets of ``n`` and ``m`` shingles.
 
-    The chance of a collision is close to c * 2**-MANTISSA * n * m / (n + m)**2, where c = 3 / (4 ln 2) is what a cell's
+    The chance of a collision is close to c * 2**-MANTISSA * n * m / (n + m)**2, where c = 1 / (2 ln 2) is what a cell's
     width over its value comes to on average (:func:`expected_collisions` is the full sum).
     """
     equal = f"aggregate(zip_with({a}, {b}, (x, y) -> if(x = y, 1, 0)), 0, (s, x) -> s + x)"
-    chance = f"({float(0.75 / np.log(2))!r} / {1 << MANTISSA} * {n} * {m} / pow(cast({n} as double) + {m}, 2))"
+    chance = f"({float(0.5 / np.log(2))!r} / {1 << MANTISSA} * {n} * {m} / pow(cast({n} as double) + {m}, 2))"
     return F.expr(f"({equal} / {float(REGISTERS)!r} - {chance}) / (1 - {chance})")
 
 
@@ -279,7 +279,7 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, size: int = SHINGLE
 
     of_class = classes.join(labels, classes["rep"] == labels["id"], "left").select("n", "s1", "s2", F.coalesce("comp", "rep").alias("comp"))
     out = known.select("id", "n", "s1", "s2").join(of_class, ["n", "s1", "s2"], "left")
-    return out.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.coalesce("comp", "id").alias("component_id"))
+    return out.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.when(F.col("id").isNotNull(), F.coalesce("comp", "id")).alias("component_id"))
 
 
 def _ties(docs: DataFrame) -> list[str]:
