@@ -22,6 +22,8 @@ SEED = 8
 #: Part of the corpus's tokens that op8 asks for, and epochs that a leaf may run through.
 FRACTION = 0.6
 MAX_EPOCHS = 2
+#: Hexadecimal digits of the shuffle key that deal a leaf into ranges: 256 of them.
+RANGE_DIGITS = 2
 LEVELS = ("domain", "lang", "source")
 #: Weights by path from the root; a node that isn't listed weighs 1.
 WEIGHTS = {"d0": 4.0, "d1": 3.0, "d2": 2.0, "d3": 1.0} | {f"d{d}/{lang}": w for d in range(4) for lang, w in (("en", 3.0), ("de", 2.0), ("fr", 2.0), ("es", 1.0))}
@@ -85,6 +87,7 @@ def draw(light: DataFrame, levels: list[str], key: str, tokens: str, weights: di
     tokens in a leaf without tokens are never taken. An empty input gives an empty result; ids may repeat.
     """
     names = [f"__l{i}" for i in range(len(levels))]
+    light = cut(light)  # three passes over light rows, one over texts
     rows = without(light, "epoch").withColumns({n: F.coalesce(F.col(c).cast("string"), F.lit("~")) for n, c in zip(names, levels, strict=True)})
     rows = rows.withColumn("__t", F.coalesce(F.col(tokens), F.lit(0)).cast("long"))
     leaves = cut(rows.groupBy(*names).agg(F.sum("__t").alias("__tokens")))
@@ -92,7 +95,7 @@ def draw(light: DataFrame, levels: list[str], key: str, tokens: str, weights: di
     due = cut(due.where("__tokens > 0").withColumn("__e", F.floor(F.col("__give") / F.col("__tokens")).cast("int")).withColumn("__rest", F.expr("__give - __e * __tokens")))
     rows = rows.join(due.select(*names, "__e", "__rest"), names)
     id_text = F.coalesce(F.col(key).cast("string"), F.lit("null"))
-    rows = rows.withColumn("__k", F.md5(F.concat(F.lit(f"{seed}:"), F.col("__e").cast("string"), F.lit(":"), id_text))).withColumn("__b", F.substring("__k", 1, 3))
+    rows = rows.withColumn("__k", F.md5(F.concat(F.lit(f"{seed}:"), F.col("__e").cast("string"), F.lit(":"), id_text))).withColumn("__b", F.substring("__k", 1, RANGE_DIGITS))
     ties = [F.col(f"`{c}`") for c, kind in light.dtypes if not kind.startswith("map") and c.lower() != "epoch"]
     sums = rows.groupBy(*names, "__b").agg(F.sum("__t").alias("__c"))
     sums = sums.withColumn("__before", F.sum("__c").over(W.partitionBy(*names).orderBy("__b")) - F.col("__c")).drop("__c")
