@@ -59,21 +59,22 @@ def severity_rank(severity: Column, table: dict = SEVERITY_RANK) -> Column:
 
 def normalise(content: Column) -> Column:
     """Universal newlines; bytes that weren't text (U+FFFD after decoding) are dropped."""
-    return F.replace(F.regexp_replace(content, "\r\n?", "\n"), F.lit("�"), F.lit(""))
+    unix = F.replace(F.replace(content, F.lit("\r\n"), F.lit("\n")), F.lit("\r"), F.lit("\n"))
+    return F.replace(unix, F.lit("\ufffd"), F.lit(""))
 
 
 def explode_lines(files: DataFrame, content: str = "content", keep_last_empty: bool = False) -> DataFrame:
     """PRJ-2: one row a line: ``line`` from 1, ``line_text`` without and ``raw_line`` with its newline.
 
-    The Python contract has no final empty line, the editor's has; an empty file has no line in the first.
+    The Python contract has no final empty line, the editor's has; an empty file has no line in the first. Texts are cut after
+    newlines, so that a line needs nothing but itself and the file's text doesn't travel with its lines.
     """
-    parts = F.split(normalise(F.coalesce(F.col(content), F.lit(""))), "\n", -1)
-    rows = files.select(*[c for c in files.columns if c != content], F.size(parts).alias("__n"), F.posexplode(parts).alias("__p", "line_text"))
-    rows = rows.withColumn("line", F.col("__p") + 1)
-    rows = rows.withColumn("raw_line", F.when(F.col("line") < F.col("__n"), F.concat("line_text", F.lit("\n"))).otherwise(F.col("line_text")))
+    kept = [c for c in files.columns if c != content]
+    pieces = F.split(normalise(F.coalesce(F.col(content), F.lit(""))), r"(?<=\n)", -1)
+    rows = files.select(*kept, F.posexplode(pieces).alias("__p", "raw_line"))
     if not keep_last_empty:
-        rows = rows.where((F.col("line") < F.col("__n")) | (F.col("line_text") != ""))
-    return rows.drop("__n", "__p")
+        rows = rows.where("raw_line <> ''")
+    return rows.select(*kept, (F.col("__p") + 1).alias("line"), F.rtrim("raw_line", F.lit("\n")).alias("line_text"), "raw_line")
 
 
 def line_count(content: Column) -> Column:

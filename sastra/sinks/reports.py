@@ -125,6 +125,45 @@ def html_report(findings: DataFrame, scan_path: str, timestamp: str) -> str:
     return "\n".join([f"<!DOCTYPE html>\n<html lang='en'><head><meta charset='UTF-8'><title>{TOOL} Report — {plain(scan_path)}</title></head><body>", f"<h1>{TOOL} Security Report</h1><p>Scan: <code>{plain(scan_path)}</code></p>", *body, f"<p class='timestamp'>{plain(timestamp)}</p></body></html>"])
 
 
+def editor_report(findings: DataFrame) -> str:
+    """SNK-12: totals and numbered findings by severity, lines from 1."""
+    sizes = {r["severity"]: r["n"] for r in findings.groupBy("severity").agg(F.count("*").alias("n")).collect()}  # one row a severity
+    if not sizes:
+        return "No security vulnerabilities detected!"
+    out = ["SECURITY SCAN REPORT", "=" * 50, "", f"Total Issues Found: {sum(sizes.values())}", *[f"  {s.title()}: {sizes.get(s, 0)}" for s in REPORT_RANK], ""]
+    last, n = None, 0
+    for r in _ordered(findings.where(F.col("severity").isin(*REPORT_RANK))).select("severity", "rule_id", "line", "message").toLocalIterator():
+        if r["severity"] != last:
+            last, n = r["severity"], 0
+            out.append(f"{last.upper()} SEVERITY:")
+        n += 1
+        out += [f"  {n}. {r['rule_id']} (Line {r['line']})", f"     {r['message']}"]
+    return "\n".join(out)
+
+
+def learn_more(findings: DataFrame) -> DataFrame:
+    """SNK-14: (html) what an editor shows of a finding, escaped, with the weakness's address."""
+    link = F.when(F.col("cwe").isNotNull(), F.concat(F.lit("<a href='"), cwe_url(F.col("cwe")), F.lit("'>"), escape(F.col("cwe")), F.lit("</a>"))).otherwise("")
+    return findings.select(F.concat(F.lit("<h1>"), escape(F.col("rule_id")), F.lit("</h1><p>"), escape(F.col("message")), F.lit("</p><p>"), escape(F.col("explanation")), F.lit("</p><p>"), escape(F.col("fix")), F.lit("</p>"), link).alias("html"))
+
+
+def feedback_report(scored: DataFrame, timestamp: str) -> str:
+    """INT-6: totals, bands, the three most frequent vectors and the five most frequent tactics of findings after ``knowledge.feedback``."""
+    from ..operators.findings import top_words
+    from ..operators.knowledge import feedback_summary
+
+    t = feedback_summary(scored).first()
+    vectors = top_words(scored.select("attack_vector"), "attack_vector", 3).collect()
+    tactics = top_words(scored.select(F.explode("tactics").alias("tactic")), "tactic", 5).collect()
+    lines = ["Threat Feedback Report", "", f"Total findings: {t['total']}", f"Critical (>=80): {t['critical']}", f"High (60-79): {t['high']}", "", "Top attack vectors:", *[f"  {v}: {n} findings" for v, n in vectors], "", "Top MITRE tactics:", *[f"  {v}: {n} findings" for v, n in tactics]]
+    return "\n".join([*lines, "", f"Generated: {timestamp}"])
+
+
+def commit_verdict(findings: DataFrame) -> int:
+    """SNK-15: 1 if a commit holds a critical or high finding, else 0."""
+    return int(not findings.where(F.col("severity").isin("critical", "high")).limit(1).isEmpty())
+
+
 def annotations(findings: DataFrame, level: str = "warning") -> DataFrame:
     """FLT-12, SNK-6: (text) one annotation line a finding; at level 'error' only critical ones."""
     kind = F.when(F.col("severity") == "critical", "error").otherwise("warning")
@@ -166,12 +205,11 @@ def remediation_plan(ordered: DataFrame) -> DataFrame:
 
     rank = severity_rank(F.col("severity"), REPORT_RANK)
     sure = lookup(F.col("confidence"), {"high": 0, "medium": 1, "low": 2}, 3)
-    # the numbering of one report for people; severities are windows of their own, joined to counts, so no task holds all findings
+    # severities are windows of their own, shifted by the counts of the severities before, so no task holds all findings
     rows = ordered.withColumn("__r", rank).withColumn("__n", F.row_number().over(W.partitionBy("__r").orderBy(sure, "file_path", "line", "rule_id")))
-    sizes = rows.groupBy("__r").agg(F.count("*").alias("c"))
-    before = F.broadcast(sizes.select(F.col("__r").alias("x"), "c"))  # one row a rank
-    shift = rows.select("__r").distinct().join(before, F.col("x") < F.col("__r"), "left").groupBy("__r").agg(F.coalesce(F.sum("c"), F.lit(0)).alias("shift"))
-    rows = rows.join(F.broadcast(shift), "__r").withColumn("n", F.col("__n") + F.col("shift"))
+    sizes = dict(ordered.groupBy(rank.alias("r")).count().collect())  # one row a rank
+    shift = {r: sum(n for x, n in sizes.items() if x < r) for r in sizes}
+    rows = rows.withColumn("n", F.col("__n") + (lookup(F.col("__r"), shift, 0) if shift else F.lit(0)))
     head = F.when(F.col("__n") == 1, F.concat(F.upper("severity"), F.lit(" PRIORITY\n"))).otherwise("")
     fix = F.when(F.coalesce("fix", F.lit("")) != "", F.concat(F.lit("\n   Fix: "), F.substring("fix", 1, 120))).otherwise("")
     return rows.select("n", F.concat(head, F.col("n").cast("string"), F.lit(". "), "rule_id", F.lit("\n   File: "), "file_path", F.lit(":"), F.col("line").cast("string"), fix).alias("text"))

@@ -75,6 +75,9 @@ def test_reports(spark):
     assert 'tests="2" failures="2"' in reports.junit_report(df)
     assert [f["text"] for f in reports.slack_payload(df)["blocks"][1]["fields"]][0] == "*Critical:* 1"
     assert reports.annotations(df, "error").count() == 1
+    assert "CRITICAL SEVERITY:\n  1. R (Line 1)" in reports.editor_report(df) and "No security" in reports.editor_report(df.limit(0))
+    assert "&lt;b&gt;" in reports.learn_more(df).orderBy("html").first()[0] and reports.commit_verdict(df) == 1
+    assert "Critical (>=80): 0" in reports.feedback_report(knowledge.feedback(df), "t") and "  network: 1 findings" in reports.feedback_report(knowledge.feedback(df), "t")
 
 
 def test_edits(spark):

@@ -87,6 +87,16 @@ def test_python_tree(spark):
     ]
 
 
+def test_calls(spark):
+    from sastra.operators import calls
+
+    rows = [("python", "cur.execute(request.args)"), ("python", "cur.execute(sql)"), ("php", "evaluate($_GET[1]);"), ("php", "eval($x);"), ("java", "new ProcessBuilder(request.getParameter(1)).exec()"), ("go", "db.Query(fmt.Sprintf(q, x))"), ("ruby", "User.where(params[:u])"), ("rust", "fn unsafe_fn(x)"), ("kotlin", "view.loadUrl(intent.getData())"), ("cobol", "exec(req)")]
+    got = {}
+    for r in findings.dedup(calls.call_findings(files(spark, rows))).collect():
+        got.setdefault(int(r["file_path"][5:-2]), set()).add(r["rule_id"].removesuffix(" (call)"))
+    assert got == {0: {"Python: Sql Injection"}, 3: {"PHP: Dynamic Code Execution"}, 4: {"Java: Command"}, 5: {"Go: SQL Injection"}, 6: {"Ruby: SQL Injection"}, 8: {"Kotlin: WebView XSS"}}
+
+
 def test_scan_is_unique_and_idempotent(spark):
     rows = spark.createDataFrame([("a.py", "python", 'token = "abcdefghij"; token = "abcdefghij"\n' * 2)], "file_path string, language string, content string")
     found = scan.scan(rows)
