@@ -154,6 +154,12 @@ def link(pairs: DataFrame, kind: str, weight: str | None = None) -> DataFrame:
     return pairs.select("src", "dst", F.lit(kind).alias("type"), F.lit(WEIGHTS[weight or kind]).alias("weight"))
 
 
+def export_graph(nodes: DataFrame, edges: DataFrame, path: str) -> None:
+    """GRA-10: the whole graph as two tables below ``path``; an earlier export is replaced."""
+    nodes.write.mode("overwrite").json(f"{path}/nodes")
+    edges.write.mode("overwrite").json(f"{path}/edges")
+
+
 def graph_scores(findings: DataFrame, edges: DataFrame) -> DataFrame:
     """AGG-10: (id, score): +30 if it maps to something, +40 if correlated, +20 without a fix; 0 without edges; 100 at most."""
     has = lambda kind: F.max((F.col("type") == kind).cast("int"))

@@ -77,6 +77,16 @@ class Plugins:
         return files.select("file_path", "language", "content").mapInArrow(work, self.SCHEMA)
 
 
+# The classes that a model is asked about.
+ASKED = ("SQL Injection", "Command Injection", "Cross-Site Scripting", "Hardcoded Secret", "Path Traversal", "Insecure Deserialization", "Weak Cryptography", "SSRF", "Open Redirect")
+
+
+def prompts(files: DataFrame, cut: int = 3000) -> DataFrame:
+    """AI-2, AI-4: (file_path, lines, prompt): what a model is asked about each file, its text cut to ``cut`` characters."""
+    ask = f"Find security vulnerabilities ({', '.join(ASKED)}). Answer with a JSON array of objects with type, severity, line, message, explanation, fix and cwe.\n"
+    return files.select("file_path", F.size(F.split("content", "\n", -1)).alias("lines"), F.concat(F.lit(ask), F.lit("Language: "), F.coalesce("language", F.lit("")), F.lit("\n"), F.substring("content", 1, cut)).alias("prompt"))
+
+
 def with_models(prompts: DataFrame, ask: Callable[[str], str], cut: int = 3000) -> DataFrame:
     """AI-1..3: (prompt) rows answered by a pluggable function, each distinct text once (in place of a cache); texts are cut to ``cut`` characters. Off unless called."""
 

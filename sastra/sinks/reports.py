@@ -224,10 +224,15 @@ def diagnostics(findings: DataFrame) -> DataFrame:
     return findings.select(
         "file_path", (F.col("line") - 1).alias("line"), start.alias("start"), F.least(start + F.col("length"), F.length("line_text")).alias("end"), F.col("cwe").alias("code"),
         lookup(F.col("severity"), {"critical": "error", "high": "error", "medium": "warning", "low": "information"}, "warning").alias("level"), "message",
-        F.when(F.col("rule_id").contains("Deprecated") | F.col("rule_id").contains("Weak"), "deprecated").alias("tag"),
+        F.when(F.col("rule_id").contains("Deprecated") | F.col("rule_id").contains("Weak"), "deprecated").alias("tag"), F.lit(TOOL).alias("source"),
     )
 
 
+def own_diagnostics(rows: DataFrame) -> DataFrame:
+    """FLT-15: an editor's diagnostics that come from here."""
+    return rows.where(F.col("source") == TOOL)
+
+
 def detail_text(findings: DataFrame) -> Column:
     """PRJ-7."""
     part = lambda title, c: F.when(F.coalesce(F.col(c), F.lit("")) != "", F.concat(F.lit(f"{title}: "), F.col(c)))

@@ -118,3 +118,14 @@ def load_signals(spark: SparkSession, path: str) -> DataFrame:
     """SRC-9: the threat summary from a file; missing counts are 0."""
     rows = spark.read.schema("active_attackers long, bait_reads long, breach_hits long").json(path)
     return rows.fillna(0)
+
+
+def signals_status(spark: SparkSession, path: str | None) -> str:
+    """INT-7: 'not_configured' without a path, 'unreachable' if nothing can be read there, else 'ok'."""
+    if not path:
+        return "not_configured"
+    try:
+        load_signals(spark, path).limit(1).collect()
+    except Exception:
+        return "unreachable"
+    return "ok"

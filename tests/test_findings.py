@@ -163,7 +163,28 @@ def test_models_ask_once(spark):
     assert sorted(r["answer"] for r in scan.with_models(df, lambda x: x * 2).collect()) == ["pp", "pp", "qq"]
 
 
-def test_knowledge_graph(spark):
+def test_model_round(spark):
+    files = spark.createDataFrame([("a.py", "python", "x\ny")], "file_path string, language string, content string")
+    asked = scan.prompts(files, 1)
+    assert asked.first()["prompt"].endswith("python\nx")
+    answers = scan.with_models(asked, lambda p: 'so: [{"type": "T", "severity": "odd", "line": 99}]').withColumnRenamed("answer", "raw")
+    row = reports.model_findings(answers).first()
+    assert (row["rule_id"], row["severity"], row["line"], row["length"]) == ("T", "medium", 1, 100)
+
+
+def test_signals(spark, tmp_path):
+    (tmp_path / "s.json").write_text('{"active_attackers": 3}')
+    rows = knowledge.with_signals(found(spark, {}), corpus.load_signals(spark, str(tmp_path / "s.json"))).first()
+    assert rows["attacker_aligned"] and not rows["breach_aligned"]
+    assert [corpus.signals_status(spark, p) for p in (None, str(tmp_path / "none"), str(tmp_path / "s.json"))] == ["not_configured", "unreachable", "ok"]
+
+
+def test_diagnostics(spark):
+    row = reports.own_diagnostics(reports.diagnostics(found(spark, {"rule_id": "Weak X", "column": 2, "length": 9, "line_text": "abcd"}))).first()
+    assert (row["line"], row["start"], row["end"], row["tag"]) == (0, 1, 4, "deprecated")
+
+
+def test_knowledge_graph(spark, tmp_path):
     nodes = spark.createDataFrame([("f", "a", 1), ("f", "b", 2), ("c", "x", 1)], "id string, type string, seq int")
     last = graph.upsert_nodes(nodes)
     assert {tuple(r) for r in last.collect()} == {("f", "b"), ("c", "x")}
@@ -172,3 +193,5 @@ def test_knowledge_graph(spark):
     assert kept.count() == 1
     scores = {r["id"]: r["score"] for r in graph.graph_scores(last, kept).collect()}
     assert scores == {"f": 50, "c": 0}
+    graph.export_graph(last, kept, str(tmp_path / "g"))
+    assert spark.read.json(str(tmp_path / "g/edges")).count() == 1
