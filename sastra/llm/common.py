@@ -155,11 +155,11 @@ LETTERS = byte_set([*range(97, 123), *range(65, 91), *range(128, 256)])
 
 
 def slices(column: pa.Array, limit: int = BATCH_BYTES) -> Iterator[tuple[int, int, list[bytes]]]:
-    """The texts (null: empty) of a column as UTF-8, in runs of about ``limit`` bytes: (from, to, texts)."""
+    """The texts (null: empty) of a column as UTF-8, in runs of about ``limit`` bytes and ``BATCH_ROWS`` rows at most: (from, to, texts)."""
     texts = [x.as_buffer().to_pybytes() if x.is_valid else b"" for x in column]
     at = size = 0
     for i, x in enumerate(texts):
-        if i > at and size + len(x) > limit:
+        if i > at and (size + len(x) > limit or i - at >= BATCH_ROWS):
             yield at, i, texts[at:i]
             at, size = i, 0
         size += len(x)
