@@ -24,6 +24,8 @@ FRACTION = 0.6
 MAX_EPOCHS = 2
 #: Hexadecimal digits of the shuffle key that deal a leaf into ranges: 256 of them.
 RANGE_DIGITS = 2
+#: Leaves are broadcast up to so many (some 10 MB), which spares a shuffle by leaf; more are joined by a shuffle.
+BROADCAST_LEAVES = 100_000
 LEVELS = ("domain", "lang", "source")
 #: Weights by path from the root; a node that isn't listed weighs 1.
 WEIGHTS = {"d0": 4.0, "d1": 3.0, "d2": 2.0, "d3": 1.0} | {f"d{d}/{lang}": w for d in range(4) for lang, w in (("en", 3.0), ("de", 2.0), ("fr", 2.0), ("es", 1.0))}
@@ -93,7 +95,8 @@ def draw(light: DataFrame, levels: list[str], key: str, tokens: str, weights: di
     leaves = cut(rows.groupBy(*names).agg(F.sum("__t").alias("__tokens")))
     due = budgets(leaves, len(levels), weights, budget, fraction, max_epochs)
     due = cut(due.where("__tokens > 0").withColumn("__e", F.floor(F.col("__give") / F.col("__tokens")).cast("int")).withColumn("__rest", F.expr("__give - __e * __tokens")))
-    rows = rows.join(due.select(*names, "__e", "__rest"), names)
+    due = due.select(*names, "__e", "__rest")
+    rows = rows.join(F.broadcast(due) if due.count() <= BROADCAST_LEAVES else due, names)
     id_text = F.coalesce(F.col(key).cast("string"), F.lit("null"))
     rows = rows.withColumn("__k", F.md5(F.concat(F.lit(f"{seed}:"), F.col("__e").cast("string"), F.lit(":"), id_text))).withColumn("__b", F.substring("__k", 1, RANGE_DIGITS))
     ties = [F.col(f"`{c}`") for c, kind in light.dtypes if not kind.startswith("map") and c.lower() != "epoch"]
