@@ -8,6 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.workers import ship
 from ..operators import calls, findings, heuristics, python_ast, rules
 from ..sinks.reports import TOOL
 
@@ -57,6 +58,7 @@ class Plugins:
         return sorted(n for n, (_, langs) in self._held.items() if "*" in langs or language in langs)
 
     def run(self, files: DataFrame) -> DataFrame:
+        ship(files.sparkSession)
         held = dict(self._held)
 
         def work(batches):
@@ -94,6 +96,7 @@ def with_models(prompts: DataFrame, ask: Callable[[str], str], cut: int = 3000)
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column("key"), pa.array([ask(x or "") for x in b.column("text").to_pylist()], pa.string())], ["key", "answer"])
 
+    ship(prompts.sparkSession)
     rows = prompts.withColumn("key", F.sha2(F.substring("prompt", 1, cut), 256))
     answers = rows.select("key", F.substring("prompt", 1, cut).alias("text")).dropDuplicates(["key"]).mapInArrow(work, "key string, answer string")
     return rows.join(answers, "key").drop("key")
