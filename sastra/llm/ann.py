@@ -20,6 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.workers import ship
 from .common import cut, fetch, read
 
 K, EVERY = 20, 20
@@ -155,6 +156,7 @@ def nearest(rows: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
     Both take (vec_id, v) as :func:`valid` gives them. Repeated (id, vector) rows count once. Without rows or queries the result is empty.
     """
     spark = rows.sparkSession
+    ship(spark)
     classes = cut(_classes(rows, k))
     total = classes.count()
     sample = fetch(classes.select("v").orderBy(F.xxhash64("v"), "v").limit(SAMPLE))

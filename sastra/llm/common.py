@@ -13,6 +13,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.workers import ship
+
 #: Bytes of text that a Python worker turns into arrays at once; a longer text is a batch of its own.
 BATCH_BYTES = 2_000_000
 #: Rows that travel to a Python worker at once.
@@ -53,7 +55,8 @@ def store(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Keep Arrow batches of texts small, as a text may be long."""
+    """Keep Arrow batches of texts small, as a text may be long; and let Python workers find this package."""
+    ship(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
 
 
