@@ -1,8 +1,9 @@
 """Benchmark decontamination by a distributed positional inverted index.
 
-The index keeps a posting (term, document, position) for every training token that occurs in the benchmark. A phrase is
-looked up from its rarest term: its postings, shifted by the term's offset, are candidate starts; they are intersected
-with the shifted postings of the second rarest term, and what is left is compared word by word. DataFrame operations only.
+All training tokens that occur in the benchmark are counted; the index then keeps a posting (term, document, position) for every
+token that is among the two rarest of a phrase, as others are never looked up. The rarest term's postings, shifted by its
+offset, are a phrase's candidate starts; they are intersected with the shifted postings of the second rarest, and what is left is
+compared word by word. DataFrame operations only.
 
 A row is keyed by its id and a hash of its text, so repeated ids stay apart. Frequent terms are never looked up,
 unless a phrase has no rarer one; no group grows beyond the words of one document.
@@ -57,20 +58,25 @@ def _same_row(a: DataFrame, b: DataFrame) -> Column:
     return a["doc_id"].eqNullSafe(b["doc_id"]) & (a["text_key"] == b["text_key"])
 
 
-def exact_matches(index: DataFrame, phrases: DataFrame) -> DataFrame:
-    """Candidate starts (doc_id, text_key, wid, start) of (wid, win) phrases: both rarest terms stand where they should.
+def frequencies(docs: DataFrame, terms: DataFrame, n_terms: int) -> DataFrame:
+    """(term, n): how often each of ``terms`` occurs; those that don't are left out."""
+    tokens = docs.select(F.explode(words_of(F.col("text"))).alias("term"))
+    return tokens.join(maybe_broadcast(terms, n_terms), "term", "left_semi").groupBy("term").agg(F.count("*").alias("n"))
 
-    A phrase with a term that the index lacks occurs nowhere. A phrase of one term is matched by that term alone.
-    """
-    frequency = index.groupBy("term").agg(F.count("*").alias("n"))
+
+def rarest_terms(phrases: DataFrame, frequency: DataFrame) -> DataFrame:
+    """(wid, term, o1, term2, o2): the two rarest terms of (wid, win) phrases and their offsets; phrases with a term that never occurs are left out."""
     terms = phrases.select("wid", F.size("win").alias("length"), F.posexplode("win").alias("offset", "term")).join(frequency, "term")
     ranked = terms.groupBy("wid", "length").agg(F.array_sort(F.collect_list(F.struct("n", "term", "offset"))).alias("t")).where(F.size("t") == F.col("length"))
-    ranked = cut(
-        ranked.select(
-            "wid", F.col("t")[0]["term"].alias("term"), F.col("t")[0]["offset"].alias("o1"), F.try_element_at("t", F.lit(2))["term"].alias("term2"), F.try_element_at("t", F.lit(2))["offset"].alias("o2")
-        )
-    )
-    n = ranked.count()
+    second = F.try_element_at("t", F.lit(2))
+    return ranked.select("wid", F.col("t")[0]["term"].alias("term"), F.col("t")[0]["offset"].alias("o1"), second["term"].alias("term2"), second["offset"].alias("o2"))
+
+
+def exact_matches(index: DataFrame, ranked: DataFrame, n: int) -> DataFrame:
+    """Candidate starts (doc_id, text_key, wid, start) of the ``n`` phrases of :func:`rarest_terms`: both rarest terms stand where they should.
+
+    A phrase of one term is matched by that term alone.
+    """
     first = index.join(maybe_broadcast(ranked, n), "term").where("pos >= o1")
     first = first.select("doc_id", "text_key", "wid", F.expr("pos - o1").alias("start"), "term2", F.expr("pos - o1 + o2").alias("pos2"))
     seconds = ranked.select(F.col("term2").alias("term")).where("term is not null").distinct()
@@ -103,8 +109,11 @@ def flag(docs: DataFrame, items: DataFrame, size: int = WINDOW, min_items: int =
     """``docs`` (doc_id, text and any other columns) with ``__n_words``, ``__n_hit``, ``__items`` and ``__contaminated``."""
     phrases = cut(windows(items, size))
     terms = cut(phrases.select(F.explode("win").alias("term")).distinct())
-    index = store(postings(docs, terms, terms.count()), "postings")
-    found = exact_matches(index, phrases.select("wid", "win")).join(maybe_broadcast(phrases, phrases.count()), "wid")
+    frequency = cut(frequencies(docs, terms, terms.count()))
+    ranked = cut(rarest_terms(phrases, frequency))
+    looked_up = cut(ranked.select("term").union(ranked.select("term2")).where("term is not null").distinct())
+    index = store(postings(docs, looked_up, looked_up.count()), "postings")
+    found = exact_matches(index, ranked, ranked.count()).join(maybe_broadcast(phrases, phrases.count()), "wid")
     found = found.groupBy("doc_id", "text_key").agg(F.collect_set(F.struct("start", "win", "items")).alias("__found"))
     found = found.select(F.col("doc_id").alias("__id"), F.col("text_key").alias("__key"), "__found")
     rows = docs.withColumn("__k", text_key(F.col("text"))).withColumn("__n_words", F.size(words_of(F.col("text"))).cast("long"))
