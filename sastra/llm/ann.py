@@ -17,6 +17,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -203,14 +204,12 @@ def nearest(rows: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
     def run(_, ask, have):
         if not (ask.num_rows and have.num_rows):
             return pa.table({"q": pa.array([], pa.int64()), "score": pa.array([], pa.float64()), "ids": pa.array([], pa.list_(pa.int64()))})
-        have = have.take(pa.compute.sort_indices(pa.compute.list_element(have.column("ids"), 0)))  # ties go to smaller ids
+        have = have.take(pc.sort_indices(pc.list_element(have.column("ids"), 0)))  # ties go to smaller ids
         column = lambda t, name: t.column(name).combine_chunks()
         codes = np.frombuffer(b"".join(column(have, "codes").to_pylist()), np.uint8).reshape(have.num_rows, -1)
         qi, row, score = search_block(model.value, _matrix(column(ask, "v")), column(ask, "bound").to_numpy(), _matrix(column(have, "v")), codes, k + 1)
         return pa.table({"q": column(ask, "q").take(pa.array(qi)), "score": pa.array(score), "ids": column(have, "ids").take(pa.array(row))})
 
-    import pyarrow.compute  # noqa: F401
-
     by = ("list", "r", "c")
     found = left.groupBy(*by).cogroup(right.groupBy(*by)).applyInArrow(run, "q long, score double, ids array<long>")
     pairs = F.flatten(F.transform(F.collect_list(F.struct("score", "ids")), lambda c: F.transform(c["ids"], lambda i: F.struct((-c["score"]).alias("s"), i.alias("i")))))
