@@ -3,7 +3,8 @@
 A page is read into text lines (one for each block). Pages of a host are sorted by URL path; a page is compared with the pages before and
 after it, the longest common subsequence of their lines is aligned, and shared lines are deleted as template. Menus, adverts and the
 like that differ from page to page can't be found that way, so blocks inside elements that say what they are (nav, footer,
-class "ad", ...) go first, and lines inside <article> or <main> stay even if a neighbour has them: there they are quotations and copies, not template.
+class "ad", ...) go first, and lines inside <article> stay even if a neighbour has them: there they are quotations and copies, not template.
+Every other line, in <main> or outside, on a page with an <article> or without, stays unless a neighbour shares it.
 
 Neighbours are found on light rows by a range partitioning of (host, path), never by gathering a host: each range looks
 at its own rows, and only the ends of ranges are stitched. What is exchanged about neighbours are line hashes, not pages; each page's lines travel once.
@@ -122,7 +123,7 @@ def lines_of(page: str | None) -> list[tuple[str, int]]:
                         stack.pop()
             _, template, article = stack[-1] if stack else ("", False, False)
             template = template or _marked(tag, m[3], article)
-            article = article or tag in ("article", "main")
+            article = article or tag == "article"
             stack.append((tag, template, article))
     at = max(at, skip_to)
     if at < len(page):
@@ -195,8 +196,8 @@ def _texts(batches):
         found = []
         for packed, shared in zip(b.column("packed").to_pylist(), b.column("shared").to_pylist(), strict=True):
             rows = [x.split("\t", 2) for x in zlib.decompress(packed).decode("utf-8", "surrogatepass").split("\n") if x]
-            article, gone = any(k == str(ARTICLE) for _, k, _ in rows), set(shared)
-            found.append("\n".join(t for i, k, t in rows if (k == str(ARTICLE) if article else int(i) not in gone)))
+            gone = set(shared)
+            found.append("\n".join(t for i, k, t in rows if k == str(ARTICLE) or int(i) not in gone))
         yield pa.RecordBatch.from_arrays([b.column("page_id"), b.column("url"), pa.array(found, pa.string())], ["page_id", "url", "text"])
 
 
@@ -217,7 +218,7 @@ def extract(pages: DataFrame) -> DataFrame:
     """(page_id, url, text) of (page_id, url, html) rows: the lines that are left, joined by newlines.
 
     Null or empty pages have an empty text; a page alone in its host has no neighbour and loses only template elements;
-    pages without host share the empty host. Repeated rows each get their row. If a page has an <article> or <main> with text, its text is those lines.
+    pages without host share the empty host. Repeated rows each get their row. Lines inside an <article> stay though a neighbour shares them.
     """
     small_batches(pages.sparkSession)
     host, path = split_url(F.col("url"))

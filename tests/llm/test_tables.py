@@ -180,6 +180,17 @@ def test_differencing(spark):
     assert html_text.extract(df.limit(0)).count() == 0
 
 
+def test_differencing_decides_outside_the_article(spark):
+    shell = lambda x, main="": f"<div>Site name</div><p>Lead {x}</p><article>Quoted<p>Teaser {x}</p></article><main><p>In every main</p>{main}</main><div>Story {x}</div><nav>menu {x}</nav><p>Contact us</p>"
+    pages = [(i, f"http://h/{i}", shell(x, "<article class='reply'>Own</article>" if i == 2 else "")) for i, x in enumerate(("one", "two", "three"))]
+    got = {r["page_id"]: r["text"].split("\n") for r in html_text.extract(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+    want = {i: [f"Lead {x}", "Quoted", f"Teaser {x}", f"Story {x}"] for i, x in enumerate(("one", "two", "three"))}
+    want[2].insert(3, "Own")
+    assert got == want
+    lone = spark.createDataFrame([(9, "http://lone/", shell("x"))], "page_id long, url string, html string")
+    assert html_text.extract(lone).first()["text"].split("\n") == ["Site name", "Lead x", "Quoted", "Teaser x", "In every main", "Story x", "Contact us"]
+
+
 def test_common_subsequence():
     rng = random.Random(7)
     for _ in range(50):
