@@ -2,11 +2,12 @@
 
 A URL becomes a set of tokens: each label of its host, each segment of its path, the names of its query parameters. Labelled URLs
 join a token for their class; Spark's FP-growth finds the frequent combinations, and those that imply a class with enough
-support and confidence, and that no shorter rule already covers, are kept. A URL is judged through an inverted index from token to rule:
+support and confidence, and that no part of theirs already covers, are kept, whatever their length. A URL is judged through an inverted index from token to rule:
 a rule fires if as many of its tokens are found as it has. Curated rules go first. DataFrame and SQL functions only.
 
 Tokens that occur in most URLs cost nothing extra: rules, not URLs, are looked up by token, and each URL's tokens stay in its row until the join with the rules,
-which are few (``RULES`` at most by construction: support bounds the number of frequent pairs) and checked before they are broadcast.
+which are counted before they are broadcast. Support bounds the frequent combinations, but not by the number of tokens: k tokens that
+always occur together are 2**k - 1 of them, of which the rules keep the smallest.
 """
 
 from __future__ import annotations
@@ -25,10 +26,10 @@ CURATED = (
     ("net", "/es/", "block"),
     ("net", "/fr/", "block"),
 )
-#: Of labelled URLs, the part that a combination occurs in at least; the part of its URLs that share the class; tokens of a rule at most.
-SUPPORT, CONFIDENCE, TOKENS = 0.01, 0.8, 2
+#: Of labelled URLs, the part that a combination occurs in at least; the part of its URLs that share the class.
+SUPPORT, CONFIDENCE = 0.01, 0.8
 DEFAULT = "allow"
-#: The index of rules is broadcast up to so many rows; a larger one is joined by a shuffle.
+#: The index of rules (a row for each token of each) is broadcast up to so many rows; a larger one is joined by a shuffle.
 BROADCAST_ROWS = 100_000
 
 
@@ -60,27 +61,30 @@ def curated(host: Column, path: Column, rules=CURATED) -> Column:
     return out if out is not None else F.lit(None).cast("struct<rule:string,verdict:string>")
 
 
-def mine(labelled: DataFrame, support: float = SUPPORT, confidence: float = CONFIDENCE, most: int = TOKENS) -> DataFrame:
+def mine(labelled: DataFrame, support: float = SUPPORT, confidence: float = CONFIDENCE) -> DataFrame:
     """(rule_id, tokens, verdict, confidence, support) rules mined from (tokens, verdict) rows.
 
-    Null verdicts take no part. A rule is dropped if a rule of fewer of its tokens has the same verdict at no less confidence. No rows, no rules.
+    Null verdicts take no part. A rule is dropped if a rule of some of its tokens has the same verdict at no less confidence. No rows, no rules.
     """
     rows = labelled.where("verdict is not null").select(F.array_append("tokens", F.concat(F.lit("class:"), "verdict")).alias("items"))
     none = "tokens array<string>, verdict string, confidence double, support double"
     if rows.isEmpty():
         return rows.sparkSession.createDataFrame([], none).withColumn("rule_id", F.lit(""))
     model = FPGrowth(itemsCol="items", minSupport=support, minConfidence=confidence).fit(rows)
-    sets = cut(model.freqItemsets.where(F.size("items") <= most + 1))
+    sets = cut(model.freqItemsets)
     total = rows.count()
     is_class = lambda x: x.startswith("class:")
     with_class = sets.where(F.exists("items", is_class) & (F.size("items") > 1))
     with_class = with_class.select(F.array_sort(F.filter("items", lambda x: ~is_class(x))).alias("tokens"), F.substr(F.filter("items", is_class)[0], F.lit(7)).alias("verdict"), F.col("freq").alias("both"))
     alone = sets.where(~F.exists("items", is_class)).select(F.array_sort("items").alias("tokens"), F.col("freq").alias("base"))
-    rules = with_class.where(F.size("tokens") <= most).join(alone, "tokens").select("tokens", "verdict", (F.col("both") / F.col("base")).alias("confidence"), (F.col("both") / F.lit(total)).alias("support"))
+    rules = with_class.join(alone, "tokens").select("tokens", "verdict", (F.col("both") / F.col("base")).alias("confidence"), (F.col("both") / F.lit(total)).alias("support"))
     rules = cut(rules.where(F.col("confidence") >= confidence))
-    shorter = rules.select(F.explode("tokens").alias("token"), "tokens", "verdict", "confidence")
-    single = rules.where(F.size("tokens") == 1).select(F.col("tokens")[0].alias("token"), F.col("verdict").alias("v"), F.col("confidence").alias("c"))
-    covered = shorter.where(F.size("tokens") > 1).join(single, "token").where("v = verdict and c >= confidence").select("tokens", "verdict").distinct()
+    # A part holds its own rarest token, so that one is enough to find the rules it may be part of.
+    tokens = rules.select("tokens", "verdict", "confidence", F.explode("tokens").alias("token"))
+    tokens = tokens.join(tokens.groupBy("token").agg(F.count("*").alias("n")), "token")
+    parts = tokens.groupBy(F.col("tokens").alias("part"), F.col("verdict").alias("v"), F.col("confidence").alias("c")).agg(F.min(F.struct("n", "token"))["token"].alias("token"))
+    inside = (F.size("part") < F.size("tokens")) & (F.size(F.array_except("part", "tokens")) == 0)
+    covered = tokens.join(parts, "token").where("v = verdict and c >= confidence").where(inside).select("tokens", "verdict").distinct()
     return rules.join(covered, ["tokens", "verdict"], "left_anti").withColumn("rule_id", F.concat_ws(" ", "tokens"))
 
 
@@ -95,7 +99,7 @@ def judge(pages: DataFrame, labels: DataFrame, key: str = "page_id", url: str =
     classes = labels.where(f"{key} is not null").groupBy(key).agg(F.max("verdict").alias("__class"))
     rules = cut(mine(rows.join(classes, key).select(F.col("__tokens").alias("tokens"), F.col("__class").alias("verdict"))))
     index = rules.select(F.explode("tokens").alias("__token"), "rule_id", F.size("tokens").alias("__need"), F.col("verdict").alias("__v"), "confidence", "support")
-    n = rules.count()
+    n = index.count()
     if not n:
         out = rows.withColumn("__best", F.lit(None).cast("struct<rule_id:string,v:string>"))
     else:

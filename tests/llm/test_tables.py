@@ -1,3 +1,4 @@
+import itertools
 import random
 
 import numpy as np
@@ -222,6 +223,43 @@ def test_mined_rules(spark):
     assert url_filter.judge(pages.limit(0), labels).count() == 0 and url_filter.judge(pages, labels.limit(0)).where("verdict = 'block'").count() == 0
 
 
+def test_rules_of_three_tokens(spark):
+    urls = [f"http://{'shop' if i & 1 else 'blog'}.org/{'win' if i & 2 else 'read'}/{i}?{'ref' if i & 4 else 'id'}=1" for i in range(240)]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    labels = spark.createDataFrame([(i, "block" if i % 8 == 7 else "allow") for i in range(160)], "page_id long, verdict string")
+    got = {r["page_id"]: (r["verdict"], r["mined_rule"]) for r in url_filter.judge(pages, labels).collect()}
+    assert {i for i, (v, _) in got.items() if v == "block"} == {i for i in range(240) if i % 8 == 7}
+    assert {r for v, r in got.values() if v == "block"} == {"h:shop p:win q:ref"}
+
+
+def brute_rules(rows, support, confidence):
+    found = {}
+    for tokens, _ in rows:
+        for k in range(1, len(tokens) + 1):
+            for part in itertools.combinations(sorted(tokens), k):
+                found.setdefault(frozenset(part), None)
+    rules = {}
+    for part in found:
+        classes = [v for tokens, v in rows if part <= set(tokens)]
+        for v in set(classes):
+            if classes.count(v) >= support * len(rows) and classes.count(v) / len(classes) >= confidence:
+                rules[part, v] = (classes.count(v) / len(classes), classes.count(v) / len(rows))
+    return {(" ".join(sorted(p)), v): x for (p, v), x in rules.items() if not any(q < p and w == v and c >= x[0] for (q, w), (c, _) in rules.items())}
+
+
+@pytest.mark.parametrize("seed", [0, 1])
+def test_rules_like_brute_force(spark, seed):
+    rng = random.Random(seed)
+    rows = []
+    for _ in range(150):
+        tokens = [t for t in "abcdefg" if rng.random() < 0.6]
+        rows.append((tokens, rng.choice(["allow", "block"]) if rng.random() < 0.4 else "block" if sum(t in tokens for t in "abcd") > 3 else "allow"))
+    got = url_filter.mine(spark.createDataFrame(rows, "tokens array<string>, verdict string"), 0.05, 0.75).collect()
+    want = brute_rules(rows, 0.05, 0.75)
+    assert max(len(k.split()) for k, _ in want) > 2 and len(got) == len(want)
+    assert {(r["rule_id"], r["verdict"]): (r["confidence"], r["support"]) for r in got} == want
+
+
 # ---------------------------------------------------------------- token files
 
 
