@@ -83,25 +83,30 @@ def sinks(funcs: DataFrame) -> DataFrame:
     return _tagged(funcs, SINK_TOKENS)
 
 
-def shortest_paths(edges: DataFrame, starts: DataFrame, ends: DataFrame, most: int = 50) -> DataFrame:
+def _cut(df: DataFrame) -> DataFrame:
+    """Lineage ends here: in the checkpoint folder, or in executors where there is none."""
+    spark = df.sparkSession
+    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    return df.checkpoint() if shared or spark.sparkContext._jsc.sc().getCheckpointDir().isDefined() else df.persist()
+
+
+def shortest_paths(edges: DataFrame, starts: DataFrame, ends: DataFrame) -> DataFrame:
     """GRA-4: (source, sink, path array, length in functions): a shortest path from each source to each sink it reaches; ties by path text.
 
     Frontiers advance one hop a round and keep one path for each (source, function), so the work is bounded by pairs, not by
-    paths. A function that is both gives [f, f]. Stops when a round finds nothing new, or after ``most`` hops.
+    paths. A function that is both gives [f, f]. Stops when a round finds nothing new.
     """
-    spark = edges.sparkSession
+    edges = _cut(edges.select("src", "dst").distinct())
     starts, ends = starts.select(F.col("name").alias("source")), ends.select(F.col("name").alias("sink"))
     seen = starts.select("source", F.col("source").alias("at"), F.array("source").alias("path"))
     frontier = seen
-    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    cut = (lambda df: df.checkpoint()) if shared or spark.sparkContext._jsc.sc().getCheckpointDir().isDefined() else (lambda df: df.persist())
-    for _ in range(most):
+    while True:
         step = frontier.join(edges, frontier["at"] == edges["src"]).select("source", F.col("dst").alias("at"), F.concat("path", F.array("dst")).alias("path"))
         step = step.groupBy("source", "at").agg(F.min_by("path", F.array_join("path", "\u0001")).alias("path"))
-        frontier = cut(step.join(seen.select("source", "at"), ["source", "at"], "left_anti"))
+        frontier = _cut(step.join(seen.select("source", "at"), ["source", "at"], "left_anti"))
         if frontier.isEmpty():
             break
-        seen = cut(seen.unionByName(frontier))
+        seen = _cut(seen.unionByName(frontier))
     reached = seen.join(ends, seen["at"] == ends["sink"])
     own = F.when(F.size("path") == 1, F.concat("path", F.array("sink"))).otherwise(F.col("path"))
     return reached.select("source", "sink", own.alias("path")).withColumn("length", F.size("path"))
@@ -177,17 +182,21 @@ def graph_stats(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return by.union(nodes.agg(F.lit("nodes"), F.count("*"))).union(edges.agg(F.lit("edges"), F.count("*")))
 
 
-def attack_paths(start: DataFrame, edges: DataFrame, most: int = 10) -> DataFrame:
-    """GRA-9: (id, path array): all simple paths from each start that end where no edge leaves.
+def attack_paths(start: DataFrame, edges: DataFrame) -> DataFrame:
+    """GRA-9: (id, path array): all simple paths from each start that end where no edge leaves, however long.
 
-    All paths are wanted, so the result itself may be large; ``most`` bounds their length. One recursive query, so nothing is collected.
+    All paths are wanted, so the result itself may be large. Walks advance one edge a round, so nothing is collected; no
+    node comes twice in a walk, so the rounds end.
     """
-    spark = edges.sparkSession
-    edges.select("src", "dst").distinct().createOrReplaceTempView("__kg_edges")
-    start.select("id").distinct().createOrReplaceTempView("__kg_start")
-    return spark.sql(f"""
-        WITH RECURSIVE walk(id, at, path, n) AS (
-          SELECT id, id, array(id), 0 FROM __kg_start
-          UNION ALL
-          SELECT w.id, e.dst, array_append(w.path, e.dst), w.n + 1 FROM walk w JOIN __kg_edges e ON w.at = e.src WHERE NOT array_contains(w.path, e.dst) AND w.n < {most})
-        SELECT id, path FROM walk LEFT ANTI JOIN __kg_edges e ON walk.at = e.src""")
+    edges = _cut(edges.select("src", "dst").distinct())
+    walks = _cut(start.select("id").distinct().select("id", F.col("id").alias("at"), F.array("id").alias("path")))
+    found = walks.select("id", "path").limit(0)
+    parts = 0
+    while not walks.isEmpty():
+        found = found.unionByName(walks.join(edges, walks["at"] == edges["src"], "left_anti").select("id", "path"))
+        parts += 1
+        if parts % 16 == 0:  # the plan stays short
+            found = _cut(found)
+        step = walks.join(edges, walks["at"] == edges["src"]).where(~F.array_contains("path", F.col("dst")))
+        walks = _cut(step.select("id", F.col("dst").alias("at"), F.array_append("path", F.col("dst")).alias("path")))
+    return _cut(found)

@@ -184,6 +184,18 @@ def test_diagnostics(spark):
     assert (row["line"], row["start"], row["end"], row["tag"]) == (0, 1, 4, "deprecated")
 
 
+def test_paths_of_any_length(spark):
+    chain = [(f"n{i}", f"n{i + 1}") for i in range(55)]
+    edges = spark.createDataFrame([*chain, ("n20", "n3"), ("n55", "n7"), ("n40", "out"), ("n55", "end")], "src string, dst string")
+    name = lambda x: spark.createDataFrame([(x,)], "name string")
+    found = graph.shortest_paths(edges, name("n0"), name("n55")).collect()
+    assert [(r["path"], r["length"]) for r in found] == [([f"n{i}" for i in range(56)], 56)]
+    paths = graph.attack_paths(spark.createDataFrame([("n0",), ("n54",), ("end",)], "id string"), edges).collect()
+    whole = [f"n{i}" for i in range(56)]
+    want = [("n0", [*whole, "end"]), ("n0", [*whole[:41], "out"]), ("n54", ["n54", "n55", "end"]), ("n54", ["n54", "n55", *whole[7:41], "out"]), ("end", ["end"])]
+    assert sorted((r["id"], r["path"]) for r in paths) == sorted(want)
+
+
 def test_knowledge_graph(spark, tmp_path):
     nodes = spark.createDataFrame([("f", "a", 1), ("f", "b", 2), ("c", "x", 1)], "id string, type string, seq int")
     last = graph.upsert_nodes(nodes)
