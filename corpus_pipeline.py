@@ -12,6 +12,9 @@ from sastra.llm.common import read, store
 
 #: Part of its input's tokens that the mixture keeps; no document is taken twice.
 FRACTION, EPOCHS = 0.8, 1
+#: (percent, words of a shingle): documents alike by either are near-duplicates. The first is op3's rule, which sees words
+#: replaced here and there; the second sees longer texts added or cut off.
+NEAR = ((85, 3), (80, 5))
 
 
 def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -21,8 +24,8 @@ def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates."""
-    return near_dedup.one_of_each(docs)
+    """One document of each group of near-duplicates, by any rule of ``NEAR``."""
+    return near_dedup.one_of_each(docs, *NEAR[0], also=NEAR[1:])
 
 
 def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -12,7 +12,8 @@ hold several components are compared further: small ones pair by pair, large one
 block, where matrix products give all intersections and only links leave the task. Counts per bucket are pre-aggregated, and buckets are
 joined, not gathered, so a bucket with a third of all rows spreads over tasks.
 
-At similarity 0.85 a pair shares none of the 24 bands with probability 2e-8, and the estimate drops it with about 1e-7.
+At similarity 0.85 a pair shares none of the 24 bands with probability 2e-8, and the estimate drops it with about 1e-7;
+at 0.80 with 3e-6, and the estimate drops it with about 4e-8.
 """
 
 from __future__ import annotations
@@ -27,7 +28,7 @@ from pyspark.sql import functions as F
 from .common import FOLD, NOT_SPACE, Words, cut, mix, read, release, slices, small_batches, store
 
 REGISTERS, BAND, MANTISSA = 96, 4, 10
-#: The estimate may lie so far below the threshold (six standard errors at 0.85).
+#: The estimate may lie so far below the threshold at least (six standard errors at 0.85; see :func:`slack`).
 SLACK = 0.22
 SHINGLE, PERCENT = 3, 85
 #: Buckets of up to so many members are compared pair by pair, larger ones in blocks of about so many members and so many shingles at once.
@@ -146,6 +147,11 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
+def slack(percent: int) -> float:
+    """How far the estimate may lie below the threshold: six standard errors there, and ``SLACK`` at least."""
+    return max(SLACK, 6 * (percent / 100 * (1 - percent / 100) / REGISTERS) ** 0.5)
+
+
 def _alike(percent: int, n: str, m: str) -> str:
     """Sizes that a similarity of ``percent`` allows."""
     return f"100 * least({n}, {m}) >= {percent} * greatest({n}, {m})"
@@ -154,7 +160,7 @@ def _alike(percent: int, n: str, m: str) -> str:
 def _confirm(pairs: DataFrame, regs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Of (a, b) pairs those that the estimate leaves and the full sets confirm."""
     left, right = (regs.select(F.col("id").alias(k), F.col("n").alias(f"n{k}"), F.col("regs").alias(f"r{k}")) for k in "ab")
-    near = pairs.join(left, "a").join(right, "b").where(F.expr(_alike(percent, "na", "nb"))).where(estimated_similarity("ra", "rb", "na", "nb") >= percent / 100 - SLACK)
+    near = pairs.join(left, "a").join(right, "b").where(F.expr(_alike(percent, "na", "nb"))).where(estimated_similarity("ra", "rb", "na", "nb") >= percent / 100 - slack(percent))
     near = cut(near.select("a", "b"))
     full = near.join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("sb")), "b").join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("sa")), "a")
     common = full.select("a", "b", F.size(F.array_intersect("sa", "sb")).alias("c"), (F.size("sa") + F.size("sb")).alias("t"))
@@ -286,9 +292,20 @@ def _ties(docs: DataFrame) -> list[str]:
     return [f"`{c}`" for c, kind in docs.dtypes if c not in ("doc_id", "text") and kind in ("string", "int", "bigint", "double", "boolean")]
 
 
-def one_of_each(docs: DataFrame, percent: int = PERCENT, size: int = SHINGLE) -> DataFrame:
-    """The rows of ``docs`` (all columns) with the smallest id of their component, once; rows with a null id stay."""
-    gone = near_duplicates(docs.select("doc_id", "text"), percent, size).where("component_id < doc_id").select("doc_id").distinct()
+def one_of_each(docs: DataFrame, percent: int = PERCENT, size: int = SHINGLE, also: tuple[tuple[int, int], ...] = ()) -> DataFrame:
+    """The rows of ``docs`` (all columns) with the smallest id of their component, once; rows with a null id stay.
+
+    Documents link by ``percent`` and ``size``, or by any further (percent, size) in ``also``; components are those of all links.
+    """
+    below = lambda p, n: near_duplicates(docs.select("doc_id", "text"), p, n).where("component_id < doc_id")
+    if also:
+        links = docs.sparkSession.createDataFrame([], "a long, b long")
+        for rule in ((percent, size), *also):
+            links = cut(links.union(below(*rule).select("component_id", "doc_id").distinct()))
+            release(docs.sparkSession)
+        gone = components(links).where("comp < id").select(F.col("id").alias("doc_id"))
+    else:
+        gone = below(percent, size).select("doc_id").distinct()
     kept = docs.join(gone, "doc_id", "left_anti").withColumn("__n", F.row_number().over(W.partitionBy("doc_id").orderBy(F.xxhash64("text"), *_ties(docs))))
     return kept.where("__n = 1 or doc_id is null").select(*[F.col(f"`{c}`") for c in docs.columns])
 

@@ -1,4 +1,6 @@
 
+import random
+
 import corpus_pipeline as P
 from sastra.llm import decontamination, near_dedup, toxicity
 from sastra.llm.common import read
@@ -33,3 +35,31 @@ def test_empty(spark):
         assert docs.count() == 0
 
 
+def test_near_duplicates_like_brute_force(spark):
+    rng = random.Random(2)
+    some = lambda n: ["".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(n)]
+    texts = []
+    for n in (200, 300, 500):
+        base = some(n)
+        edited = list(base)
+        for i in rng.sample(range(n), n * 24 // 1000):
+            edited[i] = some(1)[0]
+        # copies with text added or cut off, from 5 to 40 %; words replaced here and there; and a copy of an edited copy
+        texts += [base, edited, edited + some(n // 5), *(base + some(n * k // 100) for k in (5, 20, 24, 40)), *(base[: n * k // 100] for k in (95, 82, 60))]
+    texts += [some(n) for n in (1, 3, 4, 5, 60)]
+    rng.shuffle(texts)
+    cuts = lambda t, k: {tuple(t[i : i + k]) for i in range(max(len(t) - k + 1, 1))}
+    sets = [{k: cuts(t, k) for k in (3, 5)} for t in texts]
+    group = list(range(len(texts)))
+    linked = {3: set(), 5: set()}
+    for a, x in enumerate(sets):
+        for b in range(a):
+            for percent, k in ((85, 3), (80, 5)):
+                y = sets[b]
+                if 100 * len(x[k] & y[k]) >= percent * len(x[k] | y[k]):
+                    linked[k].add((b, a))
+                    group = [min(group[a], group[b]) if g in (group[a], group[b]) else g for g in group]
+    assert linked[5] - linked[3] and linked[3] - linked[5]
+    docs = spark.createDataFrame([(i, " ".join(t), "en", "src0", 1) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
+    got = sorted(r["doc_id"] for r in P.near_duplicates(spark, docs, "").collect())
+    assert got == sorted(set(group))
