@@ -16,6 +16,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import LETTERS, IDENTITY, Words, crc_of_id, fetch, read, slices, small_batches
@@ -190,13 +191,14 @@ def predict(model: Model, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def sample(docs: DataFrame, learn) -> DataFrame:
-    """About ``SAMPLE_DOCS`` rows of each language, ``SAMPLE_TOTAL`` at most, chosen by a hash of the id."""
+    """About ``SAMPLE_DOCS`` rows of each language, ``SAMPLE_TOTAL`` at most, chosen by a hash of the id. Beyond that all languages give up rows down to one number, so rare ones keep theirs."""
     able = docs.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & F.col("text").rlike(r"\p{L}") & (F.length("text") <= SAMPLE_CHARS) & learn(F.col("doc_id")))
     part = (F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40)) / (1 << 40)).alias("part")
     able = able.select("doc_id", "lang", "text", part)
     sizes = able.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(SAMPLE_TOTAL)
     rows = able.join(F.broadcast(sizes), "lang").where(F.col("part") * F.col("n") < SAMPLE_DOCS)  # SAMPLE_TOTAL names at most
-    return rows.orderBy("part", "doc_id").limit(SAMPLE_TOTAL).select("doc_id", "lang", F.lower("text").alias("text"))
+    rank = F.row_number().over(W.partitionBy("lang").orderBy("part", "doc_id")).alias("rank")  # about SAMPLE_DOCS rows a language
+    return rows.select("*", rank).orderBy("rank", "part", "doc_id").limit(SAMPLE_TOTAL).select("doc_id", "lang", F.lower("text").alias("text"))
 
 
 def fit(docs: DataFrame, learn=lambda doc_id: F.crc32(F.encode(doc_id.cast("string"), "UTF-8")) % 4 != 2) -> Model:

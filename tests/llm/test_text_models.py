@@ -50,6 +50,16 @@ def test_language(spark, docs):
     assert L.add_language(odd.limit(0), model).count() == 0
 
 
+def test_rare_languages_stay_in_the_sample(spark):
+    sizes = {f"l{k}": 700 if k < 12 else 20 for k in range(16)}
+    rows = [(i, "some text", lang) for i, lang in enumerate(x for x, n in sizes.items() for _ in range(n))]
+    got = L.sample(spark.createDataFrame(rows, "doc_id long, text string, lang string"), lambda i: i >= 0).groupBy("lang").count().collect()
+    counts = {r["lang"]: r["count"] for r in got}
+    assert sum(counts.values()) == L.SAMPLE_TOTAL and all(counts[f"l{k}"] == 20 for k in range(12, 16))
+    large = [counts[f"l{k}"] for k in range(12)]
+    assert max(large) - min(large) <= 1
+
+
 def test_code_switching(spark, docs):
     model = L.fit(docs)
     marked = [lang for _, lang, _ in L.switches(model, "the house river water und der fluss stein wasser")]
