@@ -24,15 +24,31 @@ SPACES = bytes([0x20, *range(0x09, 0x0E)])
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster shares, from ``spark.checkpoint.dir``; a local one only where that is unset."""
-    set_to = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    """The folder that the cluster shares, from ``spark.checkpoint.dir`` or the context's checkpoint folder.
+
+    Where neither is set, a local master gets a folder of its own; on a cluster that is an error, as executors don't share the driver's folders.
+    """
+    context = spark.sparkContext
+    have = context._jsc.sc().getCheckpointDir()
+    set_to = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
     if set_to:
-        if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-            spark.sparkContext.setCheckpointDir(set_to)
+        if not have.isDefined():
+            context.setCheckpointDir(set_to)
         return set_to
-    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        spark.sparkContext.setCheckpointDir(os.path.join(tempfile.gettempdir(), "sastra-checkpoints"))
-    return spark.sparkContext._jsc.sc().getCheckpointDir().get()
+    if not have.isDefined():
+        if not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="sastra-checkpoints-"))
+    return context._jsc.sc().getCheckpointDir().get()
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """A column name that ``df`` doesn't have, made from ``name`` (names compare without case, as Spark's do)."""
+    taken = {c.lower() for c in df.columns}
+    name = f"__{name}"
+    while name.lower() in taken:
+        name += "_"
+    return name
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -55,9 +71,14 @@ def store(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Keep Arrow batches of texts small, as a text may be long; and let Python workers find this package."""
+    """Keep Arrow batches of texts small, as a text may be long; and let Python workers find this package.
+
+    Plans read the setting when they run, which is after the operator returns, so it can't be put back; a smaller value of the session's stays.
+    """
     ship(spark)
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= BATCH_ROWS:
+        spark.conf.set(key, str(BATCH_ROWS))
 
 
 def read(spark: SparkSession, sf_dir: str, table: str, *columns: str) -> DataFrame:

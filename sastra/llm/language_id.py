@@ -19,12 +19,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import LETTERS, IDENTITY, Words, crc_of_id, fetch, read, slices, small_batches
+from .common import IDENTITY, LETTERS, Words, crc_of_id, fetch, free_name, read, slices, small_batches
 
 BUCKETS = 1 << 16
 AFFIXES, NGRAMS = (1, 2, 3, 4), (2, 3)
-#: Documents of each language that the model is fitted on (about as many, by a hash of the id), the most in all, and their longest text.
-SAMPLE_DOCS, SAMPLE_TOTAL, SAMPLE_CHARS = 500, 4000, 20_000
+#: Documents of each language that the model is fitted on (about as many, by a hash of the id), the most in all, and the characters of
+#: all of them: every language has the same part of those, and its last document may pass it. No text is left out for its length.
+SAMPLE_DOCS, SAMPLE_TOTAL, SAMPLE_CHARS = 500, 4000, 40_000_000
 #: Words in a training run, runs in all, the part that is spliced, passes, runs in a step, step size, least count of a lexicon word.
 RUN, RUNS, SPLICED, EPOCHS, BATCH, RATE, LEXICON_COUNT, SEED = 40, 6000, 0.4, 3, 100, 0.3, 3, 2
 #: Bytes of text that advance together.
@@ -191,14 +192,21 @@ def predict(model: Model, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def sample(docs: DataFrame, learn) -> DataFrame:
-    """About ``SAMPLE_DOCS`` rows of each language, ``SAMPLE_TOTAL`` at most, chosen by a hash of the id. Beyond that all languages give up rows down to one number, so rare ones keep theirs."""
-    able = docs.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & F.col("text").rlike(r"\p{L}") & (F.length("text") <= SAMPLE_CHARS) & learn(F.col("doc_id")))
+    """About ``SAMPLE_DOCS`` rows of each language, ``SAMPLE_TOTAL`` and ``SAMPLE_CHARS`` at most, chosen by a hash of the id.
+
+    Beyond that all languages give up rows down to one number, so rare ones keep theirs. Texts are read once the rows are chosen.
+    """
+    able = docs.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & F.col("text").rlike(r"\p{L}") & learn(F.col("doc_id")))
     part = (F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40)) / (1 << 40)).alias("part")
-    able = able.select("doc_id", "lang", "text", part)
+    able = able.select("doc_id", "lang", part, F.xxhash64("text").alias("key"), F.length("text").alias("chars"), "text")
     sizes = able.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(SAMPLE_TOTAL)
-    rows = able.join(F.broadcast(sizes), "lang").where(F.col("part") * F.col("n") < SAMPLE_DOCS)  # SAMPLE_TOTAL names at most
-    rank = F.row_number().over(W.partitionBy("lang").orderBy("part", "doc_id")).alias("rank")  # about SAMPLE_DOCS rows a language
-    return rows.select("*", rank).orderBy("rank", "part", "doc_id").limit(SAMPLE_TOTAL).select("doc_id", "lang", F.lower("text").alias("text"))
+    rows = able.drop("text").join(F.broadcast(sizes), "lang").where(F.col("part") * F.col("n") < SAMPLE_DOCS)  # SAMPLE_TOTAL names at most
+    order = W.partitionBy("lang").orderBy("part", "doc_id", "key")  # about SAMPLE_DOCS light rows a language
+    rows = rows.withColumn("rank", F.row_number().over(order)).withColumn("before", F.sum("chars").over(order.rowsBetween(W.unboundedPreceding, 0)) - F.col("chars"))
+    share = sizes.agg((F.lit(SAMPLE_CHARS) / F.count("*")).alias("share"))
+    rows = rows.crossJoin(F.broadcast(share)).where("before < share")  # one row
+    drawn = rows.orderBy("rank", "part", "doc_id", "key").limit(SAMPLE_TOTAL).select("doc_id", "lang", "key").distinct()
+    return able.join(F.broadcast(drawn), ["doc_id", "lang", "key"]).select("doc_id", "lang", F.lower("text").alias("text"))  # SAMPLE_TOTAL rows at most
 
 
 def fit(docs: DataFrame, learn=lambda doc_id: F.crc32(F.encode(doc_id.cast("string"), "UTF-8")) % 4 != 2) -> Model:
@@ -210,13 +218,15 @@ def fit(docs: DataFrame, learn=lambda doc_id: F.crc32(F.encode(doc_id.cast("stri
 def add_language(docs: DataFrame, model: Model) -> DataFrame:
     """``docs`` with ``lang_pred`` and ``score``; columns of those names are replaced.
 
-    Null texts and texts without a letter are ``und`` with score 0. Rows are judged one by one, so repeats agree; an empty table stays empty.
+    Null texts and texts without a letter are ``und`` with score 0. Rows are judged one by one, so repeats agree; an empty table stays
+    empty. Of languages with equal mass the first by name is taken. Very long texts are judged whole, as a batch of their own.
     """
     small_batches(docs.sparkSession)
     docs = docs.drop("lang_pred", "score")
     shared = docs.sparkSession.sparkContext.broadcast(model)
     kept = docs.columns
-    sent = docs.withColumn("__low", F.when(F.col("text").rlike(r"\p{L}"), F.lower("text")))
+    low = free_name(docs, "low")
+    sent = docs.withColumn(low, F.when(F.col("text").rlike(r"\p{L}"), F.lower("text")))
     schema = docs.select("*", F.lit("").alias("lang_pred"), F.lit(0.0).alias("score")).schema
 
     def run(batches):
@@ -224,7 +234,7 @@ def add_language(docs: DataFrame, model: Model) -> DataFrame:
         names = np.array([*m.languages, UNKNOWN], dtype=object)
         for b in batches:
             best, score = [np.zeros(0, np.int64)], [np.zeros(0)]
-            for _, _, texts in slices(b.column("__low"), BYTES):
+            for _, _, texts in slices(b.column(low), BYTES):
                 k, s = predict(m, texts)
                 best.append(k)
                 score.append(np.where(k < 0, 0, s))

@@ -15,15 +15,17 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import FOLD, LETTERS, Words, crc_of_id, fetch, read, slices, small_batches
 
 BUCKETS = 1 << 15
 DIM, FILTERS, WIDTHS, STEM = 16, 8, (1, 2, 3), 4
-#: Labelled rows that the model is fitted on, for each label; longer texts than so many characters aren't drawn.
+#: Labelled rows that the model is fitted on at most, for each label, and characters of their texts: rows are drawn by a hash of
+#: the id, whatever their length, until either is reached (the last row may pass it).
 SAMPLE_ROWS = 4000
-SAMPLE_CHARS = 12_000
+SAMPLE_CHARS = 24_000_000
 #: Buckets that fewer texts of the sample hold share one embedding, so that chance words aren't learned by heart.
 LEAST_DOCS = 6
 EPOCHS, BATCH, RATE, SEED = 6, 32, 0.01, 9
@@ -79,7 +81,9 @@ def logits(model: Model, ids: np.ndarray, first: np.ndarray) -> np.ndarray:
         for o in range(width):
             for part in (0, 1):
                 x += model.tables[k][o][tokens[at + o, part]]
-        z += np.maximum(_segment_max(x, first) + model.bias[k], 0) @ model.out[k]
+        top = np.maximum(_segment_max(x, first) + model.bias[k], 0).astype(np.float64)
+        for f in range(FILTERS):  # one order of addition, so that a score doesn't depend on the texts beside it
+            z += top[:, f] * float(model.out[k][f])
     # a text without words has no maxima: its score is the bias alone
     empty = np.diff(first) == 0
     z[empty] = model.out_bias
@@ -91,7 +95,7 @@ def languages(model: Model, ids: np.ndarray, first: np.ndarray) -> np.ndarray:
     total = np.zeros((len(first) - 1, model.profile.shape[1]))
     full = np.diff(first) > 0
     if full.any():
-        total[full] = np.add.reduceat(model.profile[ids[:, 0]], first[:-1][full], axis=0)
+        total[full] = np.add.reduceat(model.profile[ids[:, 0]].astype(np.float64), first[:-1][full], axis=0)
     return total.argmax(axis=1)
 
 
@@ -214,20 +218,36 @@ def _encode(batches):
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("toxic"), part.column("lang"), pa.array(raw, pa.binary())], ["doc_id", "toxic", "lang", "ids"])
 
 
+def constant(n: int, toxic: int) -> Model:
+    """The model of ``n`` rows that don't hold both labels: every text scores the smoothed share of toxic rows, a quarter without any row."""
+    share = (toxic + 0.5) / (n + 2)
+    tables = [[np.zeros((BUCKETS + 1, FILTERS), np.float32) for _ in range(w)] for w in WIDTHS]
+    zeros = [np.zeros(FILTERS, np.float32) for _ in WIDTHS]
+    return Model(tables, zeros, np.zeros((len(WIDTHS), FILTERS), np.float32), float(np.log(share / (1 - share))), np.zeros((BUCKETS, 1), np.float32), np.zeros(1))
+
+
 def sample(docs: DataFrame, labels: DataFrame, learn) -> pa.Table:
-    """At most ``SAMPLE_ROWS`` labelled rows of each label, chosen by a hash of the id; texts become word buckets."""
+    """Labelled rows of each label within ``SAMPLE_ROWS`` and ``SAMPLE_CHARS``, chosen by a hash of the id; texts become word buckets.
+
+    An id with both labels counts as toxic; of the texts of a repeated id the one of smallest hash is taken.
+    """
     known = labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic")).where(learn(F.col("doc_id")))
     order = [F.xxhash64("doc_id"), "doc_id"]
     chosen = known.where("toxic = 1").orderBy(*order).limit(SAMPLE_ROWS).union(known.where("toxic = 0").orderBy(*order).limit(SAMPLE_ROWS))
-    rows = docs.select(F.col("doc_id").cast("long"), "text", F.coalesce("lang", F.lit("")).alias("lang")).where(F.col("text").isNotNull() & (F.length("text") <= SAMPLE_CHARS))
-    rows = rows.join(F.broadcast(chosen), "doc_id").select("doc_id", "toxic", "lang", "text")  # 2 * SAMPLE_ROWS rows at most
-    return fetch(rows.mapInArrow(_encode, "doc_id long, toxic int, lang string, ids binary"))
+    rows = docs.where(F.col("text").isNotNull()).select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("key"), F.coalesce("lang", F.lit("")).alias("lang"), "text")
+    sizes = rows.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "toxic").agg(F.min(F.struct("key", F.length("text").alias("n"))).alias("x"))  # 2 * SAMPLE_ROWS rows at most
+    before = F.sum("n").over(W.partitionBy("toxic").orderBy(*order)) - F.col("n")
+    drawn = sizes.select("doc_id", "toxic", "x.*").withColumn("before", before).where(F.col("before") < SAMPLE_CHARS).select("doc_id", "toxic", "key")
+    rows = rows.join(F.broadcast(drawn), ["doc_id", "key"]).select("doc_id", "toxic", "lang", "text")  # 2 * SAMPLE_ROWS rows at most
+    return fetch(rows.mapInArrow(_encode, "doc_id long, toxic int, lang string, ids binary").groupBy("doc_id").agg(F.max("toxic").alias("toxic"), F.max(F.struct("lang", "ids")).alias("x")).select("doc_id", "toxic", "x.*"))
 
 
 def fit(docs: DataFrame, labels: DataFrame, learn=lambda doc_id: F.crc32(F.encode(doc_id.cast("string"), "UTF-8")) % 5 != 0) -> Model:
-    """A model from the rows whose id ``learn`` accepts. Without rows of both labels it scores every text the same."""
+    """A model from the rows whose id ``learn`` accepts. Without rows of both labels it scores every text the same (:func:`constant`)."""
     small_batches(docs.sparkSession)
-    got = sample(docs, labels, learn).to_pandas().sort_values(["doc_id", "toxic"], kind="stable").drop_duplicates("doc_id")
+    got = sample(docs, labels, learn).to_pandas().sort_values("doc_id", kind="stable")
+    if got["toxic"].nunique() < 2:
+        return constant(len(got), int(got["toxic"].sum()))
     got = got.sample(frac=1, random_state=SEED)  # labels alternate at random before the calibration rows are taken
     names = {x: i for i, x in enumerate(sorted(set(got["lang"])))}
     return train([np.frombuffer(x, np.uint16).astype(np.int32).reshape(-1, 2) for x in got["ids"]], got["toxic"].to_numpy(), got["lang"].map(names).to_numpy(np.int64))
@@ -236,7 +256,8 @@ def fit(docs: DataFrame, labels: DataFrame, learn=lambda doc_id: F.crc32(F.encod
 def add_scores(docs: DataFrame, model: Model, score: str = "score") -> DataFrame:
     """``docs`` (any columns; one named like ``score`` is replaced) with the score of every whole text.
 
-    Null texts and texts without words get the score of the bias. An empty table stays empty; rows are scored one by one, so repeats agree.
+    Null texts and texts without words get the score of the bias. An empty table stays empty. A text's score depends on the
+    text alone, not on those it shares a batch with, so repeated rows agree to the last bit.
     """
     small_batches(docs.sparkSession)
     docs = docs.drop(score)

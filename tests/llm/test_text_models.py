@@ -1,5 +1,6 @@
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from sastra.llm import language_id as L
 from sastra.llm import toxicity as T
@@ -44,8 +45,9 @@ def test_language(spark, docs):
     assert model.languages == ["de", "en", "fr"]
     got = L.add_language(docs, model)
     assert got.where("lang = lang_pred").count() == 300 and got.where("score < 0 or score > 1").count() == 0
-    odd = spark.createDataFrame(ODD, "doc_id long, text string").selectExpr("*", "'zz' AS lang_pred", "1 AS SCORE")
+    odd = spark.createDataFrame(ODD, "doc_id long, text string").selectExpr("*", "'zz' AS lang_pred", "1 AS SCORE", "7 AS __low")
     rows = [(r["doc_id"], r["lang_pred"], r["score"]) for r in L.add_language(odd, model).collect()]
+    assert {r["__low"] for r in L.add_language(odd, model).collect()} == {7}
     assert [r[1] for r in rows][:3] == ["und"] * 3 and rows[3][1] == "en" and rows[4][1] in model.languages and rows[5][1] == "en"
     assert L.add_language(odd.limit(0), model).count() == 0
 
@@ -84,8 +86,67 @@ def test_no_training_rows(spark, docs, labels):
     none = docs.withColumn("lang", docs["source"].cast("string").substr(5, 1))
     assert {r["lang_pred"] for r in L.add_language(docs.limit(5), L.fit(docs.limit(0))).collect()} == {"und"}
     assert L.fit(none.where("lang <> ''")).languages == []
-    model = T.fit(docs, labels.limit(0))
-    assert len({r["score"] for r in T.add_scores(docs.limit(5), model).collect()}) == 1
+    odd = docs.limit(5).select("doc_id", "text").union(spark.createDataFrame([(1, ""), (2, None), (3, "one two three")], "doc_id long, text string"))
+    for known, want in ((labels.limit(0), lambda s: s == 0.25), (labels.where("toxic = 0"), lambda s: s < 0.01), (labels.where("toxic = 1"), lambda s: s > 0.9)):
+        scores = {r["score"] for r in T.add_scores(odd, T.fit(docs, known)).collect()}
+        assert len(scores) == 1 and want(scores.pop())
+
+
+def test_scores_do_not_depend_on_company(docs, labels):
+    model = T.fit(docs, labels)
+    texts = [(r["text"] or "").encode() for r in docs.select("text").limit(60).collect()] + [b"", b"a", ("the " * 30_000).encode()]
+    together = T.scores(model, *T.buckets_of(texts))
+    assert [T.scores(model, *T.buckets_of([t]))[0] for t in texts] == together.tolist()
+    assert T.scores(model, *T.buckets_of(texts[::-1])).tolist() == together.tolist()[::-1]
+
+
+def plain_score(model, text):
+    """A text's score word by word: lengths of filters, maxima and the logistic layer, without arrays of words."""
+    ids, _ = T.buckets_of([text])
+    pad = [T.BUCKETS, T.BUCKETS]
+    z = model.out_bias
+    for k, width in enumerate(T.WIDTHS):
+        if len(ids):
+            best = [max(sum((np.float32(model.tables[k][o][w][f]) for o in range(width) for w in (list(ids[i + o]) if i + o < len(ids) else pad)), np.float32(0)) for i in range(len(ids))) for f in range(T.FILTERS)]
+            z += sum(max(float(b + model.bias[k][f]), 0) * float(model.out[k][f]) for f, b in enumerate(best))
+    guess = int(np.argmax(sum((model.profile[w[0]].astype(float) for w in ids), np.zeros(model.profile.shape[1]))))
+    return 1 / (1 + np.exp(-(z - model.cutoff[guess])))
+
+
+def test_scores_like_brute_force(spark, docs, labels):
+    model = T.fit(docs, labels)
+    rows = docs.select("doc_id", "text").limit(12).union(spark.createDataFrame([(1, ""), (2, "foulword"), (3, "the foulword")], "doc_id long, text string"))
+    for r in T.add_scores(rows, model).collect():
+        assert abs(r["score"] - plain_score(model, r["text"].encode())) < 1e-5
+
+
+def test_long_texts_are_drawn(spark, monkeypatch):
+    rows = [(i, "word " * (30_000 if i % 2 else 3), "en") for i in range(40)]
+    df = spark.createDataFrame(rows + rows[:3], "doc_id long, text string, lang string")
+    marks = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, toxic int")
+    got = T.sample(df, marks, lambda i: i >= 0).to_pandas()
+    assert sorted(got["doc_id"]) == list(range(40)) and {len(x) // 4 for x in got["ids"]} == {3, 30_000}
+    monkeypatch.setattr(T, "SAMPLE_CHARS", 400_000)
+    assert T.sample(df, marks, lambda i: i >= 0).to_pandas().groupby("toxic").size().to_dict() == {0: 20, 1: 3}
+    names = df.withColumn("lang", F.when(F.col("doc_id") % 2 == 1, "xx").otherwise("en"))
+    assert L.sample(names, lambda i: i >= 0).select("lang").distinct().count() == 2
+
+
+def test_language_like_brute_force(spark, docs):
+    model = L.fit(docs)
+    rng = np.random.default_rng(3)
+    odd = [f"{text(rng, 'en', 2)} {text(rng, 'de', 3)}", text(rng, "fr", 1), "x", "the und et", "Haus 7 river!"]
+    got = {r["doc_id"]: (r["lang_pred"], r["score"]) for r in L.add_language(spark.createDataFrame(list(enumerate(odd)), "doc_id long, text string"), model).collect()}
+    for i, t in enumerate(odd):
+        words = Words([t.lower().encode()], LETTERS, np.arange(256, dtype=np.uint8))
+        ids, first = L.features(words, np.arange(len(words)), model.lexicon)
+        scores = [sum(model.weights[b].astype(float) for b in ids[a:z]) / np.sqrt(z - a) for a, z in zip(first[:-1], first[1:], strict=True)]
+        mass = np.zeros(3)
+        for path in np.ndindex(*[3] * len(scores)):  # every labelling of the words
+            w = np.exp(model.begin[path[0]] + sum(s[k] for s, k in zip(scores, path, strict=True)) + sum(model.transitions[a, b] for a, b in zip(path[:-1], path[1:], strict=True)))
+            mass += w * np.bincount(path, minlength=3) / len(path)
+        mass /= mass.sum()
+        assert got[i][0] == model.languages[mass.argmax()] and abs(got[i][1] - mass.max()) < 1e-4
 
 
 def test_toxicity(spark, docs, labels):
