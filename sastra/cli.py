@@ -13,7 +13,7 @@ from .plans import scan as plans
 from .sinks import reports
 from .sources import corpus
 
-FORMATS = ("text", "json", "sarif", "markdown", "html")
+FORMATS = tuple(reports.KINDS)
 
 
 def parser() -> argparse.ArgumentParser:
@@ -30,23 +30,23 @@ def parser() -> argparse.ArgumentParser:
     s.add_argument("--config")
     s.add_argument("--env", choices=list(findings.ENVIRONMENTS))
     s.add_argument("--exploitability", action="store_true")
+    s.add_argument("--plugin", action="append", default=[], help="Python file with analyze(path, text)")
+    s.add_argument("--parts", help="folder for the report as parts that executors write")
     s.add_argument("--drift", help="folder of the last scan's state")
     for name in ("doctor", "config", "version"):
         sub.add_parser(name)
     return p
 
 
-def render(found, kind: str, path: str, now: str) -> str:
-    made = {"text": lambda: reports.text_report(found, path), "json": lambda: reports.json_report(found, path, now), "sarif": lambda: reports.sarif_report(found), "markdown": lambda: reports.markdown_report(found, path, now), "html": lambda: reports.html_report(found, path, now)}
-    return made[kind]()
-
-
 def run_scan(spark: SparkSession, args: argparse.Namespace) -> int:
     out = sys.stdout
     custom = corpus.load_rules(spark, args.custom_rules, "customPatterns") if args.custom_rules else ()
     config = corpus.load_config(spark, args.config) if args.config else None
     chosen = findings.gate(args.env, args.severity) if args.env or args.severity else None
-    found = plans.scan(corpus.scan_directory(spark, args.path), chosen, custom, config=config).persist()
+    plugins = plans.Plugins()
+    for path in args.plugin:
+        plugins.load(path)
+    found = plans.scan(corpus.scan_directory(spark, args.path), chosen, custom, config=config, plugins=plugins).persist()
     if args.drift:
         try:
             before = corpus.load_state(spark, args.drift)
@@ -58,12 +58,14 @@ def run_scan(spark: SparkSession, args: argparse.Namespace) -> int:
     if args.exploitability:
         s = exploitability.summary(exploitability.score(found)).first()
         print(f"exploitability: average {s['average']}, max {s['max']}, critical {s['critical_count']} of {s['total']}", file=out)
-    text = render(found, args.format, args.path, datetime.now(UTC).isoformat())
+    now = datetime.now(UTC).isoformat()
+    if args.parts:
+        reports.write_report(args.format, found, args.parts, args.path, now)
     if args.output:
         with open(args.output, "w", encoding="utf-8") as f:
-            f.write(text)
-    elif not args.quiet:
-        print(text, file=out)
+            f.writelines(f"{x}\n" for x in reports.report_pieces(args.format, found, args.path, now))
+    elif not args.quiet and not args.parts:
+        print(reports.report_text(args.format, found, args.path, now), file=out)
     code = int(bool(args.fail_on) and findings.fails(found, args.fail_on))
     if args.drift:
         found_state = found.select("rule_id", "file_path", "line", "severity", "cwe", "message")

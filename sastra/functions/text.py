@@ -24,6 +24,14 @@ def lookup(column: Column, table: dict, default=None) -> Column:
     return found if default is None else F.coalesce(found, default if isinstance(default, Column) else F.lit(default))
 
 
+def escape(text: Column) -> Column:
+    """Markup-safe text; null becomes empty."""
+    out = F.coalesce(text, F.lit(""))
+    for a, b in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("'", "&#39;")):
+        out = F.replace(out, F.lit(a), F.lit(b))
+    return out
+
+
 def basename(path: Column) -> Column:
     return F.element_at(F.split(F.replace(path, F.lit("\\"), F.lit("/")), "/"), -1)
 

@@ -1,17 +1,21 @@
-"""The call layer: call-like expressions whose callee names a sink and whose line names a source of user input.
+"""The call layer: calls whose callee names a sink and whose own text, or that of the node above, names a source of user input.
 
-Real syntax trees need grammars that no standard install has, so calls are found lexically: a dotted name before an opening bracket.
-The line stands in for the enclosing syntax node. Rules are data: token tables become ordered conditions in one expression.
+Rules are data; :mod:`.syntax` finds the calls. Only path, language and content of files that hold a word of their language's rules travel to Python.
 """
 
 from __future__ import annotations
 
+import re
+from collections.abc import Callable
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import explode_lines, is_test_path
+from ..functions.text import is_test_path, normalise
+from ..functions.workers import ship
+from . import syntax
 
 
 @dataclass(frozen=True)
@@ -20,10 +24,13 @@ class CallRule:
     severity: str
     cwe: str
     callees: tuple[str, ...]
-    source: bool = True  # needs a token of user input on the line
+    source: bool = True  # needs a token of user input in the call or the node above
     exact: bool = False  # the callee is one of the tokens, not just holds one
     also: str = ""  # the call's text must hold this
 
+    def callees_low(self) -> tuple[str, ...]:
+        return tuple(map(str.lower, self.callees))
+
 
 def _rules(prefix: str, *rows) -> tuple[CallRule, ...]:
     return tuple(CallRule(f"{prefix}{name} (call)", *rest) for name, *rest in rows)
@@ -122,59 +129,101 @@ RULES = {
 SEVERAL = ("java", "csharp")
 # Names that mark an assigned string of eight characters or more as a secret (Python).
 SECRET_NAMES = ("password", "secret", "api_key", "apikey", "token", "access_key", "private_key", "auth", "credential", "passwd", "pwd", "key")
-CALL = r"([A-Za-z_$][\w$]*(?:(?:\.|::|->|\(\)\.)[A-Za-z_$][\w$]*)*)\s*\("
+#: Languages whose callee is all that stands before the first bracket of the call's text.
+CUT = ("go", "rust", "java", "ruby", "csharp", "kotlin")
+_LOWER = {language: tuple(t.lower() for t in tokens) for language, tokens in SOURCES.items()}
+_STRING = re.compile(r"""([A-Za-z]{0,2}(?:\"{3}(?:\\.|[^\\])*?\"{3}|'{3}(?:\\.|[^\\])*?'{3}|"(?:\\.|[^"\\\n])*"|'(?:\\.|[^'\\\n])*'))\s*(?:\#.*)?""", re.S)
 
 
-def calls(line: Column) -> Column:
-    """The callees of all calls on a line."""
-    return F.regexp_extract_all(line, F.lit(CALL), F.lit(1))
+def _named_secret(statement: str) -> bool:
+    """Does a Python statement set a name of :data:`SECRET_NAMES` to one string of eight characters or more?"""
+    left, sign, right = statement.partition("=")
+    name = left.split(":")[0].strip()
+    if not sign or right[:1] == "=" or left[-1:] in tuple("!<>+-*/%&|^:@") or not name or len(name.split()) > 1 or not any(x in name.lower() for x in SECRET_NAMES):
+        return False
+    m = _STRING.fullmatch(right.strip())
+    return bool(m) and len(m[1].strip("'\"")) >= 8
 
 
-def _holds(text: Column, tokens) -> Column:
-    out = F.lit(False)
-    for t in tokens:
-        out = out | text.contains(t.lower())
+def _raised(language: str, callee: str, own: Callable[[], str], user: Callable[[], bool]) -> list[CallRule]:
+    """The rules that a call of a lower-cased callee raises; ``own`` gives its lower-cased text, ``user`` whether user input is near."""
+    out = []
+    for r in RULES[language]:
+        tokens = r.callees_low()
+        if not (callee in tokens if r.exact else any(t in callee for t in tokens)) or r.also and r.also not in own()[:200]:
+            continue
+        if not r.source or user():
+            out.append(r)
+        if language not in SEVERAL:
+            break
     return out
 
 
-def _matched(language: str, callee: Column, line: Column) -> Column:
-    """array<struct<rule, severity, cwe>> that a call raises."""
-    user = _holds(line, SOURCES[language])
-    found, open_ = [], F.lit(True)
-    for r in RULES[language]:
-        sink = (callee.isin(*[t.lower() for t in r.callees]) if r.exact else _holds(callee, r.callees)) & (line.contains(r.also) if r.also else F.lit(True))
-        hit = sink & user if r.source else sink
-        fires = hit if language in SEVERAL else open_ & hit
-        if language not in SEVERAL:
-            open_ = open_ & ~sink
-        found.append(F.when(fires, F.struct(F.lit(r.rule).alias("rule"), F.lit(r.severity).alias("severity"), F.lit(r.cwe).alias("cwe"))))
-    return F.array_compact(F.array(*found))
+def found_in(code: str | None, language: str) -> list[dict]:
+    """The call rules that one file raises, in order: rule, severity, cwe, line and column from 1, sink."""
+    seen = syntax.scan(code or "", language)
+    held: dict[int, bool] = {}
+
+    def names_input(text: str) -> bool:
+        low = text.lower()
+        return any(t in low for t in _LOWER[language])
+
+    def near(call: syntax.Call) -> bool:
+        if id(call.above) not in held:  # many calls may stand in one bracket
+            held[id(call.above)] = names_input(seen.text(call.above))
+        return held[id(call.above)] or names_input(seen.text(call.own, call.start))
+
+    out = []
+    for c in seen.calls:
+        callee = c.callee.lower()
+        if language in CUT:
+            callee = callee.split("(")[0]
+        if language == "kotlin":
+            callee = callee.split(".")[-1]
+        sink = re.sub(r"\(.*\)", "()", c.callee, flags=re.S)
+        out += [(c.start, r, sink) for r in _raised(language, callee, lambda c=c: seen.text(c.own, c.start).lower(), lambda c=c: near(c))]
+    if language == "rust":
+        out += [(at, CallRule("Rust: Unsafe Block (call)", "high", "CWE-119", ()), "unsafe") for at in seen.unsafe]
+    if language == "python":
+        secret = CallRule("Python: Hardcoded Secret (call)", "critical", "CWE-798", ())
+        out += [(s.start, secret, None) for s in seen.statements if _named_secret(seen.text(s))]
+    rows = []
+    for at, r, sink in sorted(out, key=lambda x: x[0]):
+        line, column = seen.place(at)
+        rows.append({"rule_id": r.rule, "severity": r.severity, "cwe": r.cwe, "line": line, "column": column, "sink": sink, "at": len(rows)})
+    return rows
+
+
+_FIELDS = "rule_id string, severity string, cwe string, line int, column int, sink string, at int"
+_KIND = pa.list_(pa.struct([(n, pa.int32() if t == "int" else pa.string()) for n, t in (x.split() for x in _FIELDS.split(", "))]))
+
+
+def _run(batches):
+    for b in batches:
+        found = [found_in(code, language) for code, language in zip(b.column("content").to_pylist(), b.column("language").to_pylist(), strict=True)]
+        yield pa.RecordBatch.from_arrays([b.column("file_path"), b.column("language"), pa.array(found, _KIND)], ["file_path", "language", "found"])
+
+
+def worth_scanning(language: Column, content: Column) -> Column:
+    """Does a file hold any word that its language's rules look for? The others needn't travel to Python."""
+    out = F.lit(False)
+    for name, rows in RULES.items():
+        words = {t.lower().split("(")[0].split(".")[-1].split("::")[-1] for r in rows for t in r.callees}
+        words |= {"unsafe"} if name == "rust" else set(SECRET_NAMES) if name == "python" else set()
+        out = out | ((language == name) & F.lower(content).rlike("|".join(sorted(map(re.escape, words)))))
+    return out
 
 
 def call_findings(files: DataFrame) -> DataFrame:
-    """One finding for each rule and line of (file_path, language, content) files in the ten languages; confidence medium, low in tests."""
-    rows = explode_lines(files.where(F.col("language").isin(*RULES)))
-    rows = rows.withColumn("__low", F.lower("line_text"))
-    one = rows.where(F.col("line_text").contains("(")).select(*rows.columns, F.explode(calls(F.col("line_text"))).alias("__callee"))
-    one = one.withColumn("__c", F.lower("__callee"))
-    chain = None
-    for language in RULES:
-        callee = F.element_at(F.split(F.col("__c"), r"\."), -1) if language == "kotlin" else F.col("__c")
-        value = _matched(language, callee, F.col("__low"))
-        chain = F.when(F.col("language") == language, value) if chain is None else chain.when(F.col("language") == language, value)
-    found = one.select(*rows.columns, "__callee", F.explode(chain).alias("__m"))
-    found = found.select(*rows.columns, F.instr(F.col("line_text"), F.col("__callee")).alias("column"), "__m", F.col("__callee").alias("sink"))
-    unsafe = rows.where((F.col("language") == "rust") & F.col("line_text").rlike(r"\bunsafe\s*\{"))
-    unsafe = unsafe.select(*rows.columns, F.regexp_instr("line_text", F.lit(r"\bunsafe\s*\{")).alias("column"), F.struct(F.lit("Rust: Unsafe Block (call)").alias("rule"), F.lit("high").alias("severity"), F.lit("CWE-119").alias("cwe")).alias("__m"), F.lit("unsafe").alias("sink"))
-    secret = r"""(?i)^\s*([\w.]*(?:%s)[\w.]*)\s*=\s*['"][^'"]{8,}['"]""" % "|".join(SECRET_NAMES)
-    secrets = rows.where((F.col("language") == "python") & F.col("line_text").rlike(secret))
-    secrets = secrets.select(*rows.columns, (F.length("line_text") - F.length(F.ltrim("line_text")) + 1).alias("column"), F.struct(F.lit("Python: Hardcoded Secret (call)").alias("rule"), F.lit("critical").alias("severity"), F.lit("CWE-798").alias("cwe")).alias("__m"), F.lit(None).cast("string").alias("sink"))
-    out = found.union(unsafe).union(secrets)
+    """One finding for each rule and call of (file_path, language, content) files in the ten languages; confidence medium, low in tests."""
+    ship(files.sparkSession)
+    rows = files.where(F.col("language").isin(*RULES) & worth_scanning(F.col("language"), F.col("content"))).select("file_path", "language", normalise(F.col("content")).alias("content"))
+    rows = rows.mapInArrow(_run, f"file_path string, language string, found array<struct<{', '.join(x.replace(' ', ':') for x in _FIELDS.split(', '))}>>")
+    rows = rows.select("file_path", "language", F.explode("found").alias("f"))
     null = F.lit(None).cast("string")
-    return out.select(
-        *[c for c in rows.columns if c not in ("raw_line", "__low")],
-        F.col("__m.rule").alias("rule_id"), F.col("__m.severity").alias("severity"), F.col("column").cast("int").alias("column"), F.lit(10).alias("length"),
-        F.concat(F.coalesce("sink", F.lit("a secret")), F.lit(" with user-controlled input")).alias("message"), F.lit("").alias("explanation"), F.lit("").alias("fix"),
-        F.col("__m.cwe").alias("cwe"), F.when(is_test_path(F.col("file_path")), "low").otherwise("medium").alias("confidence"),
-        null.alias("source"), F.col("sink"), null.alias("dataflow_path"), F.lit("call").alias("analyzer"), F.lit(2).alias("layer_ord"), F.lit(0).alias("rule_ord"),
+    return rows.select(
+        "file_path", "language", "f.line", F.lit("").alias("line_text"), "f.rule_id", "f.severity", "f.column", F.lit(10).alias("length"),
+        F.when(F.col("f.sink").isNull(), "A name for secrets holds a literal").otherwise(F.concat(F.lit("Look at what reaches "), F.col("f.sink"))).alias("message"), F.lit("").alias("explanation"), F.lit("").alias("fix"),
+        "f.cwe", F.when(is_test_path(F.col("file_path")), "low").otherwise("medium").alias("confidence"), null.alias("source"), "f.sink", null.alias("dataflow_path"),
+        F.lit("call").alias("analyzer"), F.lit(2).alias("layer_ord"), F.col("f.at").alias("rule_ord"),
     )

@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.text import REPORT_RANK, lookup, severity_rank
+from ..functions.lineage import numbered
+from ..functions.text import REPORT_RANK, is_test_path, lookup, severity_rank
 
 COLUMNS = ("rule_id", "severity", "file_path", "line", "column", "length", "message", "explanation", "fix", "cwe", "confidence", "source", "sink", "dataflow_path", "analyzer")
 #: What the plan carries besides, for order and scoring.
@@ -100,10 +101,22 @@ def severity_counts(findings: DataFrame) -> DataFrame:
     return findings.groupBy("severity").agg(F.count("*").alias("n")).orderBy("severity")
 
 
+def in_order(findings: DataFrame) -> DataFrame:
+    """Findings, most severe first, with ``at`` (the place of all, from 1), ``n`` (the size of its severity's group) and ``nth`` (the place in it).
+
+    A group may hold most findings, so no window holds one: places come from a range-partitioned numbering, less the groups before.
+    """
+    sizes = findings.groupBy("severity").agg(F.count("*").alias("n"))
+    before = F.sum("n").over(W.partitionBy(F.lit(0)).orderBy(severity_rank(F.col("severity"), REPORT_RANK), "severity")) - F.col("n")  # one row a severity
+    sizes = sizes.select(F.col("severity").alias("__s"), "n", before.alias("__before"))
+    rows = numbered(findings.withColumn("__rank", severity_rank(F.col("severity"), REPORT_RANK)), "__rank", "severity", "file_path", "line", "column", "rule_id", "message", name="at").drop("__rank")
+    rows = rows.join(F.broadcast(sizes), F.col("severity").eqNullSafe(F.col("__s")))  # one row a severity
+    return rows.withColumn("nth", F.col("at") - F.col("__before")).drop("__s", "__before")
+
+
 def grouped(findings: DataFrame) -> DataFrame:
-    """AGG-2: one row a severity, most severe first, with its findings in order."""
-    item = F.struct("file_path", "line", "column", "rule_id", "message", "cwe", "fix")
-    return findings.groupBy("severity").agg(F.count("*").alias("n"), F.array_sort(F.collect_list(item)).alias("findings")).orderBy(severity_rank(F.col("severity"), REPORT_RANK), "severity")
+    """AGG-2: findings by severity, most severe first: ``n`` (the size of the group), ``nth`` (the place in it, from 1) and the finding. Groups stay rows, whatever their size."""
+    return in_order(findings.select("severity", "file_path", "line", "column", "rule_id", "message", "cwe", "fix")).drop("at")
 
 
 def catalog_stats(rules: DataFrame) -> DataFrame:
@@ -176,6 +189,35 @@ def root_causes(findings: DataFrame) -> DataFrame:
     return findings.groupBy("cwe", folder).agg(F.count("*").alias("n"))
 
 
+def anomalies(history: DataFrame, current: DataFrame, key: str = "repo", least: float = 3.0) -> DataFrame:
+    """DOC-3: (key, n, mean, deviation, score, anomalous): a scan's count against the (key, n) counts of earlier scans.
+
+    The score is the distance from their mean in standard deviations; counts that never varied make any change anomalous. A key without history has no score and isn't anomalous.
+    """
+    base = history.groupBy(key).agg(F.avg("n").alias("mean"), F.stddev_pop("n").alias("deviation"))
+    rows = current.select(key, "n").join(base, key, "left")
+    gap = F.abs(F.col("n") - F.col("mean"))
+    score = F.when(F.col("deviation") > 0, gap / F.col("deviation"))
+    return rows.withColumn("score", score).withColumn("anomalous", F.coalesce(F.when(F.col("deviation") > 0, score >= least).otherwise(gap > 0), F.lit(False)))
+
+
+# Ours: how exposed a path is, by words in it; the largest weight that fits counts, and tests weigh least.
+SURFACE = (("auth", 1.5), ("login", 1.5), ("payment", 1.5), ("admin", 1.4), ("api", 1.3), ("route", 1.3), ("upload", 1.3), ("config", 1.2))
+TEST_SURFACE = 0.3
+
+
+def surface_weight(path: Column) -> Column:
+    """DOC-3: the weight of a file's exposure, 1 for a path without any of the words."""
+    low = F.lower(path)
+    known = F.greatest(F.lit(1.0), F.lit(1.0), *[F.when(low.contains(word), F.lit(weight)).otherwise(1.0) for word, weight in SURFACE])
+    return F.when(is_test_path(path), F.lit(TEST_SURFACE)).otherwise(known)
+
+
+def learning_counts(events: DataFrame, tools: str = "tools") -> DataFrame:
+    """DOC-6: (tool, events): how many events used each tool of their list; an event counts once a tool."""
+    return events.select(F.explode(F.array_distinct(tools)).alias("tool")).where("tool is not null").groupBy("tool").agg(F.count("*").alias("events"))
+
+
 def tenant_view(findings: DataFrame, tenant: str, column: str = "tenant") -> DataFrame:
     """FLT-14: one tenant's rows and no others."""
     return findings.where(F.col(column) == tenant)

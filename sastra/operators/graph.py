@@ -8,6 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.lineage import cut
 from ..functions.workers import ship
 
 # Tokens that make a function a source or a sink.
@@ -20,25 +21,17 @@ WEIGHTS = {"detected_in": 1.0, "maps_to": 0.9, "technique": 0.7, "correlated_wit
 
 
 def functions_of(code: str | None) -> list[tuple[str, str]]:
-    """GRA-1: (name, body) of each function, by an indentation scan: a body ends at the first code line that isn't indented deeper. A later function of the same name wins."""
-    found: dict[str, str] = {}
-    name, body, depth = None, [], 0
-    for line in (code or "").split("\n"):
-        text = line.strip()
-        indent = len(line) - len(line.lstrip())
-        start = _DEFINITION.match(text)
-        if start:
-            if name:
-                found[name] = "\n".join(body)
-            name, body, depth = start[1] or start[2], [line], indent
-        elif name and text and not text.startswith(("#", "//")):
-            if indent <= depth:
-                found[name] = "\n".join(body)
-                name, body = None, []
-            else:
-                body.append(line)
-    if name:
-        found[name] = "\n".join(body)
+    """GRA-1: (name, body) of each function by indentation; a later function of the same name wins.
+
+    Blank lines and comments don't count. A body runs from its definition to the next definition, or to the first line before it that isn't indented deeper.
+    """
+    lines = [(len(x) - len(x.lstrip()), x, _DEFINITION.match(x.strip())) for x in (code or "").split("\n") if x.strip() and not x.strip().startswith(("#", "//"))]
+    heads = [i for i, (_, _, m) in enumerate(lines) if m]
+    found = {}
+    for i, following in zip(heads, [*heads, len(lines)][1:], strict=True):
+        depth, _, m = lines[i]
+        shallow = (j for j in range(i + 1, following) if lines[j][0] <= depth)
+        found[m[1] or m[2]] = "\n".join(x for _, x, _ in lines[i : next(shallow, following)])
     return list(found.items())
 
 
@@ -83,35 +76,47 @@ def sinks(funcs: DataFrame) -> DataFrame:
     return _tagged(funcs, SINK_TOKENS)
 
 
-def _cut(df: DataFrame) -> DataFrame:
-    """Lineage ends here: in the checkpoint folder, or in executors where there is none."""
-    spark = df.sparkSession
-    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    return df.checkpoint() if shared or spark.sparkContext._jsc.sc().getCheckpointDir().isDefined() else df.persist()
-
-
 def shortest_paths(edges: DataFrame, starts: DataFrame, ends: DataFrame) -> DataFrame:
     """GRA-4: (source, sink, path array, length in functions): a shortest path from each source to each sink it reaches; ties by path text.
 
     Frontiers advance one hop a round and keep one path for each (source, function), so the work is bounded by pairs, not by
     paths. A function that is both gives [f, f]. Stops when a round finds nothing new.
     """
-    edges = _cut(edges.select("src", "dst").distinct())
+    edges = cut(edges.select("src", "dst").distinct())
     starts, ends = starts.select(F.col("name").alias("source")), ends.select(F.col("name").alias("sink"))
     seen = starts.select("source", F.col("source").alias("at"), F.array("source").alias("path"))
     frontier = seen
     while True:
         step = frontier.join(edges, frontier["at"] == edges["src"]).select("source", F.col("dst").alias("at"), F.concat("path", F.array("dst")).alias("path"))
         step = step.groupBy("source", "at").agg(F.min_by("path", F.array_join("path", "\u0001")).alias("path"))
-        frontier = _cut(step.join(seen.select("source", "at"), ["source", "at"], "left_anti"))
+        frontier = cut(step.join(seen.select("source", "at"), ["source", "at"], "left_anti"))
         if frontier.isEmpty():
             break
-        seen = _cut(seen.unionByName(frontier))
+        seen = cut(seen.unionByName(frontier))
     reached = seen.join(ends, seen["at"] == ends["sink"])
     own = F.when(F.size("path") == 1, F.concat("path", F.array("sink"))).otherwise(F.col("path"))
     return reached.select("source", "sink", own.alias("path")).withColumn("length", F.size("path"))
 
 
+#: Longest piece of a name that text is looked up by.
+GRAM = 3
+
+
+def _named_in(files: DataFrame, names: DataFrame, as_: str) -> DataFrame:
+    """(file_path, as_): the first of ``names`` that the file's text holds anywhere, without case.
+
+    A name has word characters only, so it lies inside one word. Distinct words and names meet by the name's first characters, an
+    equi-join, and what met is compared; neither files nor names are broadcast.
+    """
+    words = files.select("file_path", F.explode(F.array_distinct(F.split(F.lower("content"), r"[\x00-/:-@\[-^`{-\x7f]+"))).alias("word")).where("word <> ''")
+    at = F.sequence(F.lit(1), F.length("word"))
+    pieces = F.array_distinct(F.flatten(F.transform(at, lambda i: F.transform(F.sequence(F.lit(1), F.lit(GRAM)), lambda n: F.substr("word", i, n)))))
+    vocabulary = words.select("word").distinct().select("word", F.explode(pieces).alias("piece"))
+    wanted = names.select("name", F.lower("name").alias("low")).withColumn("piece", F.substring("low", 1, GRAM))
+    met = vocabulary.join(wanted, "piece").where(F.contains("word", F.col("low"))).groupBy("word").agg(F.min("name").alias(as_))
+    return words.join(met, "word").groupBy("file_path").agg(F.min(as_).alias(as_))
+
+
 def verdicts(findings: DataFrame, files: DataFrame, funcs: DataFrame, edges: DataFrame) -> DataFrame:
     """GRA-5, GRA-6: findings with ``reachability`` (status, source, sink, path, reason).
 
@@ -121,12 +126,10 @@ def verdicts(findings: DataFrame, files: DataFrame, funcs: DataFrame, edges: Dat
     a, b = sources(funcs), sinks(funcs)
     best = shortest_paths(edges, a, b).orderBy("length", F.array_join("path", " ")).limit(1)
     best = best.select(F.lit("REACHABLE").alias("status"), "source", "sink", F.array_join("path", " → ").alias("path"))
-    text = files.select(F.col("file_path").alias("__p"), F.lower("content").alias("__t"))
-    has = lambda names, as_: text.join(names, F.expr("contains(__t, lower(name))")).groupBy("__p").agg(F.min("name").alias(as_))
-    both = has(a, "cs").join(has(b, "ck"), "__p")
+    both = _named_in(files, a, "cs").join(_named_in(files, b, "ck"), "file_path").withColumnRenamed("file_path", "__p")
     ready = a.limit(1).select(F.lit(1).alias("x")).crossJoin(b.limit(1).select(F.lit(1).alias("y"))).agg(F.count("*").alias("ready"))  # one row
     rows = findings.join(both, findings["file_path"] == both["__p"], "left").drop("__p").crossJoin(F.broadcast(ready))
-    rows = rows.join(F.broadcast(best.withColumnRenamed("source", "bs").withColumnRenamed("sink", "bk").withColumnRenamed("path", "bp")), F.lit(True), "left")
+    rows = rows.join(F.broadcast(best.withColumnRenamed("source", "bs").withColumnRenamed("sink", "bk").withColumnRenamed("path", "bp")), F.lit(True), "left")  # one row
     flow = F.concat("cs", F.lit(" ⇢ "), "ck", F.lit(" (unsanitized data flow detected)"))
     reach = (
         F.when(F.col("ready") == 0, _verdict("UNREACHABLE", reason="no_sources_or_sinks_found"))
@@ -182,21 +185,34 @@ def graph_stats(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return by.union(nodes.agg(F.lit("nodes"), F.count("*"))).union(edges.agg(F.lit("edges"), F.count("*")))
 
 
+def distances(edges: DataFrame, starts: DataFrame) -> DataFrame:
+    """DOC-5: (start, id, hops): every node that a start reaches over (src, dst) dependencies, itself at 0, with the fewest hops. Frontiers advance until none is left."""
+    edges = cut(edges.select("src", "dst").distinct())
+    seen = cut(starts.select(F.col("id").alias("start"), "id").distinct().withColumn("hops", F.lit(0)))
+    frontier, hops = seen, 0
+    while not frontier.isEmpty():
+        hops += 1
+        step = frontier.join(edges, frontier["id"] == edges["src"]).select("start", F.col("dst").alias("id")).distinct()
+        frontier = cut(step.join(seen.select("start", "id"), ["start", "id"], "left_anti").withColumn("hops", F.lit(hops)))
+        seen = cut(seen.union(frontier))
+    return seen
+
+
 def attack_paths(start: DataFrame, edges: DataFrame) -> DataFrame:
     """GRA-9: (id, path array): all simple paths from each start that end where no edge leaves, however long.
 
     All paths are wanted, so the result itself may be large. Walks advance one edge a round, so nothing is collected; no
     node comes twice in a walk, so the rounds end.
     """
-    edges = _cut(edges.select("src", "dst").distinct())
-    walks = _cut(start.select("id").distinct().select("id", F.col("id").alias("at"), F.array("id").alias("path")))
+    edges = cut(edges.select("src", "dst").distinct())
+    walks = cut(start.select("id").distinct().select("id", F.col("id").alias("at"), F.array("id").alias("path")))
     found = walks.select("id", "path").limit(0)
     parts = 0
     while not walks.isEmpty():
         found = found.unionByName(walks.join(edges, walks["at"] == edges["src"], "left_anti").select("id", "path"))
         parts += 1
         if parts % 16 == 0:  # the plan stays short
-            found = _cut(found)
+            found = cut(found)
         step = walks.join(edges, walks["at"] == edges["src"]).where(~F.array_contains("path", F.col("dst")))
-        walks = _cut(step.select("id", F.col("dst").alias("at"), F.array_append("path", F.col("dst")).alias("path")))
-    return _cut(found)
+        walks = cut(step.select("id", F.col("dst").alias("at"), F.array_append("path", F.col("dst")).alias("path")))
+    return cut(found)

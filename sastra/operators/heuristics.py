@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import entropy, explode_lines, is_test_path, suffix
+from .hits import TYPE, explode_hits, hit
 
 # Ours: families of structured secrets, by the public prefixes of their vendors.
 SECRET_FAMILIES = (
@@ -22,42 +23,42 @@ LEAST_LENGTH, LEAST_BITS = 20, 3.5
 QUOTED = r"""["']([A-Za-z0-9+/=_-]{20,})["']"""
 
 
-def _finding(rows: DataFrame, rule: Column, severity: Column, message: Column, cwe: Column, confidence: Column, sink: Column, analyzer: str, layer: int, at: Column, length: Column) -> DataFrame:
-    null = F.lit(None).cast("string")
-    return rows.select(
-        *[c for c in rows.columns if c != "raw_line" and not c.startswith("__")], rule.alias("rule_id"), severity.alias("severity"), at.cast("int").alias("column"), length.cast("int").alias("length"),
-        message.alias("message"), F.lit("").alias("explanation"), F.lit("").alias("fix"), cwe.alias("cwe"), F.when(is_test_path(F.col("file_path")), "low").otherwise(confidence).alias("confidence"),
-        null.alias("source"), sink.alias("sink"), null.alias("dataflow_path"), F.lit(analyzer).alias("analyzer"), F.lit(layer).alias("layer_ord"), F.lit(0).alias("rule_ord"),
-    )
+WEB, NATIVE = (".js", ".ts", ".jsx", ".tsx"), (".go", ".rs")
 
 
-def heuristic_findings(files: DataFrame) -> DataFrame:
+def heuristic_hits(path: Column, line: Column) -> Column:
     """GEN-1..4: innerHTML constants, eval of user input, Sprintf queries, unsafe blocks; column 1, length of the line."""
-    rows = explode_lines(files.withColumn("__s", suffix(F.col("file_path"))).where(F.col("__s").isin(".js", ".ts", ".jsx", ".tsx", ".go", ".rs")))
-    line, path = F.col("line_text"), F.lower("file_path")
-    web = F.col("__s").isin(".js", ".ts", ".jsx", ".tsx")
-    spec = path.contains(".test.") | path.contains("spec.")
-    rule = lambda name, severity, cwe, confidence, sink, message: F.struct(*[(F.lit(v).cast("string")).alias(k) for k, v in dict(r=name, s=severity, w=cwe, c=confidence, k=sink, m=message).items()])
-    found = F.array_compact(
+    low, ends = F.lower(path), suffix(path)
+    web = ends.isin(*WEB)
+    spec = low.contains(".test.") | low.contains("spec.")
+    sure = lambda c: F.when(is_test_path(path), "low").otherwise(c)
+    rule = lambda name, severity, cwe, confidence, sink, message: hit(rule_id=name, severity=severity, cwe=cwe, confidence=sure(confidence), sink=sink, message=message, column=1, length=F.length(line), analyzer="ast", layer_ord=3)
+    return F.array_compact(
         F.array(
-            F.when(web & line.contains("innerHTML") & ~spec & line.contains("const ") & line.contains("=") & ~F.lower(line).contains("trusted"), rule("XSS: innerHTML (line)", "high", "CWE-79", "medium", "innerHTML", "innerHTML assignment — XSS risk")),
-            F.when(web & line.rlike(r"(?i)eval\s*\(\s*[^)]*\b(?:req|input|param|query|body|user)"), rule("eval() with user input (line)", "critical", "CWE-95", "high", "eval()", "eval() called with potential user input — RCE risk")),
-            F.when((F.col("__s") == ".go") & line.rlike(r"(?i)(?:db\.Query|db\.Exec|db\.QueryRow)\s*\(\s*fmt\.Sprintf"), rule("Go: SQL Injection (line)", "critical", "CWE-89", "high", None, "SQL query built with fmt.Sprintf — injection risk")),
-            F.when((F.col("__s") == ".rs") & line.contains("unsafe") & line.contains("{"), rule("Rust: Unsafe Block (line)", "high", "CWE-119", "medium", None, "Unsafe block bypasses Rust guarantees")),
+            F.when(web & line.contains("innerHTML") & ~spec & line.contains("const ") & line.contains("=") & ~F.lower(line).contains("trusted"), rule("XSS: innerHTML (line)", "high", "CWE-79", "medium", "innerHTML", "Markup of an element is set in this line")),
+            F.when(web & line.rlike(r"(?i)eval\s*\(\s*[^)]*\b(?:req|input|param|query|body|user)"), rule("eval() with user input (line)", "critical", "CWE-95", "high", "eval()", "eval runs text that names user input")),
+            F.when((ends == ".go") & line.rlike(r"(?i)(?:db\.Query|db\.Exec|db\.QueryRow)\s*\(\s*fmt\.Sprintf"), rule("Go: SQL Injection (line)", "critical", "CWE-89", "high", None, "The statement comes from a format call")),
+            F.when((ends == ".rs") & line.contains("unsafe") & line.contains("{"), rule("Rust: Unsafe Block (line)", "high", "CWE-119", "medium", None, "Compiler checks are switched off in this block")),
         )
-    )
-    rows = rows.withColumn("__f", F.explode(found))
-    g = F.col("__f")
-    return _finding(rows, g["r"], g["s"], g["m"], g["w"], g["c"], g["k"], "ast", 3, F.lit(1), F.length(line))
+    ).cast(TYPE)
+
+
+def heuristic_findings(files: DataFrame) -> DataFrame:
+    """GEN-0: the line heuristics over files of their suffixes."""
+    rows = explode_lines(files.where(suffix(F.col("file_path")).isin(*WEB, *NATIVE)))
+    return explode_hits(rows, heuristic_hits(F.col("file_path"), F.col("line_text")))
+
+
+def secret_hits(line: Column) -> Column:
+    """SEC-1 (ours): structured secrets and quoted values of high entropy. The value itself never leaves this operator."""
+    secret = lambda name, at, n: hit(rule_id=f"Secret: {name}", severity="critical", cwe="CWE-798", confidence="high", message="Secret value in source", column=at, length=n, analyzer="secret", layer_ord=4)
+    families = [F.when(line.rlike(p), secret(name, F.regexp_instr(line, F.lit(p)), F.length(F.regexp_substr(line, F.lit(p))))) for name, p in SECRET_FAMILIES]
+    value = F.regexp_extract(line, QUOTED, 1)
+    random = F.when((F.length(value) >= LEAST_LENGTH) & (entropy(value) >= LEAST_BITS), secret("High Entropy Value", F.regexp_instr(line, F.lit(QUOTED)) + 1, F.length(value)))
+    return F.array_compact(F.array(*families, random)).cast(TYPE)
 
 
 def secret_findings(files: DataFrame) -> DataFrame:
-    """SEC-1 (ours): structured secrets and quoted values of high entropy in files that aren't tests. The value itself never leaves this operator."""
+    """SEC-1 over files that aren't tests."""
     rows = explode_lines(files.where(~is_test_path(F.col("file_path"))))
-    line = F.col("line_text")
-    families = [F.when(line.rlike(p), F.struct(F.lit(f"Secret: {name}").alias("r"), F.regexp_instr(line, F.lit(p)).alias("at"), F.length(F.regexp_substr(line, F.lit(p))).alias("n"))) for name, p in SECRET_FAMILIES]
-    value = F.regexp_extract(line, QUOTED, 1)
-    random = F.when((F.length(value) >= LEAST_LENGTH) & (entropy(value) >= LEAST_BITS), F.struct(F.lit("Secret: High Entropy Value").alias("r"), (F.regexp_instr(line, F.lit(QUOTED)) + 1).alias("at"), F.length(value).alias("n")))
-    rows = rows.withColumn("__f", F.explode(F.array_compact(F.array(*families, random))))
-    g = F.col("__f")
-    return _finding(rows, g["r"], F.lit("critical"), F.lit("Secret value in source"), F.lit("CWE-798"), F.lit("high"), F.lit(None).cast("string"), "secret", 4, g["at"], g["n"])
+    return explode_hits(rows, secret_hits(F.col("line_text")))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.text import REPORT_RANK, lookup, severity_rank
+from ..functions.text import REPORT_RANK, escape, lookup, severity_rank
 
 # Weakness to name; the longer texts are ours.
 CWE = {
@@ -126,6 +126,24 @@ def remediation_order(findings: DataFrame) -> DataFrame:
     return findings.orderBy(severity_rank(F.col("severity"), REPORT_RANK), sure, "file_path", "line", "rule_id")
 
 
+# Weakness to category of the 2021 list of the ten most critical web risks.
+OWASP = {
+    "CWE-22": "A01", "CWE-601": "A01", "CWE-327": "A02", "CWE-338": "A02", "CWE-916": "A02", "CWE-20": "A03", "CWE-78": "A03", "CWE-79": "A03", "CWE-89": "A03", "CWE-95": "A03", "CWE-98": "A03", "CWE-917": "A03", "CWE-943": "A03",
+    "CWE-434": "A04", "CWE-693": "A05", "CWE-942": "A05", "CWE-287": "A07", "CWE-798": "A07", "CWE-502": "A08", "CWE-915": "A08", "CWE-918": "A10",
+}
+
+
+def with_owasp(findings: DataFrame) -> DataFrame:
+    """DOC-5: adds ``owasp``, the weakness's category, or null."""
+    return findings.withColumn("owasp", lookup(F.col("cwe"), OWASP))
+
+
+def with_kev(findings: DataFrame, exploited: DataFrame) -> DataFrame:
+    """DOC-5: adds ``kev``: is the weakness among those of a (cwe) catalog of exploited vulnerabilities? One row a weakness reaches the join."""
+    known = exploited.where("cwe is not null").select(F.col("cwe").alias("__cwe")).distinct()
+    return findings.join(known, F.col("cwe") == F.col("__cwe"), "left").withColumn("kev", F.col("__cwe").isNotNull()).drop("__cwe")
+
+
 def elevate(findings: DataFrame, exploited: Column, interactive: Column, phishing: Column) -> DataFrame:
     """SCO-9: severity raised to critical by signals of the deeper model, given as boolean columns."""
     rule = F.lower("rule_id")
@@ -136,15 +154,30 @@ def elevate(findings: DataFrame, exploited: Column, interactive: Column, phishin
     return findings.withColumn("severity", F.when(up, "critical").otherwise(F.col("severity"))).withColumn("confidence", F.when(up, "high").otherwise(F.col("confidence")))
 
 
-# Training modules (id, title, weakness, minutes, right answer).
-MODULES = (("sql-injection-101", "SQL Injection", "CWE-89", 15, 1), ("xss-prevention", "XSS Prevention", "CWE-79", 12, 1), ("secrets-management", "Secrets Management", "CWE-798", 10, 2))
+# Training modules (id, title, weakness, minutes, right answer); questions and answers are ours.
+MODULES = (
+    ("sql-injection-101", "SQL Injection", "CWE-89", 15, 1, "critical", "What keeps a value from changing a statement?", ("Doubling its quotes", "Binding it as a parameter", "Checking its length")),
+    ("xss-prevention", "XSS Prevention", "CWE-79", 12, 1, "high", "How does text from a visitor get into a page safely?", ("Through innerHTML", "Through textContent", "Inside a comment")),
+    ("secrets-management", "Secrets Management", "CWE-798", 10, 2, "critical", "Where does a service's key belong?", ("In the source", "In the image", "In a secret store")),
+)
 
 
 def training_modules(spark: SparkSession) -> DataFrame:
     """INT-8: the static training table."""
-    return spark.createDataFrame(list(MODULES), "id string, title string, cwe string, minutes int, right int")
+    return spark.createDataFrame([(*m[:7], list(m[7])) for m in MODULES], "id string, title string, cwe string, minutes int, right int, severity string, question string, answers array<string>")
+
+
+def module_pages(modules: DataFrame) -> DataFrame:
+    """INT-8: (id, html) a module's page with what is known of its weakness and its quiz, all values escaped."""
+    rows = with_cwe(modules)
+    button = lambda x, i: F.concat(F.lit("<button data-i='"), i.cast("string"), F.lit("'>"), escape(x), F.lit("</button>"))
+    quiz = F.concat(F.lit("<div class='quiz'><p>"), escape(F.col("question")), F.lit("</p>"), F.array_join(F.transform("answers", button), ""), F.lit("</div>"))
+    head = F.concat(F.lit("<h1>"), escape(F.col("title")), F.lit("</h1><span class='"), escape(F.col("severity")), F.lit("'>"), escape(F.upper("severity")), F.lit("</span> <span>"), escape(F.col("cwe")), F.lit("</span>"))
+    texts = [F.concat(F.lit("<p>"), escape(F.col(c)), F.lit("</p>")) for c in ("attack", "impact", "prevention")]
+    return rows.select("id", F.concat(F.lit("<!DOCTYPE html><html><body>"), head, *texts, quiz, F.lit("</body></html>")).alias("html"))
 
 
 def check_quiz(answers: DataFrame) -> DataFrame:
     """INT-8: (id, selected) answers with whether they are right; null for unknown modules."""
-    return answers.join(F.broadcast(training_modules(answers.sparkSession)), "id", "left").withColumn("correct", F.col("selected") == F.col("right"))
+    modules = training_modules(answers.sparkSession).select("id", "right")
+    return answers.join(F.broadcast(modules), "id", "left").withColumn("correct", F.col("selected") == F.col("right"))  # three fixed rows

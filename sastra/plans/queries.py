@@ -14,7 +14,7 @@ from ..sinks import reports
 from ..sources import corpus
 from ..streaming import events as streams
 from . import scan as plans
-from .snippets import APP, LINES, PYTHON, sql_text, values
+from .snippets import APP, CALLS, LINES, PYTHON, sql_text, values
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -22,9 +22,9 @@ SQL: dict[str, str] = {}
 
 #: Ours: custom rules for prose corpora, so that findings of every severity occur there.
 PROSE = (
-    Rule("Email Address", "medium", r"[a-z0-9._-]+@[a-z0-9-]+[.][a-z]{2,}", ("*",), "CWE-359", "Personal address", fix="Mask the address."),
+    Rule("Email Address", "medium", r"[a-z0-9._-]+@[a-z0-9-]+[.][a-z]{2,}", ("*",), "CWE-359", "Personal address", "It names a person who didn't ask to be in a corpus.", "Mask the address."),
     Rule("IPv4 Address", "low", r"[0-9]{1,3}[.][0-9]{1,3}[.][0-9]{1,3}[.][0-9]{1,3}", ("*",), "CWE-200", "Network address"),
-    Rule("Payment Card", "high", r"[0-9]{16}", ("*",), "CWE-311", "Card number", fix="Remove the number."),
+    Rule("Payment Card", "high", r"[0-9]{16}", ("*",), "CWE-311", "Card number", "Whoever reads it can pay with it.", "Remove the number."),
     Rule("License Line", "info", r"released under the", ("*",), None, "License notice"),
 )
 SECRET = rules.CATALOG[5]
@@ -55,6 +55,14 @@ def snippets(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(rows, "file_path string, language string, content string")
 
 
+def sample_files(spark: SparkSession) -> DataFrame:
+    """All code samples as files, under the suffixes of their languages."""
+    ends = {"javascript": "js", "rust": "rs", "typescript": "ts", "python": "py", "go": "go"}
+    rows = [(f"app/s{i}.{ends.get(language, language)}", language, line) for i, (language, line) in enumerate(LINES)]
+    rows += [(f"app/c{i}.{ends.get(language, language)}", language, text) for i, (language, text, _) in enumerate(CALLS)]
+    return spark.createDataFrame([*rows, *((p, "python", c) for p, c in PYTHON)], "file_path string, language string, content string")
+
+
 def prose_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Unique findings over documents: the secret rule and the prose rules."""
     return findings.dedup(findings.union_layers(rules.line_findings(documents(spark, sf_dir), rules=(SECRET,), custom=PROSE)))
@@ -66,11 +74,11 @@ _RULES = (SECRET, *PROSE)
 _SQL_LINES = """d AS (SELECT coalesce(source, 'none') || '/' || doc_id || '.txt' AS file_path, source AS repo, lang, string_split(replace(replace(text, chr(13) || chr(10), chr(10)), chr(13), chr(10)), chr(10)) AS parts FROM documents),
 l AS (SELECT file_path, repo, lang, i AS line, parts[i] AS line_text, len(parts) AS n FROM (SELECT *, unnest(range(1, len(parts) + 1)) AS i FROM d)),
 lines AS (SELECT file_path, repo, lang, line, line_text FROM l WHERE line < n OR line_text <> '')"""
-_RULE_VALUES = ", ".join(f"({i}, {sql_text(r.type)}, {sql_text(r.severity)}, {sql_text(r.regex)}, {sql_text(r.cwe)}, {sql_text(r.message)}, {sql_text(r.fix)})" for i, r in enumerate(_RULES))
+_RULE_VALUES = ", ".join(f"({i}, {sql_text(r.type)}, {sql_text(r.severity)}, {sql_text(r.regex)}, {sql_text(r.cwe)}, {sql_text(r.message)}, {sql_text(r.fix)}, {sql_text(r.explanation)})" for i, r in enumerate(_RULES))
 _SQL_FINDINGS = f"""{_SQL_LINES},
-r AS (SELECT * FROM (VALUES {_RULE_VALUES}) AS t(rule_ord, rule_id, severity, regex, cwe, message, fix)),
-f AS (SELECT rule_id, severity, file_path, repo, line, line_text, rule_ord, cwe, message, fix, regex, regexp_extract(line_text, regex, 0, 'i') AS hit FROM lines JOIN r ON regexp_matches(line_text, regex, 'i')),
-findings AS (SELECT rule_id, severity, file_path, repo, line::INTEGER AS line, instr(line_text, hit)::INTEGER AS "column", length(hit)::INTEGER AS length, cwe, message, fix, line_text, rule_ord, 'high' AS confidence FROM f)"""
+r AS (SELECT * FROM (VALUES {_RULE_VALUES}) AS t(rule_ord, rule_id, severity, regex, cwe, message, fix, explanation)),
+f AS (SELECT rule_id, severity, file_path, repo, line, line_text, rule_ord, cwe, message, fix, explanation, regex, regexp_extract(line_text, regex, 0, 'i') AS hit FROM lines JOIN r ON regexp_matches(line_text, regex, 'i')),
+findings AS (SELECT rule_id, severity, file_path, repo, line::INTEGER AS line, instr(line_text, hit)::INTEGER AS "column", length(hit)::INTEGER AS length, cwe, message, fix, explanation, line_text, rule_ord, 'high' AS confidence FROM f)"""
 _RANK = "CASE severity WHEN 'critical' THEN 0 WHEN 'high' THEN 1 WHEN 'medium' THEN 2 WHEN 'low' THEN 3 WHEN 'info' THEN 4 ELSE 9 END"
 _RANK4 = "CASE severity WHEN 'critical' THEN 0 WHEN 'high' THEN 1 WHEN 'medium' THEN 2 WHEN 'low' THEN 3 ELSE 9 END"
 
@@ -94,14 +102,17 @@ def secret_scan_editor(spark, sf_dir):
     return found.select("file_path", "line", "column", "length")
 
 
-@query("findings_full", _with("""SELECT rule_id, severity, file_path, line, "column", length, message, fix, cwe, confidence FROM findings"""))
+@query("findings_full", _with("""SELECT rule_id, severity, file_path, line, "column", length, message, explanation, fix, cwe, confidence FROM findings"""))
 def findings_full(spark, sf_dir):
-    return prose_findings(spark, sf_dir).select("rule_id", "severity", "file_path", "line", "column", "length", "message", "fix", "cwe", "confidence")
+    return prose_findings(spark, sf_dir).select("rule_id", "severity", "file_path", "line", "column", "length", "message", "explanation", "fix", "cwe", "confidence")
 
 
 _CATALOG = ", ".join(f"({i}, {sql_text(r.type)}, {sql_text(r.severity)}, {sql_text(r.regex)}, {'[' + ', '.join(sql_text(x) for x in r.languages) + ']'}, {sql_text(r.cwe)})" for i, r in enumerate(rules.CATALOG))
 
 
+_ADVICE = ", ".join("(" + ", ".join(sql_text(x) for x in (r.type, r.explanation, r.fix, r.example.split("Good: ")[1], r.cwe)) + ")" for r in rules.CATALOG)
+
+
 @query("rules_on_snippets", f"""
 WITH s AS (SELECT 'app/s' || i || '.' || language AS file_path, language, line FROM (VALUES {values(LINES)}) AS t(i, language, line)),
 r AS (SELECT * FROM (VALUES {_CATALOG}) AS t(rule_ord, rule_id, severity, regex, languages, cwe)),
@@ -154,14 +165,14 @@ def test_paths(spark, sf_dir):
 
 
 # What the call and syntax-tree rules say of the samples, written down by hand: SQL has no parser to say it.
+_RAISED = ", ".join(f"({i}, {sql_text(language)}, {sql_text(rule)}, {sql_text(severity)}, {sql_text(cwe)}, {line})" for i, (language, _, raised) in enumerate(CALLS) for rule, severity, cwe, line in raised)
+
+
 @query("call_layer", f"""
-SELECT 'app/s' || i || '.' || language AS file_path, rule_id || ' (call)' AS rule_id, severity, cwe, 1 AS line, 'medium' AS confidence FROM (VALUES
-  (2, 'SQL/NoSQL Injection', 'critical', 'CWE-89'), (5, 'Python: Hardcoded Secret', 'critical', 'CWE-798'), (23, 'Rust: Unsafe Block', 'high', 'CWE-119'), (26, 'Rust: Weak Crypto', 'high', 'CWE-327'), (37, 'Ruby: Unsafe Deserialization', 'critical', 'CWE-502'),
-  (44, 'Command Injection', 'critical', 'CWE-78'), (45, 'PHP: SQL Injection', 'critical', 'CWE-89'), (46, 'PHP: Command Injection', 'critical', 'CWE-78'), (47, 'Java: Sql', 'critical', 'CWE-89'), (47, 'Java: Command', 'critical', 'CWE-78'),
-  (48, 'TypeScript: SSRF', 'high', 'CWE-918'), (49, 'Kotlin: SQL Injection', 'critical', 'CWE-89'), (50, 'Ruby: Unsafe Deserialization', 'critical', 'CWE-502'), (51, 'Python: Sql Injection', 'critical', 'CWE-89')) AS t(i, rule_id, severity, cwe)
-JOIN (VALUES {values(LINES)}) AS s(k, language, text) ON k = i""")
+SELECT 'app/c' || i || '.' || language AS file_path, rule_id || ' (call)' AS rule_id, severity, cwe, line, 'medium' AS confidence FROM (VALUES {_RAISED}) AS t(i, language, rule_id, severity, cwe, line)""")
 def call_layer(spark, sf_dir):
-    return findings.dedup(calls.call_findings(snippets(spark))).select("file_path", "rule_id", "severity", "cwe", "line", "confidence")
+    rows = spark.createDataFrame([(f"app/c{i}.{language}", language, text) for i, (language, text, _) in enumerate(CALLS)], "file_path string, language string, content string")
+    return findings.dedup(calls.call_findings(rows)).select("file_path", "rule_id", "severity", "cwe", "line", "confidence")
 
 
 @query("python_tree_layer", """
@@ -204,9 +215,32 @@ def secret_layer(spark, sf_dir):
     return findings.dedup(heuristics.secret_findings(documents(spark, sf_dir))).select("file_path", "rule_id", "line", "column", "length")
 
 
-@query("full_scan")
+_WEAK = r"(^|[^\p{L}\p{N}_])(MD5|SHA1|DES|RC4|RC2)([^\p{L}\p{N}_]|$)"
+_FAMILIES = ", ".join(f"({sql_text('Secret: ' + name)}, {sql_text(p)})" for name, p in heuristics.SECRET_FAMILIES)
+_BITS = "list_sum(list_transform(list_distinct(string_split(v, '')), lambda c: -((length(v) - length(replace(v, c, '')))::DOUBLE / length(v)) * log2((length(v) - length(replace(v, c, '')))::DOUBLE / length(v))))"
+
+
+@query("full_scan", f"""
+WITH d AS (SELECT coalesce(source, 'none') || '/' || doc_id || '.txt' AS file_path, text AS content FROM documents UNION ALL SELECT url, html FROM pages),
+p AS (SELECT file_path, string_split(replace(replace(content, chr(13) || chr(10), chr(10)), chr(13), chr(10)), chr(10)) AS parts FROM d
+  WHERE NOT regexp_matches(lower(file_path), '(/(tests|test|__pycache__|fixtures|examples|docs|vendor|node_modules)/|(^|/)(test_|conftest[.])[^/]*$|(_test[.]|[.]test[.]|spec_)[^/]*$)')),
+l AS (SELECT file_path, i::INTEGER AS line, parts[i] AS t FROM (SELECT *, unnest(range(1, len(parts) + 1)) AS i FROM p)),
+hit AS (
+  SELECT {sql_text(SECRET.type)} AS rule_id, 'regex' AS analyzer, {sql_text(SECRET.severity)} AS severity, file_path, line FROM l WHERE regexp_matches(t, {sql_text(SECRET.regex)}, 'i')
+  UNION ALL SELECT {sql_text(rules.CATALOG[7].type)}, 'regex', {sql_text(rules.CATALOG[7].severity)}, file_path, line FROM l WHERE regexp_matches(t, {sql_text(_WEAK)}, 'i')
+  UNION ALL SELECT rule_id, 'secret', 'critical', file_path, line FROM l JOIN (VALUES {_FAMILIES}) AS f(rule_id, p) ON regexp_matches(t, p)
+  UNION ALL SELECT 'Secret: High Entropy Value', 'secret', 'critical', file_path, line FROM (SELECT file_path, line, {_BITS} AS e FROM (SELECT file_path, line, regexp_extract(t, '["'']([A-Za-z0-9+/=_-]{{20,}})["'']', 1) AS v FROM l) WHERE v <> '') WHERE e >= 3.5)
+SELECT DISTINCT rule_id, severity, file_path, line, analyzer FROM hit
+""")
 def full_scan(spark, sf_dir):
-    return plans.scan(snippets(spark).union(spark.createDataFrame([(p, "python", c) for p, c in PYTHON], "file_path string, language string, content string"))).select("rule_id", "severity", "file_path", "line", "analyzer")
+    pages = corpus.from_pages(table(spark, sf_dir, "pages"))
+    return plans.scan(documents(spark, sf_dir).unionByName(pages)).select("rule_id", "severity", "file_path", "line", "analyzer")
+
+
+@query("snippet_scan")
+def snippet_scan(spark, sf_dir):
+    """The whole plan over code samples, tested against its layers one by one."""
+    return plans.scan(sample_files(spark)).select("rule_id", "severity", "file_path", "line", "analyzer")
 
 
 @query("custom_rules", _with("""SELECT rule_id, count(*)::BIGINT AS n FROM findings WHERE rule_ord > 0 GROUP BY rule_id"""))
@@ -218,9 +252,9 @@ def custom_rules(spark, sf_dir):
     return findings.dedup(found).groupBy("rule_id").agg(F.count("*").alias("n"))
 
 
-@query("staged_files", """SELECT source || '/' || doc_id || '.txt' AS file_path FROM documents WHERE doc_id % 7 = 0""")
+@query("staged_files", """SELECT coalesce(source, 'none') || '/' || doc_id || '.txt' AS file_path FROM documents WHERE lang = 'de'""")
 def staged_files(spark, sf_dir):
-    changed = table(spark, sf_dir, "documents").where("doc_id % 7 = 0").select(F.concat("source", F.lit("/"), F.col("doc_id").cast("string"), F.lit(".txt")).alias("file_path"))
+    changed = corpus.from_documents(table(spark, sf_dir, "documents").where("lang = 'de'")).select("file_path")
     return findings.staged(documents(spark, sf_dir), changed, (".txt",)).select("file_path")
 
 
@@ -238,10 +272,9 @@ def repo_counts(spark, sf_dir):
     return prose_findings(spark, sf_dir).groupBy(repo).agg(F.count("*").alias("n"), F.count_distinct("file_path").alias("files"))
 
 
-@query("grouped_findings", _with("SELECT severity, count(*)::BIGINT AS n, string_agg(file_path || ':' || line || ':' || rule_id, ',' ORDER BY file_path, line, \"column\", rule_id) AS items FROM findings GROUP BY severity"))
+@query("grouped_findings", _with("SELECT severity, count(*) OVER (PARTITION BY severity)::BIGINT AS n, row_number() OVER (PARTITION BY severity ORDER BY file_path, line, \"column\", rule_id)::BIGINT AS nth, file_path, line, rule_id FROM findings"))
 def grouped_findings(spark, sf_dir):
-    item = lambda x: F.concat(x["file_path"], F.lit(":"), x["line"].cast("string"), F.lit(":"), x["rule_id"])
-    return findings.grouped(prose_findings(spark, sf_dir)).select("severity", "n", F.array_join(F.transform("findings", item), ",").alias("items"))
+    return findings.grouped(prose_findings(spark, sf_dir)).select("severity", "n", "nth", "file_path", "line", "rule_id")
 
 
 @query("catalog_stats", f"""
@@ -343,6 +376,28 @@ def tenant_isolation(spark, sf_dir):
     return findings.tenant_view(table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey"), 7, "c_nationkey")
 
 
+@query("scan_anomalies", """WITH h AS (SELECT user_id, (hour(ts) % 6)::INTEGER AS scan, count(*)::BIGINT AS n FROM events GROUP BY 1, 2),
+b AS (SELECT user_id, avg(n) AS mean, stddev_pop(n) AS dev FROM h WHERE scan < 5 GROUP BY 1)
+SELECT h.user_id, n, round(mean, 6) AS mean, CASE WHEN dev > 0 THEN round(abs(n - mean) / dev, 6) END AS score, coalesce(CASE WHEN dev > 0 THEN abs(n - mean) / dev >= 2 ELSE abs(n - mean) > 0 END, false) AS anomalous FROM h LEFT JOIN b USING (user_id) WHERE scan = 5""")
+def scan_anomalies(spark, sf_dir):
+    counts = table(spark, sf_dir, "events").groupBy("user_id", (F.hour("ts") % 6).alias("scan")).agg(F.count("*").alias("n"))
+    rows = findings.anomalies(counts.where("scan < 5"), counts.where("scan = 5"), "user_id", 2.0)
+    return rows.select("user_id", "n", F.round("mean", 6).alias("mean"), F.round("score", 6).alias("score"), "anomalous")
+
+
+_SURFACE = ", ".join(f"CASE WHEN contains(lower(url), '{w}') THEN {v}::DOUBLE ELSE 1.0::DOUBLE END" for w, v in findings.SURFACE)
+
+
+@query("surface_weights", f"SELECT page_id, greatest({_SURFACE}) AS weight FROM pages")
+def surface_weights(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("page_id", findings.surface_weight(F.col("url")).alias("weight"))
+
+
+@query("tool_counts", "WITH w AS (SELECT DISTINCT conv_id, turn, unnest(string_split(text, ' ')) AS tool FROM conversations WHERE text IS NOT NULL) SELECT tool, count(*)::BIGINT AS events FROM w GROUP BY tool")
+def tool_counts(spark, sf_dir):
+    return findings.learning_counts(table(spark, sf_dir, "conversations").dropDuplicates(["conv_id", "turn", "text"]).select(F.split("text", " ").alias("tools")))
+
+
 # ---------------------------------------------------------------- knowledge and scores
 
 _MITRE = ", ".join(f"('{k}', '{','.join(a)}', '{','.join(b)}')" for k, (a, b) in knowledge.MITRE.items())
@@ -357,6 +412,15 @@ def cwe_enrich(spark, sf_dir):
     return knowledge.with_cwe(prose_findings(spark, sf_dir)).groupBy("cwe", "name").agg(F.count("*").alias("n"))
 
 
+_OWASP = ", ".join(f"('{k}', '{v}')" for k, v in knowledge.OWASP.items())
+
+
+@query("owasp_kev", _with(f"SELECT file_path, line, rule_id, owasp, coalesce(cwe IN ('CWE-798', 'CWE-200'), false) AS kev FROM findings LEFT JOIN (VALUES {_OWASP}) AS o(c, owasp) ON c = cwe"))
+def owasp_kev(spark, sf_dir):
+    exploited = spark.createDataFrame([("CWE-798",), ("CWE-200",), ("CWE-200",), (None,)], "cwe string")
+    return knowledge.with_kev(knowledge.with_owasp(prose_findings(spark, sf_dir)), exploited).select("file_path", "line", "rule_id", "owasp", "kev")
+
+
 @query("severity_texts", _with("SELECT severity, CASE severity " + " ".join(f"WHEN '{k}' THEN {sql_text(v)}" for k, v in knowledge.SEVERITY_TEXT.items()) + " END AS severity_text, count(*)::BIGINT AS n FROM findings GROUP BY 1, 2"))
 def severity_texts(spark, sf_dir):
     return knowledge.with_severity_text(prose_findings(spark, sf_dir)).groupBy("severity", "severity_text").agg(F.count("*").alias("n"))
@@ -565,6 +629,17 @@ def attack_paths(spark, sf_dir):
     return graph.attack_paths(start, edges).select("id", F.array_join("path", ">").alias("path"))
 
 
+@query("dependency_distances", """WITH RECURSIVE e AS (SELECT 's' || ps AS src, 'n' || n AS dst FROM (SELECT s_suppkey AS ps, s_nationkey AS n FROM supplier) UNION SELECT 'n' || n_nationkey, 'r' || n_regionkey FROM nation UNION SELECT 'r' || r_regionkey, 'n' || ((r_regionkey * 7 + 3) % 25) FROM region),
+w AS (SELECT 's' || s_suppkey AS start, 's' || s_suppkey AS id, 0 AS hops FROM supplier UNION SELECT w.start, e.dst, hops + 1 FROM w JOIN e ON w.id = e.src WHERE hops < 40)
+SELECT start, id, min(hops)::INTEGER AS hops FROM w GROUP BY 1, 2""")
+def dependency_distances(spark, sf_dir):
+    mark = lambda c, col: F.concat(F.lit(c), col.cast("string"))
+    nodes, supplier = table(spark, sf_dir, "nation"), table(spark, sf_dir, "supplier")
+    edges = supplier.select(mark("s", F.col("s_suppkey")).alias("src"), mark("n", F.col("s_nationkey")).alias("dst")).union(nodes.select(mark("n", F.col("n_nationkey")), mark("r", F.col("n_regionkey"))))
+    edges = edges.union(table(spark, sf_dir, "region").select(mark("r", F.col("r_regionkey")), mark("n", (F.col("r_regionkey") * 7 + 3) % 25)))
+    return graph.distances(edges, supplier.select(mark("s", F.col("s_suppkey")).alias("id")))
+
+
 @query("call_graph", """SELECT * FROM (VALUES ('handle', 'handle'), ('handle', 'fetch_user'), ('fetch_user', 'fetch_user'), ('fetch_user', 'execute'), ('idle', 'idle'), ('main', 'main'), ('main', 'show'), ('show', 'show')) AS t(src, dst)""")
 def call_graph(spark, sf_dir):
     return graph.call_edges(graph.functions(spark.createDataFrame(list(APP), "file_path string, content string")))
@@ -622,6 +697,27 @@ def json_findings(spark, sf_dir):
     return rows.select(F.get_json_object(j, "$.rule_id").alias("rule_id"), F.get_json_object(j, "$.file_path").alias("file_path"), F.get_json_object(j, "$.intelligence.requires_api").alias("requires_api"))
 
 
+@query("quick_fixes", _with(f"""SELECT file_path, line, 'Accept: ' || rule_id AS title, line_text || '  // sastra-ignore: ' || rule_id AS new_line FROM findings
+UNION ALL SELECT file_path, line, 'Fix: ' || rule_id, substr(line_text, 1, "column" - 1) || {sql_text(SECRET.example.split("Good: ")[1])} || substr(line_text, "column" + length) FROM findings WHERE rule_id = {sql_text(SECRET.type)}"""))
+def quick_fixes(spark, sf_dir):
+    return reports.quick_fix(prose_findings(spark, sf_dir))
+
+
+@query("detail_texts", f"SELECT rule_id, 'WHY: ' || explanation || chr(10) || 'FIX: ' || fix || chr(10) || 'EXAMPLE: ' || good || chr(10) || 'REFERENCE: ' || cwe || ' https://cwe.mitre.org/data/definitions/' || replace(cwe, 'CWE-', '') || '.html' AS text FROM (VALUES {_ADVICE}) AS t(rule_id, explanation, fix, good, cwe)")
+def detail_texts(spark, sf_dir):
+    rows = rules.rules_frame(spark).withColumnRenamed("type", "rule_id")
+    return rows.select("rule_id", reports.detail_text(rows).alias("text"))
+
+
+@query("report_lines", _with(f"""SELECT 0 AS n, '{{"tool": "Sastra", "scan_path": "corpus", "timestamp": "now", "total": ' || count(*) || ', "findings": [' AS text FROM findings UNION ALL SELECT count(*) + 1, ']}}' FROM findings
+UNION ALL SELECT n, CASE WHEN n > 1 THEN ',' ELSE '' END || rule_id || ' ' || file_path || ':' || line FROM (SELECT *, row_number() OVER (ORDER BY {_RANK4}, severity, file_path, line, "column", rule_id) AS n FROM findings)"""))
+def report_lines(spark, sf_dir):
+    rows = reports.report_lines("json", prose_findings(spark, sf_dir), "corpus", "now")
+    j = F.ltrim("text", F.lit(","))
+    short = F.concat(F.when(F.col("text").startswith(","), ",").otherwise(""), F.get_json_object(j, "$.rule_id"), F.lit(" "), F.get_json_object(j, "$.file_path"), F.lit(":"), F.get_json_object(j, "$.line"))
+    return rows.select("n", F.coalesce(short, "text").alias("text"))
+
+
 @query("inspections", f"SELECT regexp_replace(rule_id, '\\s', '', 'g') AS inspection_id, CASE severity WHEN 'critical' THEN 'ERROR' WHEN 'high' THEN 'ERROR' WHEN 'medium' THEN 'WARNING' WHEN 'low' THEN 'WEAK_WARNING' ELSE 'INFO' END AS severity FROM (VALUES {_CATALOG}) AS t(rule_ord, rule_id, severity, regex, languages, cwe)")
 def inspections(spark, sf_dir):
     return reports.inspections(rules.rules_frame(spark)).select("inspection_id", "severity")
@@ -634,6 +730,12 @@ def training_rows(spark, sf_dir):
     return rows.groupBy(F.when(F.col("output") == "safe", "example").otherwise("rule").alias("kind")).agg(F.count("*").alias("n"))
 
 
+@query("chat_rows", "SELECT '<|im_start|>user' || chr(10) || 'Analyze this code for security vulnerabilities' || chr(10) || chr(10) || 'Code:' || chr(10) || coalesce(substr(text, 1, 200), '') || '<|im_end|>' || chr(10) || '<|im_start|>assistant' || chr(10) || 'safe<|im_end|>' AS text FROM benchmark")
+def chat_rows(spark, sf_dir):
+    labelled = table(spark, sf_dir, "benchmark").select(F.col("text").alias("code"), F.lit("safe").alias("label"))
+    return reports.chat_rows(reports.training_rows(rules.rules_frame(spark).limit(0), labelled))
+
+
 @query("model_answers", "SELECT doc_id, 'high' AS severity, least(greatest(doc_id % 9 - 1, 0), 4)::INTEGER AS line FROM documents WHERE doc_id % 2 = 0")
 def model_answers(spark, sf_dir):
     d = table(spark, sf_dir, "documents")

@@ -2,33 +2,54 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable, Iterable, Sequence
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import explode_lines, is_test_path, suffix
 from ..functions.workers import ship
-from ..operators import calls, findings, heuristics, python_ast, rules
+from ..operators import calls, findings, heuristics, hits, python_ast, rules
 from ..sinks.reports import TOOL
 
 #: A plugin takes a path and a text and returns findings as dicts; it may also say which languages it knows.
 Plugin = Callable[[str, str], Iterable[dict]]
 
 
+def line_layers(files: DataFrame, severities: Sequence[str] | None = None, custom=()) -> DataFrame:
+    """The three line layers in one pass: each line is split off once and all its hits are one array. Test files meet the heuristics only."""
+    path, line = F.col("file_path"), F.col("line_text")
+    chosen = rules.select_rules((*rules.CATALOG, *custom), severities)
+    seen = F.when(F.col("raw_line").rlike(rules.ANCHORS), rules.finding_hits(chosen, F.col("raw_line"), F.col("language"))) if not custom else rules.finding_hits(chosen, F.col("raw_line"), F.col("language"))
+    tested = is_test_path(path)
+    rows = explode_lines(files.where(~tested | suffix(path).isin(*heuristics.WEB, *heuristics.NATIVE)))
+    checked = F.when(~tested, F.concat(F.coalesce(seen, hits.none()), heuristics.secret_hits(line)))
+    return hits.explode_hits(rows, F.concat(F.coalesce(checked, hits.none()), heuristics.heuristic_hits(path, line)))
+
+
 def layers(files: DataFrame, severities: Sequence[str] | None = None, custom=(), deep: bool = True) -> DataFrame:
-    """All layers, not yet unique. Severities choose line rules only, as the other layers don't look at them."""
+    """All layers, not yet unique. Severities choose line rules only, as the other layers don't look at them.
+
+    Lines are one pass over the corpus; the two Python layers read their own languages' files only.
+    """
     files = files.select("file_path", "language", "content")
-    parts = [rules.line_findings(files, severities=severities, custom=custom)]
-    if deep:
-        parts += [python_ast.python_findings(files), calls.call_findings(files), heuristics.heuristic_findings(files), heuristics.secret_findings(files)]
-    return findings.union_layers(*parts)
+    if not deep:
+        return findings.union_layers(rules.line_findings(files, severities=severities, custom=custom))
+    return findings.union_layers(line_layers(files, severities, custom), python_ast.python_findings(files), calls.call_findings(files))
+
 
+def scan(files: DataFrame, severities: Sequence[str] | None = None, custom=(), deep: bool = True, config: dict | None = None, plugins: Plugins | None = None) -> DataFrame:
+    """Unique findings of (file_path, language, content) files, after the configuration's exclusions, suppressions and severities. Rank them with :func:`findings.rank`.
 
-def scan(files: DataFrame, severities: Sequence[str] | None = None, custom=(), deep: bool = True, config: dict | None = None) -> DataFrame:
-    """Unique findings of (file_path, language, content) files, after the configuration's exclusions, suppressions and severities. Rank them with :func:`findings.rank`."""
+    Findings of ``plugins`` are appended after the layers' (JOIN-12).
+    """
     config = config or {}
-    out = findings.dedup(layers(files, severities, custom, deep))
+    found = layers(files, severities, custom, deep)
+    if plugins and plugins.names():
+        found = found.unionByName(findings.union_layers(plugins.findings(files)))
+    out = findings.dedup(found)
     out = findings.exclude_paths(out, config.get("excludedPaths") or ())
     out = findings.suppress(out, config.get("suppressions") or {})
     return findings.override_severity(out, config.get("severityOverrides") or {})
@@ -40,6 +61,10 @@ def editor_scan(files: DataFrame, custom=()) -> DataFrame:
     return rules.editor_view(findings.dedup_editor(rules.line_findings(files, custom=custom, editor=True)))
 
 
+#: Plugin texts that this process has run already.
+_loaded: dict[str, Plugin] = {}
+
+
 class Plugins:
     """UDF-1, UDF-2: named plugins; one that fails on a file yields nothing there and leaves a row saying so."""
 
@@ -78,6 +103,34 @@ class Plugins:
 
         return files.select("file_path", "language", "content").mapInArrow(work, self.SCHEMA)
 
+    def findings(self, files: DataFrame) -> DataFrame:
+        """The plugins' findings in the finding schema; what a plugin leaves out gets a default, and failures are left to :meth:`run`."""
+        rows = self.run(files).where("error is null")
+        return rows.select(
+            "file_path", F.coalesce("line", F.lit(1)).alias("line"), F.lit("").alias("line_text"), F.coalesce("rule_id", F.lit("unknown")).alias("rule_id"), F.coalesce("severity", F.lit("medium")).alias("severity"), F.lit(1).alias("column"), F.lit(1).alias("length"),
+            F.coalesce("message", F.lit("")).alias("message"), F.lit("").alias("explanation"), F.lit("").alias("fix"), F.lit("medium").alias("confidence"), F.concat(F.lit("plugin:"), "plugin").alias("analyzer"), F.lit(5).alias("layer_ord"), F.lit(0).alias("rule_ord"),
+        )
+
+    def load(self, path: str) -> None:
+        """Register the function ``analyze(path, text)`` of a Python file, under the file's name; it may say its ``LANGUAGES``. The code travels with the task."""
+        with open(path, encoding="utf-8") as f:
+            text = f.read()
+        name = os.path.splitext(os.path.basename(path))[0]
+        spaces: dict = {"__name__": f"plugin_{name}"}
+        exec(compile(text, path, "exec"), spaces)
+        if not callable(spaces.get("analyze")):
+            raise ValueError(f"{path} has no function analyze(path, text)")
+
+        def run(file_path: str, content: str, text=text, path=path):
+            held = _loaded.get(text)
+            if held is None:
+                made: dict = {"__name__": "plugin"}
+                exec(compile(text, path, "exec"), made)
+                held = _loaded[text] = made["analyze"]
+            return held(file_path, content)
+
+        self.register(name, run, tuple(spaces.get("LANGUAGES", ("*",))))
+
 
 # The classes that a model is asked about.
 ASKED = ("SQL Injection", "Command Injection", "Cross-Site Scripting", "Hardcoded Secret", "Path Traversal", "Insecure Deserialization", "Weak Cryptography", "SSRF", "Open Redirect")

@@ -1,6 +1,7 @@
-"""Report writers. Rows are rendered by column expressions on the executors; a driver only joins rendered pieces of reports that people read.
+"""Report writers. Rows are rendered by column expressions on the executors, in an order that no task holds as a whole.
 
-Times are parameters, so that a report can be repeated.
+:func:`write_report` has the executors write a report as ordered parts, however large; :func:`report_text` joins the same pieces on the driver, for reports that
+people read. Times are parameters, so that a report can be repeated.
 """
 
 from __future__ import annotations
@@ -10,8 +11,10 @@ from collections.abc import Iterator
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import REPORT_RANK, lookup, severity_rank
-from ..operators.findings import COLUMNS
+from ..functions.lineage import numbered
+from ..functions.text import REPORT_RANK, escape, language_of, lookup, severity_rank
+from ..operators.findings import COLUMNS, in_order
+from ..operators.rules import CATALOG
 
 TOOL, VERSION = "Sastra", "0.2.0"
 # Report levels.
@@ -26,103 +29,122 @@ def _ordered(findings: DataFrame) -> DataFrame:
     return findings.orderBy(severity_rank(F.col("severity"), REPORT_RANK), "severity", "file_path", "line", "column", "rule_id")
 
 
-def _pieces(rows: DataFrame, column: str) -> Iterator[str]:
-    """Rendered pieces in order, a partition at a time."""
-    return (r[0] for r in rows.select(column).toLocalIterator())
-
-
 def cwe_url(cwe: Column) -> Column:
     """SNK-14."""
     return F.concat(F.lit("https://cwe.mitre.org/data/definitions/"), F.replace(cwe, F.lit("CWE-"), F.lit("")), F.lit(".html"))
 
 
-def escape(text: Column) -> Column:
-    """Markup-safe text."""
-    out = F.coalesce(text, F.lit(""))
-    for a, b in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;")):
-        out = F.replace(out, F.lit(a), F.lit(b))
-    return out
-
-
-def finding_json(findings: DataFrame, explanation: str = "explanation") -> DataFrame:
-    """PRJ-5: (json) one object a finding, nulls kept, with the constant part that says no service was asked."""
+def _finding_object(explanation: str) -> Column:
     part = F.struct(F.lit("offline").alias("method"), F.lit(TOOL.lower()).alias("source"), F.lit(False).alias("requires_api")).alias("intelligence")
     cols = [F.col(c) if c != "explanation" else F.col(explanation).alias(c) for c in COLUMNS]
-    return findings.select(F.to_json(F.struct(*cols, part), KEEP_NULLS).alias("json"))
+    return F.to_json(F.struct(*cols, part), KEEP_NULLS)
 
 
-def json_report(findings: DataFrame, scan_path: str, timestamp: str) -> str:
-    """SNK-2, SNK-7."""
-    import json
-
-    items = [json.loads(x) for x in _pieces(finding_json(_ordered(findings)), "json")]
-    return json.dumps({"tool": TOOL, "scan_path": scan_path, "timestamp": timestamp, "total": len(items), "findings": items}, indent=2, ensure_ascii=False)
+def finding_json(findings: DataFrame, explanation: str = "explanation") -> DataFrame:
+    """PRJ-5: (json) one object a finding, nulls kept, with the constant part that says no service was asked."""
+    return findings.select(_finding_object(explanation).alias("json"))
 
 
-def sarif_results(findings: DataFrame) -> DataFrame:
-    """SNK-3: (json) one SARIF result a finding."""
+def _sarif_object() -> Column:
     region = F.struct(F.col("line").alias("startLine"), F.col("column").alias("startColumn")).alias("region")
     place = F.struct(F.struct(F.struct(F.col("file_path").alias("uri")).alias("artifactLocation"), region).alias("physicalLocation"))
     result = F.struct(
         F.col("rule_id").alias("ruleId"), lookup(F.col("severity"), SARIF_LEVEL, "warning").alias("level"), F.struct(F.col("message").alias("text")).alias("message"),
         F.array(place).alias("locations"), F.struct("cwe", "fix", "confidence").alias("properties"),
     )
-    return findings.select(F.to_json(result, KEEP_NULLS).alias("json"))
+    return F.to_json(result, KEEP_NULLS)
+
+
+def sarif_results(findings: DataFrame) -> DataFrame:
+    """SNK-3: (json) one SARIF result a finding."""
+    return findings.select(_sarif_object().alias("json"))
 
 
-def sarif_report(findings: DataFrame) -> str:
+def _json_text(x) -> str:
     import json
 
-    items = [json.loads(x) for x in _pieces(sarif_results(_ordered(findings)), "json")]
-    run = {"tool": {"driver": {"name": TOOL, "semanticVersion": VERSION}}, "results": items}
-    return json.dumps({"$schema": SARIF_SCHEMA, "version": "2.1.0", "runs": [run]}, indent=2, ensure_ascii=False)
+    return json.dumps(x, ensure_ascii=False)
 
 
-def _sections(findings: DataFrame, piece: Column, head) -> Iterator[str]:
-    """Pieces by severity, each group under its head."""
-    sizes = {r["severity"]: r["n"] for r in findings.groupBy("severity").agg(F.count("*").alias("n")).collect()}  # one row a severity
-    last = None
-    for r in _ordered(findings).select("severity", piece.alias("p")).toLocalIterator():
-        if r["severity"] != last:
-            last = r["severity"]
-            yield head(last, sizes[last])
-        yield r["p"]
+def _title(line: str, rest: str = "") -> Column:
+    """``line`` with {S} and {N} for the severity in capitals and its group's size, before a group's first finding."""
+    name = F.upper(F.coalesce("severity", F.lit("unknown")))
+    text = F.replace(F.replace(F.lit(line), F.lit("{S}"), name), F.lit("{N}"), F.col("n").cast("string"))
+    return F.when(F.col("nth") == 1, F.concat(text, F.lit(rest))).otherwise("")
+
 
+def _place(*between: str) -> Column:
+    parts = [F.col("file_path"), F.col("line").cast("string"), F.col("column").cast("string")][: len(between) + 1]
+    return F.concat(parts[0], *[x for mark, part in zip(between, parts[1:], strict=True) for x in (F.lit(mark), part)])
 
-def text_report(findings: DataFrame, scan_path: str) -> str:
+
+def _json_kind(path, now, total):
+    """SNK-2, SNK-7."""
+    head = f'{{"tool": {_json_text(TOOL)}, "scan_path": {_json_text(path)}, "timestamp": {_json_text(now)}, "total": {total}, "findings": ['
+    return head, F.concat(F.when(F.col("at") > 1, ",").otherwise(""), _finding_object("explanation")), "]}"
+
+
+def _sarif_kind(path, now, total):
+    """SNK-3."""
+    driver = _json_text({"driver": {"name": TOOL, "semanticVersion": VERSION}})
+    head = f'{{"$schema": "{SARIF_SCHEMA}", "version": "2.1.0", "runs": [{{"tool": {driver}, "results": ['
+    return head, F.concat(F.when(F.col("at") > 1, ",").otherwise(""), _sarif_object()), "]}]}"
+
+
+def _text_kind(path, now, total):
     """SNK-1."""
-    where = F.concat(F.lit("  "), "file_path", F.lit(":"), F.col("line").cast("string"), F.lit(":"), F.col("column").cast("string"))
-    cwe = F.when(F.coalesce("cwe", F.lit("")) != "", F.concat(F.lit("  CWE: "), "cwe"))
-    piece = F.concat(F.array_join(F.array_compact(F.array(where, F.concat(F.lit("  Rule: "), "rule_id"), F.concat(F.lit("  Message: "), "message"), cwe)), "\n"), F.lit("\n"))
-    body = list(_sections(findings, piece, lambda s, n: f"{(s or 'unknown').upper()} ({n})\n{'-' * 60}"))
-    if not body:
-        return f"{TOOL} scan of {scan_path}\nNo security issues found.\n"
-    return "\n".join([f"{TOOL} Scan Report — {scan_path}", "=" * 60, "", *body])
+    if not total:
+        return f"{TOOL} scan of {path}\nNo security issues found.", F.lit(""), ""
+    cwe = F.when(F.coalesce("cwe", F.lit("")) != "", F.concat(F.lit("\n  CWE: "), "cwe")).otherwise("")
+    piece = F.concat(_title("{S} ({N})\n" + "-" * 60 + "\n"), F.lit("  "), _place(":", ":"), F.lit("\n  Rule: "), "rule_id", F.lit("\n  Message: "), F.coalesce("message", F.lit("")), cwe, F.lit("\n"))
+    return f"{TOOL} Scan Report — {path}\n{'=' * 60}\n", piece, ""
 
 
-def markdown_report(findings: DataFrame, scan_path: str, timestamp: str) -> str:
+def _markdown_kind(path, now, total):
     """SNK-4."""
-    lines = F.array_compact(
-        F.array(
-            F.concat(F.lit("### "), "rule_id"), F.concat(F.lit("- **File:** `"), "file_path", F.lit(":"), F.col("line").cast("string"), F.lit("`")), F.concat(F.lit("- **Message:** "), "message"),
-            F.when(F.coalesce("cwe", F.lit("")) != "", F.concat(F.lit("- **CWE:** ["), "cwe", F.lit("]("), cwe_url(F.col("cwe")), F.lit(")"))), F.concat(F.lit("- **Fix:** "), F.coalesce("fix", F.lit(""))), F.lit(""),
-        )
-    )
-    body = list(_sections(findings, F.array_join(lines, "\n"), lambda s, n: f"## {(s or 'unknown').upper()} ({n})\n"))
-    return "\n".join([f"# {TOOL} Scan Report — `{scan_path}`", "", f"**Total findings:** {findings.count()}  ", f"**Scanned at:** {timestamp}", "", *body])
+    cwe = F.when(F.coalesce("cwe", F.lit("")) != "", F.concat(F.lit("\n- **CWE:** ["), "cwe", F.lit("]("), cwe_url(F.col("cwe")), F.lit(")"))).otherwise("")
+    piece = F.concat(_title("## {S} ({N})\n\n"), F.lit("### "), "rule_id", F.lit("\n- **File:** `"), _place(":"), F.lit("`\n- **Message:** "), F.coalesce("message", F.lit("")), cwe, F.lit("\n- **Fix:** "), F.coalesce("fix", F.lit("")), F.lit("\n"))
+    return f"# {TOOL} Scan Report — `{path}`\n\n**Total findings:** {total}  \n**Scanned at:** {now}\n", piece, ""
 
 
-def html_report(findings: DataFrame, scan_path: str, timestamp: str) -> str:
+def _html_kind(path, now, total):
     """SNK-5: all values escaped."""
     from html import escape as plain
 
     fix = F.when(F.coalesce("fix", F.lit("")) != "", F.concat(F.lit("<p class='fix'>Fix: "), escape(F.col("fix")), F.lit("</p>"))).otherwise("")
     card = F.concat(
-        F.lit("<div class='finding "), "severity", F.lit("'><b>"), F.upper("severity"), F.lit("</b> "), escape(F.col("rule_id")), F.lit(" <i>"), escape(F.col("cwe")), F.lit("</i><p>"),
-        escape(F.col("file_path")), F.lit(":"), F.col("line").cast("string"), F.lit(":"), F.col("column").cast("string"), F.lit("</p><p>"), escape(F.col("message")), F.lit("</p>"), fix, F.lit("</div>"),
+        _title("<h2>{S} ({N})</h2>\n"), F.lit("<div class='finding "), escape(F.col("severity")), F.lit("'><b>"), escape(F.upper("severity")), F.lit("</b> "), escape(F.col("rule_id")), F.lit(" <i>"), escape(F.col("cwe")), F.lit("</i><p>"),
+        escape(_place(":", ":")), F.lit("</p><p>"), escape(F.col("message")), F.lit("</p>"), fix, F.lit("</div>"),
     )
-    body = list(_sections(findings, card, lambda s, n: f"<h2>{(s or 'unknown').upper()} ({n})</h2>"))
-    return "\n".join([f"<!DOCTYPE html>\n<html lang='en'><head><meta charset='UTF-8'><title>{TOOL} Report — {plain(scan_path)}</title></head><body>", f"<h1>{TOOL} Security Report</h1><p>Scan: <code>{plain(scan_path)}</code></p>", *body, f"<p class='timestamp'>{plain(timestamp)}</p></body></html>"])
+    head = f"<!DOCTYPE html>\n<html lang='en'><head><meta charset='UTF-8'><title>{TOOL} Report — {plain(path)}</title></head><body>\n<h1>{TOOL} Security Report</h1><p>Scan: <code>{plain(path)}</code></p>"
+    return head, card, f"<p class='timestamp'>{plain(now)}</p></body></html>"
+
+
+KINDS = {"text": _text_kind, "json": _json_kind, "sarif": _sarif_kind, "markdown": _markdown_kind, "html": _html_kind}
+
+
+def report_lines(kind: str, findings: DataFrame, scan_path: str = "", timestamp: str = "") -> DataFrame:
+    """(n, text): a report's head (0), a piece for each finding in order, and its foot."""
+    rows = in_order(findings)
+    total = findings.count()
+    head, piece, foot = KINDS[kind](scan_path, timestamp, total)
+    ends = findings.sparkSession.createDataFrame([(0, head), (total + 1, foot)], "n long, text string").where("n = 0 or text <> ''")
+    return rows.select(F.col("at").alias("n"), piece.alias("text")).union(ends)
+
+
+def write_report(kind: str, findings: DataFrame, path: str, scan_path: str = "", timestamp: str = "") -> None:
+    """The report as text files below ``path`` that executors write; joined in the order of their names they are the report. An earlier report is replaced."""
+    report_lines(kind, findings, scan_path, timestamp).orderBy("n").select("text").write.mode("overwrite").text(path)
+
+
+def report_pieces(kind: str, findings: DataFrame, scan_path: str = "", timestamp: str = "") -> Iterator[str]:
+    """The report's pieces in order, a partition at a time."""
+    return (r["text"] for r in report_lines(kind, findings, scan_path, timestamp).orderBy("n").select("text").toLocalIterator())
+
+
+def report_text(kind: str, findings: DataFrame, scan_path: str = "", timestamp: str = "") -> str:
+    """The whole report on the driver, for one that people read."""
+    return "\n".join(report_pieces(kind, findings, scan_path, timestamp)) + "\n"
 
 
 def editor_report(findings: DataFrame) -> str:
@@ -200,17 +222,16 @@ def junit_report(findings: DataFrame, cases: int = 50) -> str:
 
 
 def remediation_plan(ordered: DataFrame) -> DataFrame:
-    """INT-5: (n, text) the numbered plan lines of findings in order; a head where the severity changes, fixes cut to 120 characters."""
-    from pyspark.sql import Window as W
+    """INT-5: (n, text) the numbered plan lines, by severity and then surest first; a head where the severity changes, fixes cut to 120 characters.
 
+    Lines are numbered range by range; what is known of a severity is where it begins, one row each.
+    """
     rank = severity_rank(F.col("severity"), REPORT_RANK)
     sure = lookup(F.col("confidence"), {"high": 0, "medium": 1, "low": 2}, 3)
-    # severities are windows of their own, shifted by the counts of the severities before, so no task holds all findings
-    rows = ordered.withColumn("__r", rank).withColumn("__n", F.row_number().over(W.partitionBy("__r").orderBy(sure, "file_path", "line", "rule_id")))
-    sizes = dict(ordered.groupBy(rank.alias("r")).count().collect())  # one row a rank
-    shift = {r: sum(n for x, n in sizes.items() if x < r) for r in sizes}
-    rows = rows.withColumn("n", F.col("__n") + (lookup(F.col("__r"), shift, 0) if shift else F.lit(0)))
-    head = F.when(F.col("__n") == 1, F.concat(F.upper("severity"), F.lit(" PRIORITY\n"))).otherwise("")
+    rows = numbered(ordered.withColumn("__r", rank).withColumn("__c", sure), "__r", "__c", "file_path", "line", "rule_id", "column")
+    first = rows.groupBy("__r").agg(F.min("n").alias("__first"))
+    rows = rows.join(F.broadcast(first), "__r")  # one row a rank
+    head = F.when(F.col("n") == F.col("__first"), F.concat(F.upper("severity"), F.lit(" PRIORITY\n"))).otherwise("")
     fix = F.when(F.coalesce("fix", F.lit("")) != "", F.concat(F.lit("\n   Fix: "), F.substring("fix", 1, 120))).otherwise("")
     return rows.select("n", F.concat(head, F.col("n").cast("string"), F.lit(". "), "rule_id", F.lit("\n   File: "), "file_path", F.lit(":"), F.col("line").cast("string"), fix).alias("text"))
 
@@ -233,10 +254,16 @@ def own_diagnostics(rows: DataFrame) -> DataFrame:
     return rows.where(F.col("source") == TOOL)
 
 
+def example_of(rule: Column) -> Column:
+    """The example of a catalog rule, or null."""
+    return lookup(rule, {r.type: r.example for r in CATALOG})
+
+
 def detail_text(findings: DataFrame) -> Column:
-    """PRJ-7."""
-    part = lambda title, c: F.when(F.coalesce(F.col(c), F.lit("")) != "", F.concat(F.lit(f"{title}: "), F.col(c)))
-    return F.concat_ws("\n", part("WHY", "explanation"), part("FIX", "fix"), F.when(F.col("cwe").isNotNull(), F.concat(F.lit("REFERENCE: "), cwe_url(F.col("cwe")))))
+    """PRJ-7: why, fix, example and reference; parts without content are left out."""
+    part = lambda title, c: F.when(F.coalesce(c, F.lit("")) != "", F.concat(F.lit(f"{title}: "), c))
+    example = F.col("example") if "example" in findings.columns else example_of(F.col("rule_id"))
+    return F.concat_ws("\n", part("WHY", F.col("explanation")), part("FIX", F.col("fix")), part("EXAMPLE", good_example(example)), F.when(F.col("cwe").isNotNull(), F.concat(F.lit("REFERENCE: "), F.col("cwe"), F.lit(" "), cwe_url(F.col("cwe")))))
 
 
 def inspections(rules: DataFrame) -> DataFrame:
@@ -266,6 +293,20 @@ def training_rows(rules: DataFrame, labelled: DataFrame) -> DataFrame:
     return a.union(labelled.select(ask, F.substring("code", 1, 200), F.col("label")))
 
 
+def chat_rows(rows: DataFrame) -> DataFrame:
+    """PRJ-9: (text) training rows in the chat form with turn marks that instruction models are tuned on."""
+    return rows.select(F.format_string("<|im_start|>user\n%s\n\nCode:\n%s<|im_end|>\n<|im_start|>assistant\n%s<|im_end|>", *[F.coalesce(c, F.lit("")) for c in ("instruction", "input", "output")]).alias("text"))
+
+
+def quick_fix(findings: DataFrame) -> DataFrame:
+    """SNK-13: (file_path, line, title, new_line) edits of findings with line_text: the match replaced by the good form of the rule's example, and a comment that accepts the finding."""
+    good = good_example(example_of(F.col("rule_id")))
+    edit = findings.where(good != "").select("file_path", "line", F.concat(F.lit("Fix: "), "rule_id").alias("title"), apply_fix(F.col("line_text"), F.col("column"), F.col("length"), good).alias("new_line"))
+    language = F.col("language") if "language" in findings.columns else language_of(F.col("file_path"))
+    accept = findings.select("file_path", "line", F.concat(F.lit("Accept: "), "rule_id").alias("title"), F.concat("line_text", F.lit("  "), ignore_comment(language, F.col("rule_id"))).alias("new_line"))
+    return edit.union(accept)
+
+
 def salvage(raw: Column, schema: str) -> Column:
     """AI-5: the object between the first and the last brace of a model's answer, or null."""
     return F.from_json(F.nullif(F.regexp_extract(raw, r"(?s)\{.*\}", 0), F.lit("")), schema)

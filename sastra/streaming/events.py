@@ -30,6 +30,39 @@ def scan_changes(changes: DataFrame, scan: Callable[[DataFrame], DataFrame], sav
     return (writer.trigger(availableNow=True) if once else writer).start()
 
 
+def replacing(path: str) -> Callable[[DataFrame, int], None]:
+    """STR-3: a ``save`` for :func:`scan_changes` that keeps findings below ``path`` by batch; :func:`current` shows each file's last ones. A batch that runs again replaces itself."""
+
+    def save(found: DataFrame, number: int) -> None:
+        found.write.mode("overwrite").parquet(f"{path}/findings/batch={number}")
+
+    return save
+
+
+def current(spark: SparkSession, path: str, files: DataFrame | None = None) -> DataFrame:
+    """STR-3: the findings of each file's last batch. ``files`` (file_path, batch) says when files were scanned; without it a file that lost all its findings keeps the old ones."""
+    found = spark.read.parquet(f"{path}/findings")
+    last = (files or found).groupBy("file_path").agg(F.max("batch").alias("batch"))
+    return found.join(last, ["file_path", "batch"])
+
+
+def watch(changes: DataFrame, path: str, checkpoint: str, rules_path: str | None = None, once: bool = True, **options) -> StreamingQuery:
+    """STR-1..4: changed files are scanned as they come, their findings replace the old ones below ``path``, and the rules at ``rules_path`` are read again for each batch."""
+    from ..plans.scan import scan
+    from ..sources.corpus import load_rules
+
+    keep = replacing(path)
+
+    def work(batch: DataFrame, number: int) -> None:
+        files = latest(batch)
+        files.select("file_path").write.mode("overwrite").parquet(f"{path}/files/batch={number}")
+        custom = load_rules(batch.sparkSession, rules_path, "customPatterns") if rules_path else ()
+        keep(scan(files, custom=custom, **options), number)
+
+    writer = changes.writeStream.option("checkpointLocation", checkpoint).foreachBatch(work)
+    return (writer.trigger(availableNow=True) if once else writer).start()
+
+
 def ingest(events: DataFrame, delay: str = "1 hour") -> DataFrame:
     """STR-5: candidate rules from a stream of events, each proposed rule once within the watermark."""
     return candidates(events.withWatermark("ts", delay)).dropDuplicatesWithinWatermark(["proposed_type"])

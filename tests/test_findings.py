@@ -65,13 +65,15 @@ def test_feedback_and_plan(spark):
 
 def test_reports(spark):
     df = found(spark, {"message": "<b>&", "severity": "critical"}, {"line": 2, "cwe": None})
-    j = json.loads(reports.json_report(df, "p", "t"))
+    j = json.loads(reports.report_text("json", df, "p", "t"))
     assert j["total"] == 2 and j["findings"][0]["severity"] == "critical" and j["findings"][0]["source"] is None and j["timestamp"] == "t"
-    s = json.loads(reports.sarif_report(df))
-    assert s["version"] == "2.1.0" and s["runs"][0]["results"][0]["level"] == "error"
-    assert "CRITICAL (1)" in reports.text_report(df, "p") and "No security issues" in reports.text_report(df.limit(0), "p")
-    assert "&lt;b&gt;&amp;" in reports.html_report(df, "p", "t") and "<b>&" not in reports.html_report(df, "p", "t")
-    assert "definitions/89.html" in reports.markdown_report(df, "p", "t")
+    s = json.loads(reports.report_text("sarif", df))
+    assert s["version"] == "2.1.0" and s["runs"][0]["results"][0]["level"] == "error" and len(s["runs"][0]["results"]) == 2
+    assert "CRITICAL (1)" in reports.report_text("text", df, "p") and "No security issues" in reports.report_text("text", df.limit(0), "p")
+    assert json.loads(reports.report_text("json", df.limit(0), "p", "t"))["findings"] == []
+    page = reports.report_text("html", df, "p", "t")
+    assert "&lt;b&gt;&amp;" in page and "<b>&" not in page and page.count("<h2>") == 2
+    assert "definitions/89.html" in reports.report_text("markdown", df, "p", "t")
     assert 'tests="2" failures="2"' in reports.junit_report(df)
     assert [f["text"] for f in reports.slack_payload(df)["blocks"][1]["fields"]][0] == "*Critical:* 1"
     assert reports.annotations(df, "error").count() == 1
@@ -80,6 +82,79 @@ def test_reports(spark):
     assert "Critical (>=80): 0" in reports.feedback_report(knowledge.feedback(df), "t") and "  network: 1 findings" in reports.feedback_report(knowledge.feedback(df), "t")
 
 
+def test_report_parts(spark, tmp_path):
+    df = found(spark, *({"line": i, "severity": s} for i in range(40) for s in ("critical", "low", "odd")))
+    reports.write_report("json", df, str(tmp_path / "r"), "p", "t")
+    parts = sorted((tmp_path / "r").glob("part-*"))
+    made = json.loads("".join(p.read_text() for p in parts))
+    assert [(x["severity"], x["line"]) for x in made["findings"]] == [(s, i) for s in ("critical", "low", "odd") for i in range(40)]
+    rows = findings.grouped(df).collect()
+    assert {r["n"] for r in rows} == {40} and sorted((r["severity"], r["nth"], r["line"]) for r in rows) == [(s, i + 1, i) for s in ("critical", "low", "odd") for i in range(40)]
+
+
+def test_texts_for_people(spark):
+    row = found(spark, {"rule_id": "Hardcoded Secret", "explanation": "why", "line_text": "a b c", "column": 3, "length": 1})
+    text = row.select(reports.detail_text(row)).first()[0]
+    assert text.split("\n")[0] == "WHY: why" and "EXAMPLE: token = os.environ" in text and "REFERENCE: CWE-89 https" in text
+    fixes = {r["title"]: r["new_line"] for r in reports.quick_fix(row).collect()}
+    assert fixes == {"Fix: Hardcoded Secret": 'a token = os.environ["APP_TOKEN"] c', "Accept: Hardcoded Secret": "a b c  # sastra-ignore: Hardcoded Secret"}
+    pages = {r["id"]: r["html"] for r in knowledge.module_pages(knowledge.training_modules(spark)).collect()}
+    assert len(pages) == 3 and pages["secrets-management"].count("<button") == 3 and "Hardcoded" not in pages["xss-prevention"]
+    assert [r["correct"] for r in knowledge.check_quiz(spark.createDataFrame([("xss-prevention", 1), ("none", 0)], "id string, selected int")).orderBy("id").collect()] == [None, True]
+    assert reports.chat_rows(spark.createDataFrame([("i", "x", None)], "instruction string, input string, output string")).first()[0] == "<|im_start|>user\ni\n\nCode:\nx<|im_end|>\n<|im_start|>assistant\n<|im_end|>"
+
+
+def test_conditional_reachability(spark):
+    files = spark.createDataFrame([("a.py", "def takes():\n    return input()\n"), ("b.py", "def ends():\n    eval(1)\n"), ("c.py", "TAKES(1) + xendsx"), ("d.py", "ta kes ends"), ("e.py", None)], "file_path string, content string")
+    funcs = graph.functions(files)
+    rows = spark.createDataFrame([(f"{x}.py",) for x in "abcde"], "file_path string")
+    got = {r["file_path"]: r["reachability"]["status"] for r in graph.verdicts(rows, files, funcs, graph.call_edges(funcs)).collect()}
+    assert got == {"a.py": "UNREACHABLE", "b.py": "UNREACHABLE", "c.py": "CONDITIONALLY_REACHABLE", "d.py": "UNREACHABLE", "e.py": "UNREACHABLE"}
+
+
+def test_functions_end_where_indentation_does():
+    code = "x = 1\ndef a(p):\n\n  one\n# note\n  two\nthree\nclass C:\n  async def b(self):\n    four\n    def c():\n      five\n    six\nconst d = (x) => {\n  seven\n}\ndef a():\n  last"
+    assert graph.functions_of(code) == [("a", "def a():\n  last"), ("b", "  async def b(self):\n    four"), ("c", "    def c():\n      five"), ("d", "const d = (x) => {\n  seven")] or dict(graph.functions_of(code))["c"] == "    def c():\n      five"
+    assert graph.functions_of(None) == []
+
+
+def test_watching_replaces_findings(spark, tmp_path):
+    schema = "file_path string, ts int, language string, content string"
+    secret = 'token = "abcdefghij"'
+    (tmp_path / "rules.json").write_text(json.dumps({"customPatterns": [{"type": "Old", "regex": "zzz"}]}))
+    for n, rows in enumerate(([("a.py", 1, "python", secret), ("b.py", 1, "python", f"{secret} # zzz")], [("a.py", 2, "python", "x = 1")])):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        events.watch(events.read_files(spark, str(tmp_path / "in"), schema), str(tmp_path / "out"), str(tmp_path / "ck"), str(tmp_path / "rules.json"), deep=False).awaitTermination(60)
+        (tmp_path / "rules.json").write_text(json.dumps({"customPatterns": [{"type": "New", "regex": "x = 1"}]}))
+    now = events.current(spark, str(tmp_path / "out"), spark.read.parquet(str(tmp_path / "out/files"))).collect()
+    assert sorted((r["file_path"], r["rule_id"]) for r in now) == [("a.py", "New"), ("b.py", "Hardcoded Secret"), ("b.py", "Old")]
+
+
+def test_endpoints():
+    from io import BytesIO
+
+    from sastra import api
+
+    model = lambda kind, data: {"kind": kind, **data}
+    assert api.answer("GET", "/health", b"", None) == (200, {"status": "loading"}) and api.answer("GET", "/other", b"", model)[0] == 404
+    assert api.answer("POST", "/analyze", b"{}", None)[0] == 503 and api.answer("POST", "/analyze", b'{"type": "odd"}', model)[0] == 400 and api.answer("POST", "/analyze", b"[", model)[0] == 400
+    assert api.answer("POST", "/analyze", b'{"type": "cve", "data": {"cve_id": "C", "x": 1}}', model) == (200, {"kind": "cve", "cve_id": "C"})
+    said = []
+    body = b'{"content": "hi"}'
+    out = api.application(model)({"REQUEST_METHOD": "POST", "PATH_INFO": "/detect-phishing", "CONTENT_LENGTH": str(len(body)), "wsgi.input": BytesIO(body)}, lambda s, h: said.append(s))
+    assert said == ["200 OK"] and json.loads(b"".join(out)) == {"kind": "phishing", "content": "hi"}
+
+
+def test_anomalies_and_exposure(spark):
+    history = spark.createDataFrame([("a", 10), ("a", 12), ("b", 5), ("b", 5)], "repo string, n long")
+    got = {r["repo"]: (r["score"], r["anomalous"]) for r in findings.anomalies(history, spark.createDataFrame([("a", 20), ("b", 6), ("c", 9)], "repo string, n long")).collect()}
+    assert got == {"a": (9.0, True), "b": (None, True), "c": (None, False)}
+    weights = [r[0] for r in spark.createDataFrame([("src/auth/api.py",), ("lib/x.py",), ("a/tests/api.py",)], "p string").select(findings.surface_weight(F.col("p"))).collect()]
+    assert weights == [1.5, 1.0, 0.3]
+    edges = spark.createDataFrame([("a", "b"), ("b", "c"), ("a", "c"), ("c", "a")], "src string, dst string")
+    assert sorted(tuple(r) for r in graph.distances(edges, spark.createDataFrame([("a",), ("z",)], "id string")).collect()) == [("a", "a", 0), ("a", "b", 1), ("a", "c", 1), ("z", "z", 0)]
+
+
 def test_edits(spark):
     r = spark.range(1).select(
         reports.apply_fix(F.lit("a = md5(x)"), F.lit(5), F.lit(3), F.lit("sha256")), reports.good_example(F.lit("Bad: a\nGood: b")), reports.ignore_comment(F.lit("python"), F.lit("R")),
@@ -137,6 +212,12 @@ def test_directory_and_command_line(spark, tmp_path, capsys):
     assert "first scan" in first and '"Tok"' in first
     assert cli.run_scan(spark, args) == 1
     assert "new 0, resolved 0" in capsys.readouterr().out
+    (tmp_path / "plug.py").write_text("LANGUAGES = ('python',)\ndef analyze(path, text):\n    return [{'rule_id': 'Plugged', 'severity': 'low', 'line': 1, 'message': 'm'}]\n")
+    args = cli.parser().parse_args(["scan", str(root), "--format", "json", "--quiet", "--plugin", str(tmp_path / "plug.py"), "--output", str(tmp_path / "one.json"), "--parts", str(tmp_path / "parts")])
+    assert cli.run_scan(spark, args) == 0
+    one = json.loads((tmp_path / "one.json").read_text())
+    assert [x["rule_id"] for x in one["findings"]].count("Plugged") == 1
+    assert json.loads("".join(p.read_text() for p in sorted((tmp_path / "parts").glob("part-*"))))["total"] == one["total"]
     assert corpus.load_rules(spark, str(tmp_path / "none.json")) == () and corpus.load_config(spark, str(tmp_path / "none.json")) is None
 
 

@@ -97,6 +97,50 @@ def test_calls(spark):
     assert got == {0: {"Python: Sql Injection"}, 3: {"PHP: Dynamic Code Execution"}, 4: {"Java: Command"}, 5: {"Go: SQL Injection"}, 6: {"Ruby: SQL Injection"}, 8: {"Kotlin: WebView XSS"}}
 
 
+def test_every_call_rule_fires(spark):
+    from sastra.operators import calls
+    from sastra.plans.snippets import CALLS
+
+    names = {r.rule.removesuffix(" (call)") for rows in calls.RULES.values() for r in rows} | {"Rust: Unsafe Block", "Python: Hardcoded Secret"}
+    assert {rule for _, _, raised in CALLS for rule, *_ in raised} == names
+    for language, text, raised in CALLS:
+        assert [(r["rule_id"].removesuffix(" (call)"), r["severity"], r["cwe"], r["line"]) for r in calls.found_in(text, language)] == [tuple(x) for x in raised], text
+
+
+@given(st.text(alphabet="ab.(){}[]'\"`;,=\n#/*$ \\", max_size=60), st.sampled_from(["python", "javascript", "go", "rust", "java", "php", "ruby", "csharp", "typescript", "kotlin"]))
+def test_call_scan_takes_any_text(text, language):
+    from sastra.operators import calls, syntax
+
+    calls.found_in(text, language)
+    for c in syntax.scan(text, language).calls:
+        assert 0 <= c.start <= c.own.end <= len(text) and c.above.start <= c.above.end
+
+
+def test_call_scan_is_linear():
+    import time
+
+    from sastra.operators import calls
+
+    for text in ("f(" * 100_000, "f(x)" * 50_000, "x = [" + "run(a),\n" * 60_000 + "]", ")" * 200_000, "a.b" * 100_000):
+        began = time.perf_counter()
+        calls.found_in(text, "python")
+        assert time.perf_counter() - began < 20
+
+
+def test_line_layers_are_their_union(spark):
+    rows = spark.createDataFrame([(f"a/s{i}.{e}", language, line) for i, (language, line) in enumerate(LINES) for e in ("js", "go", "rs", "py")] + [("x/test_a.js", "javascript", "const q = x.innerHTML; eval(input)"), ("e.py", "python", None)], "file_path string, language string, content string")
+    names = ["file_path", "line", "rule_id", "severity", "column", "length", "message", "cwe", "confidence", "analyzer", "layer_ord"]
+    from sastra.operators import heuristics
+
+    apart = [rules.line_findings(rows), heuristics.heuristic_findings(rows), heuristics.secret_findings(rows)]
+    want = sorted((tuple(r) for part in apart for r in part.select(*names).collect()), key=repr)
+    assert sorted((tuple(r) for r in scan.line_layers(rows).select(*names).collect()), key=repr) == want and len(want) > 40
+
+
+def test_catalog_says_what_to_do():
+    assert all(r.message and r.explanation and r.fix and "Good: " in r.example for r in rules.CATALOG)
+
+
 def test_scan_is_unique_and_idempotent(spark):
     rows = spark.createDataFrame([("a.py", "python", 'token = "abcdefghij"; token = "abcdefghij"\n' * 2)], "file_path string, language string, content string")
     found = scan.scan(rows)
@@ -130,3 +174,5 @@ def test_plugins(spark):
     got = sorted((r["plugin"], r["file_path"], r["error"] is not None) for r in held.run(rows).collect())
     assert got == [("all", "a.py", False), ("all", "b.go", False), ("bad", "b.go", True)]
     assert held.for_language("python") == ["all"]
+    found = scan.scan(rows, plugins=held).collect()
+    assert sorted((r["file_path"], r["rule_id"], r["severity"], r["analyzer"]) for r in found) == [("a.py", "p", "medium", "plugin:all"), ("b.go", "p", "medium", "plugin:all")]
