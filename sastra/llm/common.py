@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 import gc
-import os
-import tempfile
 import uuid
 from collections.abc import Iterator
 
@@ -13,35 +11,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.lineage import cut, shared_dir
 from ..functions.workers import ship
 
+__all__ = ["cut", "shared_dir"]
+
 #: Bytes of text that a Python worker turns into arrays at once; a longer text is a batch of its own.
-BATCH_BYTES = 2_000_000
+BATCH_BYTES = 1_000_000
 #: Rows that travel to a Python worker at once.
 BATCH_ROWS = 512
 
 SPACES = bytes([0x20, *range(0x09, 0x0E)])
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster shares, from ``spark.checkpoint.dir`` or the context's checkpoint folder.
-
-    Where neither is set, a local master gets a folder of its own; on a cluster that is an error, as executors don't share the driver's folders.
-    """
-    context = spark.sparkContext
-    have = context._jsc.sc().getCheckpointDir()
-    set_to = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
-    if set_to:
-        if not have.isDefined():
-            context.setCheckpointDir(set_to)
-        return set_to
-    if not have.isDefined():
-        if not context.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="sastra-checkpoints-"))
-    return context._jsc.sc().getCheckpointDir().get()
-
-
 def free_name(df: DataFrame, name: str) -> str:
     """A column name that ``df`` doesn't have, made from ``name`` (names compare without case, as Spark's do)."""
     taken = {c.lower() for c in df.columns}
@@ -51,12 +33,6 @@ def free_name(df: DataFrame, name: str) -> str:
     return name
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` in the shared folder and cut its lineage, so that a lost executor costs a reread only."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def release(spark: SparkSession) -> None:
     """Let the driver drop finished plans, so that executors delete their shuffle files now and not at some later collection."""
     gc.collect()
@@ -117,7 +93,7 @@ _powers: dict[str, np.ndarray] = {}
 def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of the base and of its inverse modulo 2**64."""
     if len(_powers.get("up", ())) < n:
-        size = max(n, 1 << 20)
+        size = max(n, BATCH_BYTES + BATCH_ROWS + 2)
         inverse = np.uint64(pow(int(_BASE), -1, 1 << 64))
         for name, base in (("up", _BASE), ("down", inverse)):
             x = np.full(size, base, np.uint64)
@@ -180,15 +156,18 @@ LETTERS = byte_set([*range(97, 123), *range(65, 91), *range(128, 256)])
 
 def slices(column: pa.Array, limit: int = BATCH_BYTES) -> Iterator[tuple[int, int, list[bytes]]]:
     """The texts (null: empty) of a column as UTF-8, in runs of about ``limit`` bytes and ``BATCH_ROWS`` rows at most: (from, to, texts)."""
-    texts = [x.as_buffer().to_pybytes() if x.is_valid else b"" for x in column]
+    texts: list[bytes] = []
     at = size = 0
-    for i, x in enumerate(texts):
-        if i > at and (size + len(x) > limit or i - at >= BATCH_ROWS):
-            yield at, i, texts[at:i]
-            at, size = i, 0
+    for i, value in enumerate(column):
+        x = value.as_buffer().to_pybytes() if value.is_valid else b""
+        if texts and (size + len(x) > limit or len(texts) >= BATCH_ROWS):
+            yield at, i, texts
+            at, size, texts = i, 0, []
+        texts.append(x)
         size += len(x)
-    if at < len(texts):
-        yield at, len(texts), texts[at:]
+    if texts:
+        yield at, len(column), texts
+    pa.default_memory_pool().release_unused()
 
 
 def fetch(df: DataFrame) -> pa.Table:

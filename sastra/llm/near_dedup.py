@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import FOLD, NOT_SPACE, Words, cut, mix, read, release, slices, small_batches, store
+from .common import FOLD, NOT_SPACE, Words, cut, free_name, mix, read, release, slices, small_batches, store
 
 REGISTERS, BAND, MANTISSA = 96, 4, 10
 #: The estimate may lie so far below the threshold at least (six standard errors at 0.85; see :func:`slack`).
@@ -212,12 +212,22 @@ def _in_blocks(placed: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """(a, b) links within large buckets, whose members are dealt into blocks of about ``BLOCK``; only links leave a task.
 
     Of the links of two blocks those are kept that join different components, as a forest. A member's block lies in its largest bucket, so buckets of one group share blocks; blocks that meet in a bucket are compared once.
+    A block's sets are of one size class, a power of 100 / ``percent``: sets that link are of the same class or of the next. Components that fill blocks have blocks of their own.
     """
-    home = placed.groupBy("id").agg(F.max(F.struct("size", "bucket")).alias("h"), F.first("comp").alias("comp"))
-    block = F.xxhash64("h.bucket", F.pmod(F.xxhash64("id"), F.ceil(F.col("h.size") / BLOCK))).alias("block")
-    home = cut(home.select("id", "comp", block))
-    meet = placed.join(home, "id").groupBy("bucket").agg(F.array_sort(F.collect_set("block")).alias("blocks"))
-    pairs = meet.select(F.posexplode("blocks").alias("i", "x"), "blocks").select("x", F.explode(F.slice("blocks", F.col("i") + 1, F.size("blocks"))).alias("y")).distinct()
+    home = placed.groupBy("id").agg(F.max(F.struct("size", "bucket")).alias("h"), F.first("comp").alias("comp"), F.min("n").alias("n"))
+    home = cut(home.select("id", "comp", F.col("h.bucket").alias("b"), F.floor(F.log("n") / float(np.log(100 / percent) * (1 + 1e-9) if percent < 100 else 1)).alias("level")))
+    whole = home.groupBy("b", "level", "comp").agg(F.count("*").alias("c"))
+    whole = whole.withColumn("pure", F.when(F.col("c") >= BLOCK, F.col("comp")))
+    rest = whole.groupBy("b", "level", "pure").agg(F.sum("c").alias("of"))
+    whole = cut(whole.join(rest.withColumnRenamed("pure", "q"), ["b", "level"]).where(F.col("pure").eqNullSafe(F.col("q"))).select("b", "level", "comp", "pure", "of"))
+    home = home.join(whole, ["b", "level", "comp"])
+    home = cut(home.select("id", "comp", "level", "pure", F.xxhash64("b", "level", F.coalesce("pure", F.lit(-1)), F.pmod(F.xxhash64("id"), F.ceil(F.col("of") / BLOCK))).alias("block")))
+    meet = placed.select("bucket", "id").join(home, "id").select("bucket", F.struct("block", "level", "pure").alias("x")).distinct()
+    meet = meet.groupBy("bucket").agg(F.array_sort(F.collect_list("x")).alias("blocks"))
+    pairs = meet.select(F.posexplode("blocks").alias("i", "x"), "blocks").select("x", F.explode(F.slice("blocks", F.col("i") + 1, F.size("blocks"))).alias("y"))
+    alone = F.coalesce(F.col("x.pure") == F.col("y.pure"), F.lit(False))
+    pairs = pairs.where((F.abs(F.col("x.level") - F.col("y.level")) <= 1) & ~alone).select(F.col("x.block").alias("x"), F.col("y.block").alias("y")).distinct()
+    home = home.select("id", "comp", "block")
     held = sets.join(home, "id")
     sides = pairs.join(held, pairs["x"] == held["block"]).select("x", "y", F.lit(0).alias("side"), "id", "comp", "shingles")
     sides = sides.union(pairs.where("x <> y").join(held, F.col("y") == held["block"]).select("x", "y", F.lit(1).alias("side"), "id", "comp", "shingles"))
@@ -245,13 +255,13 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, size: int = SHINGLE
     able = known.where("n > 0 and id is not null")
     classes = able.groupBy("n", "s1", "s2").agg(F.min("id").alias("rep"))
     classes = store(classes, "classes")
-    reps = able.join(classes, ["n", "s1", "s2"]).where("id = rep").select("id", "n", "regs", "bands")
-    reps = store(reps.dropDuplicates(["id", "n"]), "reps")
+    reps = able.join(classes, ["n", "s1", "s2"]).where("id = rep").dropDuplicates(["id", "n", "s1", "s2"]).select("id", "n", "regs", "bands")
+    reps = store(reps, "reps")
 
     members = reps.select("id", "n", F.explode("bands").alias("bucket"))
-    sizes = members.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1")
+    sizes = cut(members.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1"))
     members = cut(members.join(sizes, "bucket"))
-    score = members.groupBy("id").agg(F.sum("size").alias("score"))
+    score = cut(members.groupBy("id").agg(F.sum("size").alias("score")))
     members = members.join(score, "id").select("bucket", "id", "n", "score")
     involved = score.select("id")
     regs = reps.join(involved, "id", "left_semi").select("id", "n", "regs")
@@ -261,6 +271,7 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, size: int = SHINGLE
     release(spark)
 
     leaders = members.groupBy("bucket").agg(F.max(F.struct("score", (-F.col("id")).alias("o"), F.col("id").alias("a"), F.col("n").alias("na"))).alias("l")).select("bucket", "l.a", "l.na")
+    leaders = cut(leaders)
     star = members.join(leaders, "bucket").where("id <> a").where(_alike(percent, "n", "na"))
     tested = cut(star.select(F.least("a", "id").alias("a"), F.greatest("a", "id").alias("b")).distinct())
     links = _confirm(tested, regs, sets, percent)
@@ -271,6 +282,7 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, size: int = SHINGLE
 
     placed = members.join(labels, "id", "left").select("bucket", "id", "n", F.coalesce("comp", "id").alias("comp"))
     torn = placed.groupBy("bucket").agg(F.count("*").alias("size"), F.min("comp").alias("x"), F.max("comp").alias("y")).where("x < y").select("bucket", "size")
+    torn = cut(torn)
     placed = cut(placed.join(torn, "bucket"))
     small = placed.where(f"size <= {SMALL}")
     other = small.select("bucket", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("comp").alias("cb"))
@@ -288,14 +300,15 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, size: int = SHINGLE
     return out.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.when(F.col("id").isNotNull(), F.coalesce("comp", "id")).alias("component_id"))
 
 
-def _ties(docs: DataFrame) -> list[str]:
-    return [f"`{c}`" for c, kind in docs.dtypes if c not in ("doc_id", "text") and kind in ("string", "int", "bigint", "double", "boolean")]
+def _ties(docs: DataFrame) -> list:
+    return [F.col(f"`{c}`") for c, kind in docs.dtypes if c != "doc_id" and kind in ("string", "int", "bigint", "double", "boolean")]
 
 
 def one_of_each(docs: DataFrame, percent: int = PERCENT, size: int = SHINGLE, also: tuple[tuple[int, int], ...] = ()) -> DataFrame:
-    """The rows of ``docs`` (all columns) with the smallest id of their component, once; rows with a null id stay.
+    """The rows of ``docs`` (all columns) with the smallest id of their component; rows with a null id stay.
 
-    Documents link by ``percent`` and ``size``, or by any further (percent, size) in ``also``; components are those of all links.
+    Of rows that repeat both id and text one stays; rows that repeat an id with another text stay beside it. Null and empty texts link with nothing and
+    stay. An empty table stays empty. Documents link by ``percent`` and ``size``, or by any further (percent, size) in ``also``; components are those of all links.
     """
     below = lambda p, n: near_duplicates(docs.select("doc_id", "text"), p, n).where("component_id < doc_id")
     if also:
@@ -306,8 +319,10 @@ def one_of_each(docs: DataFrame, percent: int = PERCENT, size: int = SHINGLE, al
         gone = components(links).where("comp < id").select(F.col("id").alias("doc_id"))
     else:
         gone = below(percent, size).select("doc_id").distinct()
-    kept = docs.join(gone, "doc_id", "left_anti").withColumn("__n", F.row_number().over(W.partitionBy("doc_id").orderBy(F.xxhash64("text"), *_ties(docs))))
-    return kept.where("__n = 1 or doc_id is null").select(*[F.col(f"`{c}`") for c in docs.columns])
+    n = free_name(docs, "n")
+    first = W.partitionBy("doc_id", F.xxhash64("text")).orderBy(*_ties(docs))
+    kept = docs.join(gone, "doc_id", "left_anti").withColumn(n, F.row_number().over(first))
+    return kept.where((F.col(n) == 1) | F.col("doc_id").isNull()).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

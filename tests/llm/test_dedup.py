@@ -64,15 +64,31 @@ def test_large_buckets_in_blocks(spark, monkeypatch):
     assert got == brute(rows)
 
 
+def test_pure_blocks(spark, monkeypatch):
+    """Components that fill blocks of their own, beside texts around one passage."""
+    monkeypatch.setattr(N, "SMALL", 1)
+    monkeypatch.setattr(N, "BLOCK", 2)
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(4))
+    passage = [word() for _ in range(60)]
+    rows = [" ".join(passage + [f"w{i}" for i in range(k % 9)]) for k in range(40)] + [" ".join(passage[:40] + [word() for _ in range(20 + k)]) for k in range(40)]
+    rows = list(enumerate(rows))
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in N.near_duplicates(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert got == brute(rows)
+
+
 def test_odd_rows(spark):
     df = spark.createDataFrame([(None, "a b c d"), (1, "a b c d"), (2, "A B C D"), (2, "A B C D"), (3, None)], SCHEMA)
     got = sorted([tuple(r) for r in N.near_duplicates(df).collect()], key=repr)
     assert got == sorted([(None, 2, None), (1, 2, 1), (2, 2, 1), (2, 2, 1), (3, 0, 3)], key=repr)
     assert N.near_duplicates(df.limit(0)).count() == 0
-    more = df.selectExpr("doc_id", "text", "1 AS n", "2 AS id", "'x' AS bucket")
+    twice = spark.createDataFrame([(1, "a b c d e"), (1, "v w x y z"), (7, "V W X Y Z"), (8, "a b c d e")], SCHEMA)
+    assert {r["doc_id"]: r["component_id"] for r in N.near_duplicates(twice).collect()} == {1: 1, 7: 1, 8: 1}
+    assert sorted(r["text"] for r in N.one_of_each(twice).collect()) == ["a b c d e", "v w x y z"]
+    more = df.selectExpr("doc_id", "text", "1 AS n", "2 AS id", "'x' AS bucket", "5 AS __n")
     kept = N.one_of_each(more)
     assert kept.columns == more.columns
-    assert sorted((r["doc_id"] or 0) for r in kept.collect()) == [0, 1, 3]
+    assert sorted((r["doc_id"] or 0) for r in kept.collect()) == [0, 1, 3] and {r["__n"] for r in kept.collect()} == {5}
 
 
 def test_estimate_corrects_collisions():
