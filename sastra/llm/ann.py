@@ -26,11 +26,13 @@ from .common import cut, fetch, read
 
 K, EVERY = 20, 20
 #: Vectors that the index is fitted on at most, lists at most, vectors for each list at least, subspaces at most, codes in a subspace.
-SAMPLE, LISTS, PER_LIST, SUBSPACES, CODES = 16_384, 512, 256, 16, 256
+SAMPLE, LISTS, PER_LIST, SUBSPACES, CODES = 16_384, 1024, 256, 16, 256
 #: Part of the sample's true neighbours that the probed lists must hold, and sample queries that measure it.
-TARGET, PROBES = 0.985, 512
+TARGET, PROBES = 0.97, 512
 #: Rows and queries of a block, and rows of a block that are rescored for a query.
 ROWS, QUERIES, RESCORED = 8192, 2048, 96
+#: Approximate products are told apart to one part in so many of the largest.
+ROUNDING = np.float32(1 << 20)
 SEED = 1
 
 
@@ -97,7 +99,10 @@ def search_block(index: Index, queries: np.ndarray, bound: np.ndarray, vectors:
         if keep < len(vectors):
             tables = [q[:, a:b] @ book.T for a, b, book in zip(index.edges[:-1], index.edges[1:], index.codebooks, strict=True)]
             approx = sum(t[:, codes[:, m]] for m, t in enumerate(tables))  # the centroid's part is the same for all rows of a list
-            pick = np.argpartition(-approx, keep - 1, axis=1)[:, :keep]
+            # products that agree but for rounding count as equal, and equal ones go by row, that is by smaller id
+            scale = np.maximum(np.abs(approx).max(axis=1, keepdims=True), np.float32(1e-30))
+            place = (np.rint(approx * (-ROUNDING / scale)).astype(np.int64) << 32) | np.arange(len(vectors))
+            pick = np.sort(np.argpartition(place, keep - 1, axis=1)[:, :keep], axis=1)
         else:
             pick = np.broadcast_to(np.arange(len(vectors)), (len(q), len(vectors)))
         exact = np.einsum("qd,qkd->qk", queries[lo : lo + 256], vectors[pick])
@@ -143,19 +148,28 @@ def _classes(rows: DataFrame, k: int) -> DataFrame:
 
 
 def valid(embeddings: DataFrame, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
-    """(vec_id, v): vectors that take part: not null, not zero, all components finite, of the most common length."""
+    """(vec_id, v): vectors that take part: not null, not empty, not zero, all components finite."""
     rows = embeddings.select(F.col(key).cast("long").alias("vec_id"), F.col(vector).alias("v")).where("vec_id is not null and v is not null and size(v) > 0")
     bad = F.exists("v", lambda x: F.coalesce(F.isnan(x) | (F.abs(x) == float("inf")), F.lit(True)))
-    rows = rows.where(~bad & F.exists("v", lambda x: x != 0))
-    length = rows.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), "d").limit(1)
-    return rows.join(F.broadcast(length.select("d")), F.size("v") == F.col("d")).drop("d")  # one row
+    return rows.where(~bad & F.exists("v", lambda x: x != 0))
 
 
 def nearest(rows: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
-    """(query_id, rank, vec_id, score): the ``k`` rows of largest inner product for each query, its own id excepted; ties to smaller ids.
+    """(query_id, rank, vec_id, score): the ``k`` rows of largest inner product for each query, rows of its own id excepted; ties to smaller ids.
 
-    Both take (vec_id, v) as :func:`valid` gives them. Repeated (id, vector) rows count once. Without rows or queries the result is empty.
+    Both take (vec_id, v) as :func:`valid` gives them. An inner product needs equal lengths, so vectors of each length have an index of their own. Repeated
+    (id, vector) rows count once; further vectors of an id are rows and queries of their own. Without rows or queries the result is empty.
     """
+    lengths = sorted(r["d"] for r in rows.select(F.size("v").alias("d")).distinct().collect())  # a handful: one row a length
+    out = None
+    for d in lengths or [0]:
+        one = _one_length(*(x.where(F.size("v") == d) if len(lengths) > 1 else x for x in (rows, queries)), k)
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def _one_length(rows: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+    """:func:`nearest` for vectors of one length."""
     spark = rows.sparkSession
     ship(spark)
     classes = cut(_classes(rows, k))
@@ -165,6 +179,7 @@ def nearest(rows: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     index = train(_matrix(sample.column("v").combine_chunks(), np.float32), total, k)
     model = spark.sparkContext.broadcast(index)
+    longest = float(np.linalg.norm(index.sample.astype(np.float64), axis=1).max())
     kind = dict(rows.dtypes)["v"]
 
     def add(batches):
@@ -185,14 +200,17 @@ def nearest(rows: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
             before = np.cumsum(held[lists], axis=1) - held[lists]
             few = before < 2 * (k + 1)  # so many rows count whatever their score, so that a query finds k rows
             near = q @ m.sample.T.astype(np.float64)
-            bound = -np.partition(-near, k + 1, axis=1)[:, k + 1] - 1e-9 if near.shape[1] > k + 1 else np.full(len(q), -np.inf)
+            # the sample is rounded to 24 bits, so a product may be off by 2**-24 of the lengths' product
+            slack = 2.0**-22 * np.linalg.norm(q, axis=1) * longest + 1e-300
+            bound = -np.partition(-near, k + 1, axis=1)[:, k + 1] - slack if near.shape[1] > k + 1 else np.full(len(q), -np.inf)
             at, order = np.nonzero(few | (np.arange(lists.shape[1]) < m.probes)[None])
             bounds = np.where(few, -np.inf, bound[:, None])[at, order]
             yield pa.RecordBatch.from_arrays([b.column("q").take(pa.array(at)), b.column("v").take(pa.array(at)), pa.array(bounds), pa.array(lists[at, order].astype(np.int32))], ["q", "v", "bound", "list"])
 
+    # equal queries ask once; one id may ask with several vectors
     asked = queries.groupBy("v").agg(F.min("vec_id").alias("q"))
-    asked = cut(asked)
-    probes = cut(asked.mapInArrow(probe, f"q long, v {kind}, bound double, list int"))
+    asked = cut(asked.select("v", F.concat(F.col("q").cast("string"), F.lit(":"), F.hex(F.xxhash64("v"))).alias("q")))
+    probes = cut(asked.mapInArrow(probe, f"q string, v {kind}, bound double, list int"))
     cuts = spark.createDataFrame(pd.DataFrame({"list": np.arange(len(index.centroids), dtype=np.int32)}))
     for df, name, size in ((indexed, "r", ROWS), (probes, "c", QUERIES)):
         cuts = cuts.join(df.groupBy("list").agg(F.ceil(F.count("*") / size).cast("int").alias(name)), "list")
@@ -203,7 +221,7 @@ def nearest(rows: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
 
     def run(_, ask, have):
         if not (ask.num_rows and have.num_rows):
-            return pa.table({"q": pa.array([], pa.int64()), "score": pa.array([], pa.float64()), "ids": pa.array([], pa.list_(pa.int64()))})
+            return pa.table({"q": pa.array([], pa.string()), "score": pa.array([], pa.float64()), "ids": pa.array([], pa.list_(pa.int64()))})
         have = have.take(pc.sort_indices(pc.list_element(have.column("ids"), 0)))  # ties go to smaller ids
         column = lambda t, name: t.column(name).combine_chunks()
         codes = np.frombuffer(b"".join(column(have, "codes").to_pylist()), np.uint8).reshape(have.num_rows, -1)
@@ -211,7 +229,7 @@ def nearest(rows: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
         return pa.table({"q": column(ask, "q").take(pa.array(qi)), "score": pa.array(score), "ids": column(have, "ids").take(pa.array(row))})
 
     by = ("list", "r", "c")
-    found = left.groupBy(*by).cogroup(right.groupBy(*by)).applyInArrow(run, "q long, score double, ids array<long>")
+    found = left.groupBy(*by).cogroup(right.groupBy(*by)).applyInArrow(run, "q string, score double, ids array<long>")
     pairs = F.flatten(F.transform(F.collect_list(F.struct("score", "ids")), lambda c: F.transform(c["ids"], lambda i: F.struct((-c["score"]).alias("s"), i.alias("i")))))
     best = found.groupBy("q").agg(F.slice(F.array_sort(pairs), 1, k + 1).alias("best"))
     members = queries.dropDuplicates(["vec_id", "v"]).join(asked.withColumnRenamed("v", "w"), F.col("v") == F.col("w")).select("vec_id", "q")
@@ -220,5 +238,6 @@ def nearest(rows: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
 
 
 def op1_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(query_id, rank, vec_id, score): neighbours of every vector whose id is divisible by 20. Vectors that take no part are neither queries nor neighbours; see :func:`nearest`."""
     rows = valid(read(spark, sf_dir, "embeddings"))
     return nearest(rows, rows.where(F.col("vec_id") % EVERY == 0))
