@@ -14,8 +14,10 @@ from __future__ import annotations
 
 import re
 import zlib
-from bisect import bisect_left
+from collections import Counter
+from collections.abc import Iterator
 from html import unescape
+from math import isqrt
 
 import pyarrow as pa
 import xxhash
@@ -81,7 +83,8 @@ def lines_of(page: str | None) -> list[tuple[str, int]]:
 
     page = page or ""
     at, skip_to = 0, 0
-    for m in _TAG.finditer(page):
+    open_now: Counter[str] = Counter()
+    for m in _TAG.finditer(page, 0, page.rfind(">") + 1):  # nothing after the last '>' is a tag
         if m.start() < skip_to:
             continue
         at = max(at, skip_to)
@@ -90,16 +93,20 @@ def lines_of(page: str | None) -> list[tuple[str, int]]:
         at = m.end()
         tag = m[2]
         if tag is None:
+            if m[0].startswith("<!--") and not m[0].endswith("-->"):  # never closed
+                skip_to = len(page)
             continue
         tag = tag.lower()
         if m[1]:
             if tag in BLOCKS:
                 flush()
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == tag:
-                    if any(x[0] in BLOCKS for x in stack[i:]):
-                        flush()
-                    del stack[i:]
+            while open_now[tag]:  # closes the nearest open element of its name and those inside
+                name = stack[-1][0]
+                if name in BLOCKS:
+                    flush()
+                stack.pop()
+                open_now[name] -= 1
+                if name == tag:
                     _, template, article = stack[-1] if stack else ("", False, False)
                     break
         elif tag in RAW:
@@ -114,17 +121,18 @@ def lines_of(page: str | None) -> list[tuple[str, int]]:
         else:
             if tag in BLOCKS:
                 flush()
-                if tag != "p" and stack and stack[-1][0] == "p" or tag == "p" and any(x[0] == "p" for x in stack):
+                if tag != "p" and stack and stack[-1][0] == "p" or tag == "p" and open_now["p"]:
                     while stack and stack[-1][0] != "p":  # an open paragraph ends where a block begins
                         if stack[-1][0] in BLOCKS:
                             break
-                        stack.pop()
+                        open_now[stack.pop()[0]] -= 1
                     if stack and stack[-1][0] == "p":
-                        stack.pop()
+                        open_now[stack.pop()[0]] -= 1
             _, template, article = stack[-1] if stack else ("", False, False)
             template = template or _marked(tag, m[3], article)
             article = article or tag == "article"
             stack.append((tag, template, article))
+            open_now[tag] += 1
     at = max(at, skip_to)
     if at < len(page):
         text.append(page[at:])
@@ -133,28 +141,49 @@ def lines_of(page: str | None) -> list[tuple[str, int]]:
 
 
 def shared_positions(mine: list[int], other: list[int]) -> list[int]:
-    """Positions in ``mine`` of a longest common subsequence with ``other`` (Hunt and Szymanski: by matches, not by all cells)."""
-    places: dict[int, list[int]] = {}
-    for j, x in enumerate(other):
-        places.setdefault(x, []).append(j)
-    ends: list[int] = []
-    tails: list[tuple | None] = []
-    for i, x in enumerate(mine):
-        for j in reversed(places.get(x, ())):
-            k = bisect_left(ends, j)
-            node = (i, tails[k - 1] if k else None)
-            if k == len(ends):
-                ends.append(j)
-                tails.append(node)
-            elif j < ends[k]:
-                ends[k] = j
-                tails[k] = node
-    out: list[int] = []
-    node = tails[-1] if tails else None
-    while node:
-        out.append(node[0])
-        node = node[1]
-    return out[::-1]
+    """Positions in ``mine`` of a longest common subsequence with ``other``.
+
+    Common ends are taken first. Between them rows of the table of lengths are bit vectors (a clear bit where the length grows), one whole-number addition a line, so
+    equal lines in any number cost no more than others. Every so many rows are kept and the ones between made again on the way back, so memory is a root of the table.
+    """
+    head = 0
+    while head < min(len(mine), len(other)) and mine[head] == other[head]:
+        head += 1
+    tail = 0
+    while tail < min(len(mine), len(other)) - head and mine[-1 - tail] == other[-1 - tail]:
+        tail += 1
+    a, b = mine[head : len(mine) - tail], other[head : len(other) - tail]
+    common = set(a) & set(b)
+    kept = [i for i, x in enumerate(a) if x in common]  # lines that only one page has can't be shared
+    b = [x for x in b if x in common]
+    places: dict[int, int] = {}
+    for j, x in enumerate(b):
+        places[x] = places.get(x, 0) | 1 << j
+    full = (1 << len(b)) - 1
+    step = isqrt(len(kept)) + 1
+
+    def rows(row: int, part: list[int]) -> Iterator[int]:
+        for i in part:
+            met = row & places[a[i]]
+            row = (row + met | row & ~places[a[i]]) & full
+            yield row
+
+    starts, row = [full], full
+    for lo in range(0, len(kept), step):
+        for row in rows(row, kept[lo : lo + step]):
+            pass
+        starts.append(row)
+    found: list[int] = []
+    grown = ~starts[-1] & full
+    at = grown.bit_length() - 1  # the last line of ``other`` where the length grows
+    for block in range(len(starts) - 2, -1, -1):
+        part = kept[block * step : (block + 1) * step]
+        made = [starts[block], *rows(starts[block], part)]
+        for k in range(len(part), 0, -1):
+            if at >= 0 and made[k - 1] >> at & 1:  # grows there from this row on: the lines match
+                found.append(head + part[k - 1])
+                at = (~made[k - 1] & ((1 << at) - 1)).bit_length() - 1
+    return [*range(head), *reversed(found), *range(len(mine) - tail, len(mine))]
 
 
 def neighbours(rows: DataFrame) -> DataFrame:
@@ -233,4 +262,5 @@ def extract(pages: DataFrame) -> DataFrame:
 
 
 def op4_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(page_id, url, text, n_chars) of every page, repeated rows and null pages included; see :func:`extract`."""
     return extract(read(spark, sf_dir, "pages")).withColumn("n_chars", F.length("text").cast("long"))
