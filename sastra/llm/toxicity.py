@@ -10,6 +10,7 @@ Executors hold the model (about 7 MB, broadcast) and two megabytes of text at a
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -29,6 +30,8 @@ SAMPLE_CHARS = 24_000_000
 #: Buckets that fewer texts of the sample hold share one embedding, so that chance words aren't learned by heart.
 LEAST_DOCS = 6
 EPOCHS, BATCH, RATE, SEED = 6, 32, 0.01, 9
+#: Words that training turns into arrays at once.
+PORTION = 16_384
 #: Of the sample, one row in so many serves the thresholds.
 CALIBRATION = 5
 
@@ -115,6 +118,19 @@ class _Adam:
         x -= rate * (self.m / (1 - 0.9**self.t)) / (np.sqrt(self.v / (1 - 0.999**self.t)) + 1e-8)
 
 
+def _portions(docs: list[np.ndarray]) -> Iterator[list[np.ndarray]]:
+    """Runs of texts of about ``PORTION`` words; a longer text is a run of its own."""
+    held, size = [], 0
+    for d in docs:
+        if held and size + len(d) > PORTION:
+            yield held
+            held, size = [], 0
+        held.append(d)
+        size += len(d)
+    if held:
+        yield held
+
+
 def train(docs: list[np.ndarray], label: np.ndarray, lang: np.ndarray) -> Model:
     """Fit on word buckets of whole texts, 0/1 labels and language numbers."""
     rng = np.random.default_rng(SEED)
@@ -141,28 +157,34 @@ def train(docs: list[np.ndarray], label: np.ndarray, lang: np.ndarray) -> Model:
         order = rng.permutation(usable)
         for b in range(0, len(order), BATCH):
             pick = order[b : b + BATCH]
-            first = np.concatenate([[0], np.cumsum([len(docs[i]) for i in pick])])
-            tokens, at = _layout(np.concatenate([docs[i] for i in pick]), first)
-            tokens = number[tokens]
             table = (embed @ conv.reshape(DIM, -1)).reshape(len(embed), len(taps), FILTERS)
-            y, z, tape = label[pick].astype(np.float32), np.full(len(pick), out_bias[0], np.float32), []
-            for k, width in enumerate(WIDTHS):
-                x = sum(table[tokens[at + o, part], taps.index((k, o))] for o in range(width) for part in (0, 1))
-                top = _segment_max(x, first)
-                hit_row, hit_f = np.nonzero(x == np.repeat(top, np.diff(first), axis=0))
-                doc = np.searchsorted(first, hit_row, "right") - 1
-                where = np.zeros((len(pick), FILTERS), np.int64)
-                where[doc[::-1], hit_f[::-1]] = hit_row[::-1]  # the first place of each maximum
-                act = top + bias[k]
+            y, z, tape, rows_of = label[pick].astype(np.float32), np.full(len(pick), out_bias[0], np.float32), [], {t: [] for t in range(len(taps))}
+            tops: list[list[np.ndarray]] = [[] for _ in WIDTHS]
+            for part in _portions([docs[i] for i in pick]):
+                first = np.concatenate([[0], np.cumsum([len(d) for d in part])])
+                tokens, at = _layout(np.concatenate(part), first)
+                tokens = number[tokens]
+                for k, width in enumerate(WIDTHS):
+                    x = sum(table[tokens[at + o, side], taps.index((k, o))] for o in range(width) for side in (0, 1))
+                    top = _segment_max(x, first)
+                    hit_row, hit_f = np.nonzero(x == np.repeat(top, np.diff(first), axis=0))
+                    doc = np.searchsorted(first, hit_row, "right") - 1
+                    where = np.zeros((len(part), FILTERS), np.int64)
+                    where[doc[::-1], hit_f[::-1]] = hit_row[::-1]  # the first place of each maximum
+                    tops[k].append(top)
+                    for o in range(width):
+                        rows_of[taps.index((k, o))].append(tokens[at[where] + o])  # (texts, filters, 2)
+            for k in range(len(WIDTHS)):
+                act = np.concatenate(tops[k]) + bias[k]
                 z += np.maximum(act, 0) @ out[k]
-                tape.append((where, act))
+                tape.append(act)
             dz = (1 / (1 + np.exp(-z)) - y) / len(pick)
             touched, grads = [], []
             d_conv, d_bias, d_out = 1e-4 * conv, np.zeros_like(bias), 1e-4 * out
             for t, (k, o) in enumerate(taps):
-                where, act = tape[k]
+                act = tape[k]
                 da = dz[:, None] * out[k][None, :] * (act > 0)
-                rows = tokens[at[where] + o]  # (texts, filters, 2)
+                rows = np.concatenate(rows_of[t])
                 d_conv[:, t] += np.einsum("df,dfe->ef", da, embed[rows].sum(axis=2))
                 for part in (0, 1):
                     touched.append(rows[:, :, part].ravel())
@@ -188,9 +210,13 @@ def train(docs: list[np.ndarray], label: np.ndarray, lang: np.ndarray) -> Model:
     )
     held = np.flatnonzero(calibration)
     if len(held):
-        first = np.concatenate([[0], np.cumsum([len(docs[i]) for i in held])])
-        ids = np.concatenate([docs[i] for i in held])
-        z, guess, y = logits(model, ids, first), languages(model, ids, first), label[held]
+        z, guess, y = [], [], label[held]
+        for part in _portions([docs[i] for i in held]):
+            first = np.concatenate([[0], np.cumsum([len(d) for d in part])])
+            ids = np.concatenate(part).astype(np.int32)
+            z.append(logits(model, ids, first))
+            guess.append(languages(model, ids, first))
+        z, guess = np.concatenate(z), np.concatenate(guess)
         model.cutoff = np.array([_threshold(z[guess == k], y[guess == k]) for k in range(n_lang)])
     return model
 
@@ -250,7 +276,7 @@ def fit(docs: DataFrame, labels: DataFrame, learn=lambda doc_id: F.crc32(F.encod
         return constant(len(got), int(got["toxic"].sum()))
     got = got.sample(frac=1, random_state=SEED)  # labels alternate at random before the calibration rows are taken
     names = {x: i for i, x in enumerate(sorted(set(got["lang"])))}
-    return train([np.frombuffer(x, np.uint16).astype(np.int32).reshape(-1, 2) for x in got["ids"]], got["toxic"].to_numpy(), got["lang"].map(names).to_numpy(np.int64))
+    return train([np.frombuffer(x, np.uint16).reshape(-1, 2) for x in got["ids"]], got["toxic"].to_numpy(), got["lang"].map(names).to_numpy(np.int64))
 
 
 def add_scores(docs: DataFrame, model: Model, score: str = "score") -> DataFrame:

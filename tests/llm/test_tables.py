@@ -1,5 +1,8 @@
 import itertools
 import random
+import re
+import time
+from html.parser import HTMLParser
 
 import numpy as np
 import pytest
@@ -126,10 +129,11 @@ def test_proximity(spark):
 
 
 def brute_neighbours(rows, queries, k):
-    good = {(i, tuple(v)) for i, v in rows if i is not None and v and all(x is not None and np.isfinite(x) for x in v) and any(v)}
+    good = lambda i, v: i is not None and v and all(x is not None and np.isfinite(x) for x in v) and any(v)
+    rows = {(i, tuple(v)) for i, v in rows if good(i, v)}
     out = []
-    for i, v in queries:
-        scored = sorted((-float(np.dot(np.float64(v), np.float64(w))), j) for j, w in good if j != i)[:k]
+    for i, v in {(i, tuple(v)) for i, v in queries if good(i, v)}:
+        scored = sorted((-float(np.dot(np.float64(v), np.float64(w))), j) for j, w in rows if j != i and len(w) == len(v))[:k]
         out += [(i, n + 1, j) for n, (_, j) in enumerate(scored)]
     return sorted(out)
 
@@ -137,17 +141,30 @@ def brute_neighbours(rows, queries, k):
 def test_neighbours(spark):
     rng = np.random.default_rng(5)
     rows = [(i, rng.normal(size=8).astype("f4").tolist()) for i in range(300)]
-    rows += [(300 + i, rows[0][1]) for i in range(60)] + [(400, None), (401, [0.0] * 8), (402, [float("nan")] * 8), (403, [1.0] * 5), (404, [None] + [1.0] * 7), (None, [1.0] * 8), (405, [])]
+    rows += [(300 + i, rows[0][1]) for i in range(60)] + [(400, None), (401, [0.0] * 8), (402, [float("nan")] * 8), (404, [None] + [1.0] * 7), (None, [1.0] * 8), (405, [])]
+    rows += [(500 + i, [float(i + 1), 1.0]) for i in range(30)] + [(40, [0.5] * 8), (40, [0.5] * 8)]  # another length, an id with two vectors and a repeated row
     df = ann.valid(spark.createDataFrame(rows, "vec_id long, embedding array<float>").withColumn("list", F.lit(0)))
-    assert df.count() == 360
+    assert df.count() == 392
     got = ann.nearest(df, df.where("vec_id % 20 = 0"), 20)
-    want = brute_neighbours([r for r in rows if r[0] is None or r[0] < 400], [r for r in rows if r[0] is not None and r[0] % 20 == 0 and r[0] < 400], 20)
+    want = brute_neighbours(rows, [r for r in rows if r[0] is not None and r[0] % 20 == 0], 20)
     assert sorted((r["query_id"], r["rank"], r["vec_id"]) for r in got.collect()) == want
     assert ann.nearest(df.limit(0), df, 20).count() == 0 and ann.nearest(df, df.limit(0), 20).count() == 0
     few = df.where("vec_id < 3")
     assert ann.nearest(few, few, 20).count() == 6
 
 
+def test_ties_and_doubles(spark):
+    # 400 different vectors of equal score, and scores that differ beyond single precision
+    rows = [(i, [1.0, float(i % 20), float(i // 20)]) for i in range(400)] + [(1000, [1.0, 0.0, 0.0])]
+    df = spark.createDataFrame(rows, "vec_id long, v array<double>")
+    got = ann.nearest(df, df.where("vec_id = 1000"), 20).orderBy("rank").collect()
+    assert [r["vec_id"] for r in got] == list(range(20)) and {r["score"] for r in got} == {1.0}
+    rows = [(i, [1.0 + i * 1e-12, -1.0]) for i in range(60)]
+    df = spark.createDataFrame(rows, "vec_id long, v array<double>")
+    got = ann.nearest(df, df.where("vec_id = 0"), 5).orderBy("rank").collect()
+    assert [r["vec_id"] for r in got] == [59, 58, 57, 56, 55] and got[0]["score"] == float(np.dot(rows[0][1], rows[59][1]))
+
+
 def test_recall_of_many_lists(spark):
     rng = np.random.default_rng(6)
     centers = rng.normal(size=(40, 16))
@@ -192,15 +209,117 @@ def test_differencing_decides_outside_the_article(spark):
     assert html_text.extract(lone).first()["text"].split("\n") == ["Site name", "Lead x", "Quoted", "Teaser x", "In every main", "Story x", "Contact us"]
 
 
+class Plain(HTMLParser):
+    """A page's blocks by the standard parser: an element of a template mark hides what is inside it."""
+
+    def __init__(self, page):
+        super().__init__(convert_charrefs=True)
+        self.open, self.lines, self.text = [], [], ""
+        self.feed(page or "")
+        self.close()
+        self.cut()
+
+    def state(self):
+        return self.open[-1][1:] if self.open else (False, False)
+
+    def cut(self):
+        line = " ".join(self.text.split())
+        self.text = ""
+        hidden, article = self.state()
+        if line and not hidden:
+            self.lines.append((line, article))
+        elif line:
+            self.lines.append((line, None))
+
+    def handle_starttag(self, tag, attrs):
+        if tag in html_text.VOID:
+            self.text += " " if tag == "br" else ""
+            if tag == "hr":
+                self.cut()
+            return
+        if tag in html_text.BLOCKS:
+            self.cut()
+            names = [x[0] for x in self.open]
+            if "p" in names and not any(n in html_text.BLOCKS for n in names[names.index("p") + 1 :]):
+                if tag == "p" or names[-1] == "p":
+                    del self.open[names.index("p") :]
+        hidden, article = self.state()
+        words = {w for k, v in attrs if k in ("class", "id") for w in re.split("[^a-z0-9]+", (v or "").lower())}
+        marked = tag in html_text.ASIDE or bool(words & html_text.NAMES) and tag not in ("html", "body", "main") and (tag != "article" or article)
+        self.open.append((tag, hidden or marked or tag in html_text.RAW, article or tag == "article"))
+
+    def handle_endtag(self, tag):
+        names = [x[0] for x in self.open]
+        if tag in html_text.BLOCKS:
+            self.cut()
+        if tag in names:
+            at = len(names) - 1 - names[::-1].index(tag)
+            if any(n in html_text.BLOCKS for n in names[at:]):
+                self.cut()
+            del self.open[at:]
+
+    def handle_data(self, data):
+        if not (self.open and self.open[-1][0] in html_text.RAW):
+            self.text += data
+
+
+def lcs(a, b):
+    table = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+    for i, x in enumerate(a):
+        for j, y in enumerate(b):
+            table[i + 1][j + 1] = table[i][j] + 1 if x == y else max(table[i][j + 1], table[i + 1][j])
+    return table[-1][-1]
+
+
+def test_pages_like_brute_force(spark):
+    data = "/root/testdata/sf0.001"
+    shell = lambda i: f"<html><body><div>Site</div><nav>n{i}</nav><h2>Own {i}</h2><p>Read on</p><section>Part {i} &amp; more<br>x</section><div class='ad'>buy {i}</div><p>All rights</p></body></html>"
+    rows = [(r["page_id"], r["url"], r["html"]) for r in spark.read.parquet(f"{data}/pages.parquet").collect()]
+    rows += [(10_000 + i, f"http://plain.example.com/a/{i}", shell(i)) for i in range(6)]  # pages without an article
+    got = {r["page_id"]: r["text"] for r in html_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    hosts = {}
+    for i, url, page in rows:
+        host, path = re.match(r"[^:]*://([^/?#]*)([^?#]*)", url).groups() if "://" in (url or "") else ("", "")
+        hosts.setdefault(host.lower(), []).append((path, i, Plain(page).lines))
+    lines_of = {i: lines for group in hosts.values() for _, i, lines in group}
+    lost = 0
+    for group in hosts.values():
+        for path, i, lines in group:
+            kept = [t for t, article in lines if article is not None]
+            text = got[i].split("\n") if got[i] else []
+            always = [t for t, article in lines if article]
+            assert [t for t in text if t in set(always)] == [t for t in always if t in set(always)] and set(text) <= set(kept)
+            # what is gone stands in a neighbour by path
+            near = [lines_of[j] for p, j, _ in group if j != i]
+            for t, article in lines:
+                if article is False and t not in text:
+                    assert any(t == u for other in near for u, _ in other)
+                    lost += 1
+                elif article is False:
+                    assert t in text
+    assert lost >= 18 and all(got[10_000 + i] == f"Own {i}\nPart {i} & more x" for i in range(6))
+
+
+def test_long_and_broken_pages():
+    began = time.perf_counter()
+    assert len(html_text.lines_of("<div>" * 50_000 + "x" + "</p>" * 50_000)) == 1
+    assert html_text.lines_of("<p>a" + "<b " * 100_000) and html_text.lines_of("a<!-- b > c" * 3) == [("a", html_text.PLAIN)]
+    assert len(html_text.lines_of("<p>one<p>two</i></b>" * 20_000)) == 40_000
+    same = [1] * 20_000
+    assert html_text.shared_positions(same, same[:-5]) == list(range(19_995))
+    a, b = [k % 7 for k in range(6000)], [k % 5 for k in range(6000)]
+    assert 2000 < len(html_text.shared_positions(a, b)) < 6000
+    assert time.perf_counter() - began < 30
+
+
 def test_common_subsequence():
     rng = random.Random(7)
-    for _ in range(50):
-        a, b = ([rng.randrange(5) for _ in range(rng.randrange(12))] for _ in "ab")
-        table = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
-        for i, x in enumerate(a):
-            for j, y in enumerate(b):
-                table[i + 1][j + 1] = table[i][j] + 1 if x == y else max(table[i][j + 1], table[i + 1][j])
-        assert len(html_text.shared_positions(a, b)) == table[-1][-1]
+    for n in range(400):
+        a, b = ([rng.randrange(2 + n % 5) for _ in range(rng.randrange(24))] for _ in "ab")
+        at = html_text.shared_positions(a, b)
+        assert at == sorted(set(at)) and len(at) == lcs(a, b)
+        left = iter(b)
+        assert all(any(a[i] == y for y in left) for i in at)  # a subsequence of both
 
 
 def test_url_rules(spark):
@@ -264,22 +383,43 @@ def test_rules_like_brute_force(spark, seed):
 
 
 def test_token_counts(spark, tmp_path, monkeypatch):
-    monkeypatch.setattr(token_counts, "BLOCK", 16)
-    texts = ["", None, "PPP P", "hello world " * 200, "a", "ñandú " * 30, "PADP\n"]
+    texts = ["", None, "PPP P", "hello world " * 200, "a", "ñandú " * 30, "PADP\n", "x" * 60_000, "a", "P" * 3000]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
     token_counts.write_token_files(df, str(tmp_path / "t"))
     encode = token_counts.encoder()
-    got = sorted((r["doc_no"], r["n_tokens"], r["last"]) for r in token_counts.count_tokens(spark, str(tmp_path / "t")).collect())
-    assert got == [(i, len(encode(t or "")), False) for i, t in enumerate(texts)]
-    monkeypatch.setattr(token_counts, "WHOLE", 0)
-    monkeypatch.setattr(token_counts, "RECORD", 64)
-    again = sorted((r["doc_no"], r["n_tokens"], r["last"]) for r in token_counts.count_tokens(spark, str(tmp_path / "t")).collect())
-    assert again == got
-
-
-def test_foreign_files(spark, tmp_path):
-    e = token_counts.EOD
-    for name, ids in {"a": [e, e, 1, 2, e, 3], "b": [], "c": [5] * 9, "d": [e]}.items():
+    want = [(i, len(encode(t or "")), False) for i, t in enumerate(texts)]
+    for block, ranges in ((1 << 19, 1 << 27), (16, 1 << 27), (1, 1 << 27), (64, 1001)):
+        monkeypatch.setattr(token_counts, "BLOCK", block)
+        spark.conf.set("spark.sql.files.maxPartitionBytes", str(ranges))
+        got = sorted((r["doc_no"], r["n_tokens"], r["last"]) for r in token_counts.count_tokens(spark, str(tmp_path / "t")).collect())
+        assert got == want, (block, ranges)
+    spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
+@pytest.mark.parametrize(("eod", "pad"), [(token_counts.EOD, token_counts.PAD), (0, 1), (0x5050, 0x0150), (50256, 50257), (65535, 0)])
+def test_foreign_files(spark, tmp_path, monkeypatch, eod, pad):
+    monkeypatch.setattr(token_counts, "BLOCK", 8)
+    e, rng = eod, random.Random(eod)
+    made = {"a": [e, e, 1, 2, e, 3], "b": [], "c": [5] * 9, "d": [e], "p": [7, pad, e, pad, pad]}
+    made |= {f"r{n}": [rng.choice((e, pad, e ^ 1, 0x5001, 0x0150, 0x0101, 0x5050, rng.randrange(65536))) for _ in range(n)] for n in (1, 50, 51, 300)}
+    want = []
+    for name, ids in made.items():
         (tmp_path / name).write_bytes(np.array(ids, ">u2").tobytes())
-    got = sorted((r["file"][-1], r["doc_no"], r["n_tokens"], r["last"]) for r in token_counts.count_tokens(spark, str(tmp_path)).collect())
-    assert got == [("a", 0, 0, False), ("a", 1, 0, False), ("a", 2, 2, False), ("a", 3, 1, True), ("c", 0, 9, True), ("d", 0, 0, False)]
+        (tmp_path / f"{name}x").write_bytes(np.array(ids, ">u2").tobytes() + bytes([e >> 8]))  # a last byte that is no token
+        runs = [[]]
+        for x in ids:
+            if x == e:
+                runs.append([])
+            elif x != pad:
+                runs[-1].append(x)
+        counts = [(n, len(r), False) for n, r in enumerate(runs[:-1])] + ([(len(runs) - 1, len(runs[-1]), True)] if runs[-1] else [])
+        want += [(f, *c) for f in (name, f"{name}x") for c in counts]
+    got = [(r["file"].rsplit("/", 1)[1], r["doc_no"], r["n_tokens"], r["last"]) for r in token_counts.count_tokens(spark, str(tmp_path), eod, pad).collect()]
+    assert sorted(got) == sorted(want)
+
+
+def test_token_query(spark):
+    encode = token_counts.encoder()
+    data = "/root/testdata/sf0.001"
+    want = sorted((r["doc_id"], len(encode(r["text"] or ""))) for r in spark.read.parquet(f"{data}/documents.parquet").collect())
+    assert sorted((r["doc_id"], r["n_tokens"]) for r in token_counts.op10_token_counts(spark, data).collect()) == want
