@@ -1,6 +1,8 @@
 """A corpus pipeline over ``documents``: drop toxic texts, near-duplicates and benchmark leaks, mix to target weights, shard.
 
-Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns of ``documents``.
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns of ``documents``. Nulls in any column, empty and
+very long texts and an empty table pass through all stages: a null text scores as one without words, links with nothing, hits nothing and is drawn
+only where its source has tokens. Rows that repeat id and text count once after the second stage; ties go as each operator's docstring says. Further columns are kept.
 """
 
 from __future__ import annotations
@@ -8,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from sastra.llm import decontamination, mixing, near_dedup, sharding, toxicity
-from sastra.llm.common import read, store
+from sastra.llm.common import read, release, store
 
 #: Part of its input's tokens that the mixture keeps; no document is taken twice.
 FRACTION, EPOCHS = 0.8, 1
@@ -25,21 +27,25 @@ def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates, by any rule of ``NEAR``."""
+    release(spark)
     return near_dedup.one_of_each(docs, *NEAR[0], also=NEAR[1:])
 
 
 def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a window of any benchmark item."""
+    release(spark)
     return decontamination.clean_documents(docs, read(spark, sf_dir, "benchmark"))
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents drawn to the weights of the domain, language and source tree."""
+    release(spark)
     return mixing.mix_documents(docs, fraction=FRACTION, max_epochs=EPOCHS)
 
 
 def shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document with its shard and its slot there."""
+    release(spark)
     return sharding.shard_documents(docs)
 
 

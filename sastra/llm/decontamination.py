@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, lower_ascii, read, store
+from .common import cut, lower_ascii, read, release, store
 
 WINDOW = 8
 #: Items that a document must share windows with to count as contaminated.
@@ -112,6 +112,7 @@ def flag(docs: DataFrame, items: DataFrame, size: int = WINDOW, min_items: int =
     frequency = cut(frequencies(docs, terms, terms.count()))
     ranked = cut(rarest_terms(phrases, frequency))
     looked_up = cut(ranked.select("term").union(ranked.select("term2")).where("term is not null").distinct())
+    release(docs.sparkSession)
     index = store(postings(docs, looked_up, looked_up.count()), "postings")
     found = exact_matches(index, ranked, ranked.count()).join(maybe_broadcast(phrases, phrases.count()), "wid")
     found = found.groupBy("doc_id", "text_key").agg(F.collect_set(F.struct("start", "win", "items")).alias("__found"))

@@ -143,6 +143,7 @@ def components(links: DataFrame) -> DataFrame:
         jumped = cut(spread.join(top, spread["comp"] == top["__i"]).select("id", F.least("comp", "__c").alias("comp"), "old"))
         labels = jumped.select("id", "comp")
         del near, spread, top
+        release(links.sparkSession)
         if jumped.where("comp <> old").isEmpty():
             return labels
 
@@ -257,6 +258,7 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, size: int = SHINGLE
     classes = store(classes, "classes")
     reps = able.join(classes, ["n", "s1", "s2"]).where("id = rep").dropDuplicates(["id", "n", "s1", "s2"]).select("id", "n", "regs", "bands")
     reps = store(reps, "reps")
+    release(spark)
 
     members = reps.select("id", "n", F.explode("bands").alias("bucket"))
     sizes = cut(members.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1"))
