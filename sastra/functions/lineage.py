@@ -9,6 +9,10 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
+#: Spark's setting that checkpoints are deleted with the frames that read them.
+CLEAN = "spark.cleaner.referenceTracking.cleanCheckpoints"
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the cluster shares, from ``spark.checkpoint.dir`` or the context's checkpoint folder.
 
@@ -29,8 +33,14 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` in the shared folder and cut its lineage, so that a lost executor costs a reread only."""
+    """Materialise ``df`` in the shared folder and cut its lineage, so that a lost executor costs a reread only.
+
+    The files go when the driver drops the last frame that reads them, unless the session has its own say in that.
+    """
     shared_dir(df.sparkSession)
+    conf = df.sparkSession.sparkContext._jsc.sc().conf()
+    if not conf.contains(CLEAN):
+        conf.set(CLEAN, "true")
     return df.checkpoint(eager=True)
 
 
