@@ -131,16 +131,26 @@ def _sets(docs: DataFrame, size: int) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("id"), "text").mapInArrow(run, "id long, shingles array<long>")
 
 
+#: Rows of a part of a small table: parts would else be as many as shuffles have, most of them empty.
+PART_ROWS = 4096
+
+
+def in_parts(df: DataFrame, rows: int) -> DataFrame:
+    """``df`` of about ``rows`` rows in no more parts than those need; never in more than it has."""
+    return df.coalesce(max(8, rows // PART_ROWS))
+
+
 def components(links: DataFrame) -> DataFrame:
     """(id, comp) of every end of (a, b) links, comp the smallest id reachable: labels spread along links, then jump to their label's label."""
     both = cut(links.select("a", "b").union(links.select("b", "a")).distinct())
-    labels = cut(both.groupBy(F.col("a").alias("id")).agg(F.least(F.min("b"), F.col("id")).alias("comp")))
+    n = both.count()
+    labels = cut(in_parts(both.groupBy(F.col("a").alias("id")).agg(F.least(F.min("b"), F.col("id")).alias("comp")), n))
     while True:
         near = both.join(labels, both["b"] == labels["id"]).groupBy("a").agg(F.min("comp").alias("near"))
         spread = labels.join(near, labels["id"] == near["a"]).select("id", F.least("comp", "near").alias("comp"), F.col("comp").alias("old"))
-        spread = cut(spread)
+        spread = cut(in_parts(spread, n))
         top = spread.select(F.col("id").alias("__i"), F.col("comp").alias("__c"))
-        jumped = cut(spread.join(top, spread["comp"] == top["__i"]).select("id", F.least("comp", "__c").alias("comp"), "old"))
+        jumped = cut(in_parts(spread.join(top, spread["comp"] == top["__i"]).select("id", F.least("comp", "__c").alias("comp"), "old"), n))
         labels = jumped.select("id", "comp")
         del near, spread, top
         release(links.sparkSession)
