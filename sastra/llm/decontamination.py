@@ -14,14 +14,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, lower_ascii, read, release, store
+from .common import cut, free_name, lower_ascii, read, release, store
 
 WINDOW = 8
 #: Items that a document must share windows with to count as contaminated.
 ITEMS = 2
 NOT_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-#: A table of test terms or phrases is broadcast up to so many rows (some 20 MB); a larger one is joined by a shuffle.
-BROADCAST_ROWS = 200_000
+#: A table of test terms or phrases is broadcast up to so many rows and characters; a larger one is joined by a shuffle.
+BROADCAST_ROWS, BROADCAST_CHARS = 200_000, 20_000_000
 
 
 def words_of(text: Column) -> Column:
@@ -29,8 +29,15 @@ def words_of(text: Column) -> Column:
     return F.array_remove(F.split(lower_ascii(F.coalesce(text, F.lit(""))), NOT_WORD), "")
 
 
-def maybe_broadcast(df: DataFrame, rows: int) -> DataFrame:
-    return F.broadcast(df) if rows <= BROADCAST_ROWS else df
+def fits(df: DataFrame) -> bool:
+    """Is a table small enough to be broadcast, by its rows and the characters of all its columns?"""
+    chars = sum((F.length(F.concat_ws(" ", c)) if kind in ("string", "array<string>") else F.lit(8) for c, kind in df.dtypes), F.lit(0))
+    size = df.agg(F.count("*").alias("n"), F.coalesce(F.sum(chars), F.lit(0)).alias("c")).first()
+    return size["n"] <= BROADCAST_ROWS and size["c"] <= BROADCAST_CHARS
+
+
+def maybe_broadcast(df: DataFrame, small: bool) -> DataFrame:
+    return F.broadcast(df) if small else df
 
 
 def text_key(text: Column) -> Column:
@@ -48,20 +55,20 @@ def windows(items: DataFrame, size: int = WINDOW) -> DataFrame:
     return w.groupBy("win").agg(F.collect_set("item").alias("items")).select(F.md5(F.concat_ws(" ", "win")).alias("wid"), "win", "items")
 
 
-def postings(docs: DataFrame, terms: DataFrame, n_terms: int) -> DataFrame:
+def postings(docs: DataFrame, terms: DataFrame, small: bool) -> DataFrame:
     """The index: (term, doc_id, text_key, pos from 0) for every token of (doc_id, text) rows that is in ``terms``."""
     tokens = docs.select("doc_id", text_key(F.col("text")).alias("text_key"), F.posexplode(words_of(F.col("text"))).alias("pos", "term"))
-    return tokens.join(maybe_broadcast(terms, n_terms), "term", "left_semi").select("term", "doc_id", "text_key", "pos")
+    return tokens.join(maybe_broadcast(terms, small), "term", "left_semi").select("term", "doc_id", "text_key", "pos")
 
 
 def _same_row(a: DataFrame, b: DataFrame) -> Column:
     return a["doc_id"].eqNullSafe(b["doc_id"]) & (a["text_key"] == b["text_key"])
 
 
-def frequencies(docs: DataFrame, terms: DataFrame, n_terms: int) -> DataFrame:
+def frequencies(docs: DataFrame, terms: DataFrame, small: bool) -> DataFrame:
     """(term, n): how often each of ``terms`` occurs; those that don't are left out."""
     tokens = docs.select(F.explode(words_of(F.col("text"))).alias("term"))
-    return tokens.join(maybe_broadcast(terms, n_terms), "term", "left_semi").groupBy("term").agg(F.count("*").alias("n"))
+    return tokens.join(maybe_broadcast(terms, small), "term", "left_semi").groupBy("term").agg(F.count("*").alias("n"))
 
 
 def rarest_terms(phrases: DataFrame, frequency: DataFrame) -> DataFrame:
@@ -72,15 +79,15 @@ def rarest_terms(phrases: DataFrame, frequency: DataFrame) -> DataFrame:
     return ranked.select("wid", F.col("t")[0]["term"].alias("term"), F.col("t")[0]["offset"].alias("o1"), second["term"].alias("term2"), second["offset"].alias("o2"))
 
 
-def exact_matches(index: DataFrame, ranked: DataFrame, n: int) -> DataFrame:
-    """Candidate starts (doc_id, text_key, wid, start) of the ``n`` phrases of :func:`rarest_terms`: both rarest terms stand where they should.
+def exact_matches(index: DataFrame, ranked: DataFrame, small: bool) -> DataFrame:
+    """Candidate starts (doc_id, text_key, wid, start) of the phrases of :func:`rarest_terms`: both rarest terms stand where they should.
 
     A phrase of one term is matched by that term alone.
     """
-    first = index.join(maybe_broadcast(ranked, n), "term").where("pos >= o1")
+    first = index.join(maybe_broadcast(ranked, small), "term").where("pos >= o1")
     first = first.select("doc_id", "text_key", "wid", F.expr("pos - o1").alias("start"), "term2", F.expr("pos - o1 + o2").alias("pos2"))
     seconds = ranked.select(F.col("term2").alias("term")).where("term is not null").distinct()
-    second = index.join(maybe_broadcast(seconds, n), "term", "left_semi").distinct()
+    second = index.join(maybe_broadcast(seconds, small), "term", "left_semi").distinct()
     on = _same_row(first, second) & (first["term2"] == second["term"]) & (first["pos2"] == second["pos"])
     both = first.where("term2 is not null").join(second, on, "left_semi").select("doc_id", "text_key", "wid", "start")
     return both.union(first.where("term2 is null").select("doc_id", "text_key", "wid", "start"))
@@ -105,26 +112,28 @@ def proximity_matches(index: DataFrame, queries: DataFrame, span: int) -> DataFr
     return near.groupBy("query_id", "doc_id", "text_key", "k", "start").agg(F.count_distinct("term").alias("found")).where("found = k").drop("k", "found")
 
 
-def flag(docs: DataFrame, items: DataFrame, size: int = WINDOW, min_items: int = ITEMS) -> DataFrame:
-    """``docs`` (doc_id, text and any other columns) with ``__n_words``, ``__n_hit``, ``__items`` and ``__contaminated``."""
+def flag(docs: DataFrame, items: DataFrame, size: int = WINDOW, min_items: int = ITEMS) -> tuple[DataFrame, dict[str, str]]:
+    """``docs`` (doc_id, text and any other columns) with four columns more, and their names: ``n_words``, ``n_hit``, ``items`` and ``contaminated``. Names that ``docs`` has already are avoided."""
     phrases = cut(windows(items, size))
     terms = cut(phrases.select(F.explode("win").alias("term")).distinct())
-    frequency = cut(frequencies(docs, terms, terms.count()))
+    frequency = cut(frequencies(docs, terms, fits(terms)))
     ranked = cut(rarest_terms(phrases, frequency))
     looked_up = cut(ranked.select("term").union(ranked.select("term2")).where("term is not null").distinct())
     release(docs.sparkSession)
-    index = store(postings(docs, looked_up, looked_up.count()), "postings")
-    found = exact_matches(index, ranked, ranked.count()).join(maybe_broadcast(phrases, phrases.count()), "wid")
-    found = found.groupBy("doc_id", "text_key").agg(F.collect_set(F.struct("start", "win", "items")).alias("__found"))
-    found = found.select(F.col("doc_id").alias("__id"), F.col("text_key").alias("__key"), "__found")
-    rows = docs.withColumn("__k", text_key(F.col("text"))).withColumn("__n_words", F.size(words_of(F.col("text"))).cast("long"))
-    rows = rows.join(found, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__k") == F.col("__key")), "left").drop("__id", "__key", "__k")
-    rows = rows.withColumn("__w", F.when(F.col("__found").isNotNull(), words_of(F.col("text"))))
-    rows = rows.withColumn("__hits", F.filter("__found", lambda c: F.slice(F.col("__w"), c["start"] + 1, F.size(c["win"])) == c["win"]))
-    inside = F.array_distinct(F.flatten(F.transform("__hits", lambda h: F.sequence(h["start"], h["start"] + F.size(h["win"]) - 1))))
-    rows = rows.withColumn("__n_hit", F.when(F.col("__found").isNull(), F.lit(0)).otherwise(F.size(inside)).cast("long"))
-    rows = rows.withColumn("__items", F.coalesce(F.array_sort(F.array_distinct(F.flatten(F.transform("__hits", lambda h: h["items"])))), F.array().cast("array<string>")))
-    return rows.withColumn("__contaminated", F.size("__items") >= min_items).drop("__found", "__hits", "__w")
+    index = store(postings(docs, looked_up, fits(looked_up)), "postings")
+    found = exact_matches(index, ranked, fits(ranked)).join(maybe_broadcast(phrases, fits(phrases)), "wid")
+    name = {c: free_name(docs, c) for c in ("id", "key", "k", "found", "w", "hits", "n_words", "n_hit", "items", "contaminated")}
+    found = found.groupBy("doc_id", "text_key").agg(F.collect_set(F.struct("start", "win", "items")).alias(name["found"]))  # of one text
+    found = found.select(F.col("doc_id").alias(name["id"]), F.col("text_key").alias(name["key"]), name["found"])
+    rows = docs.withColumn(name["k"], text_key(F.col("text"))).withColumn(name["n_words"], F.size(words_of(F.col("text"))).cast("long"))
+    rows = rows.join(found, F.col("doc_id").eqNullSafe(F.col(name["id"])) & (F.col(name["k"]) == F.col(name["key"])), "left").drop(name["id"], name["key"], name["k"])
+    rows = rows.withColumn(name["w"], F.when(F.col(name["found"]).isNotNull(), words_of(F.col("text"))))
+    rows = rows.withColumn(name["hits"], F.filter(name["found"], lambda c: F.slice(F.col(name["w"]), c["start"] + 1, F.size(c["win"])) == c["win"]))
+    inside = F.array_distinct(F.flatten(F.transform(name["hits"], lambda h: F.sequence(h["start"], h["start"] + F.size(h["win"]) - 1))))
+    rows = rows.withColumn(name["n_hit"], F.when(F.col(name["found"]).isNull(), F.lit(0)).otherwise(F.size(inside)).cast("long"))
+    all_items = F.array_sort(F.array_distinct(F.flatten(F.transform(name["hits"], lambda h: h["items"]))))
+    rows = rows.withColumn(name["items"], F.coalesce(all_items, F.array().cast("array<string>")))
+    return rows.withColumn(name["contaminated"], F.size(name["items"]) >= min_items).drop(name["found"], name["hits"], name["w"]), name
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, size: int = WINDOW, min_items: int = ITEMS) -> DataFrame:
@@ -132,13 +141,14 @@ def decontaminate(docs: DataFrame, items: DataFrame, size: int = WINDOW, min_ite
 
     Null and empty texts have no words and no hits; an empty benchmark marks nothing; repeated rows each get their row.
     """
-    rows = flag(docs.select("doc_id", "text"), items, size, min_items)
-    return rows.select("doc_id", "text", *[F.col(f"__{c}").alias(c) for c in ("n_words", "n_hit", "items", "contaminated")])
+    rows, name = flag(docs.select("doc_id", "text"), items, size, min_items)
+    return rows.select("doc_id", "text", *[F.col(name[c]).alias(c) for c in ("n_words", "n_hit", "items", "contaminated")])
 
 
 def clean_documents(docs: DataFrame, items: DataFrame, min_items: int = 1, size: int = WINDOW) -> DataFrame:
-    """The rows of ``docs`` (all columns) that share windows with fewer than ``min_items`` items."""
-    return flag(docs, items, size, min_items).where("not __contaminated").select(*[F.col(f"`{c}`") for c in docs.columns])
+    """The rows of ``docs`` (all columns) that share windows with fewer than ``min_items`` items; those of null or empty texts among them."""
+    rows, name = flag(docs, items, size, min_items)
+    return rows.where(~F.col(name["contaminated"])).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
