@@ -351,7 +351,36 @@ def test_rules_of_three_tokens(spark):
     assert {r for v, r in got.values() if v == "block"} == {"h:shop p:win q:ref"}
 
 
+def test_odd_urls(spark):
+    long = "http://long.org/" + "/".join(f"s{i}" for i in range(60))
+    rows = [(i, long) for i in range(8)] + [(10 + i, None) for i in range(50)] + [(100, "http://h.org/" + "x" * 100_000), (100, "http://h.org/y"), (None, long), (101, "http://long.org/s1")]
+    pages = spark.createDataFrame(rows, "page_id long, url string").selectExpr("*", "1 AS __host", "2 AS tokens", "3 AS verdict")
+    labels = spark.createDataFrame([(i, "block") for i in range(6)] + [(10 + i, "allow") for i in range(6)] + [(0, "allow"), (1, None)], "page_id long, verdict string")
+    got = sorted(((r["page_id"], r["verdict"], r["mined_rule"]) for r in url_filter.judge(pages, labels).collect()), key=repr)
+    assert len(got) == len(rows)
+    # sixty tokens that always come together are one, the first by name; it isn't in the last URL
+    assert {x[1:] for x in got if x[0] is None or x[0] < 8} == {("block", "h:long")} and [x[1:] for x in got if x[0] == 101] == [("block", "h:long")]
+    assert {x[1:] for x in got if x[0] in range(10, 60) or x[0] == 100} == {("allow", None)}
+
+
+def test_ties_between_rules(spark):
+    rows = [(i, f"http://a.org/{'x' if i % 2 else 'y'}") for i in range(20)] + [(20, "http://a.org/x/y")]
+    labels = spark.createDataFrame([(i, "block" if i % 2 else "allow") for i in range(20)], "page_id long, verdict string")
+    got = {r["page_id"]: (r["verdict"], r["mined_rule"]) for r in url_filter.judge(spark.createDataFrame(rows, "page_id long, url string"), labels).collect()}
+    assert got[0] == ("allow", "p:y") and got[1] == got[20] == ("block", "p:x")
+
+
+def test_marked_hosts_are_blocked(spark):
+    got = url_filter.op5_url_filter(spark, "/root/testdata/sf0.1").where("rule is null and verdict = 'block'").select("host").distinct().collect()
+    assert got and all(any(w in r["host"] for w in url_filter.MARKS) for r in got)
+
+
 def brute_rules(rows, support, confidence):
+    places = {}
+    for n, (tokens, _) in enumerate(rows):
+        for t in tokens:
+            places.setdefault(t, set()).add(n)
+    rows = [([t for t in tokens if t == min(u for u in places if places[u] == places[t])], v) for tokens, v in rows]
     found = {}
     for tokens, _ in rows:
         for k in range(1, len(tokens) + 1):
@@ -373,7 +402,7 @@ def test_rules_like_brute_force(spark, seed):
     for _ in range(150):
         tokens = [t for t in "abcdefg" if rng.random() < 0.6]
         rows.append((tokens, rng.choice(["allow", "block"]) if rng.random() < 0.4 else "block" if sum(t in tokens for t in "abcd") > 3 else "allow"))
-    got = url_filter.mine(spark.createDataFrame(rows, "tokens array<string>, verdict string"), 0.05, 0.75).collect()
+    got = url_filter.mine(spark.createDataFrame(rows, "tokens array<string>, verdict string"), 0.05, 0.75, 1).collect()
     want = brute_rules(rows, 0.05, 0.75)
     assert max(len(k.split()) for k, _ in want) > 2 and len(got) == len(want)
     assert {(r["rule_id"], r["verdict"]): (r["confidence"], r["support"]) for r in got} == want
