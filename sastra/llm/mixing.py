@@ -6,7 +6,7 @@ and only what a whole subtree can't use goes up to the siblings of its ancestors
 tokens, of its seeded epochs: whole epochs first, then the prefix of one more shuffle.
 
 The split has a closed form (children sorted by capacity over weight), so it is two windows a level over the tree's
-nodes; nothing is collected. Prefix sums within a leaf are dealt into hash ranges, as a leaf may hold a third of all rows.
+nodes; nothing is collected. Prefix sums within a leaf are dealt into as many hash ranges as its rows ask for, as a leaf may hold a third of all rows.
 """
 
 from __future__ import annotations
@@ -22,8 +22,8 @@ SEED = 8
 #: Part of the corpus's tokens that op8 asks for, and epochs that a leaf may run through.
 FRACTION = 0.6
 MAX_EPOCHS = 2
-#: Hexadecimal digits of the shuffle key that deal a leaf into ranges: 256 of them.
-RANGE_DIGITS = 2
+#: Rows of a range of the shuffle key that one task adds up, about; a leaf has 16 ** n ranges, by its own size.
+RANGE_ROWS = 4096
 #: Leaves are broadcast up to so many (some 10 MB), which spares a shuffle by leaf; more are joined by a shuffle.
 BROADCAST_LEAVES = 100_000
 LEVELS = ("domain", "lang", "source")
@@ -92,13 +92,13 @@ def draw(light: DataFrame, levels: list[str], key: str, tokens: str, weights: di
     light = cut(light)  # three passes over light rows, one over texts
     rows = without(light, "epoch").withColumns({n: F.coalesce(F.col(c).cast("string"), F.lit("~")) for n, c in zip(names, levels, strict=True)})
     rows = rows.withColumn("__t", F.coalesce(F.col(tokens), F.lit(0)).cast("long"))
-    leaves = cut(rows.groupBy(*names).agg(F.sum("__t").alias("__tokens")))
+    leaves = cut(rows.groupBy(*names).agg(F.sum("__t").alias("__tokens"), F.count("*").alias("__rows")))
     due = budgets(leaves, len(levels), weights, budget, fraction, max_epochs)
     due = cut(due.where("__tokens > 0").withColumn("__e", F.floor(F.col("__give") / F.col("__tokens")).cast("int")).withColumn("__rest", F.expr("__give - __e * __tokens")))
-    due = due.select(*names, "__e", "__rest")
+    due = due.select(*names, "__e", "__rest", F.greatest(F.ceil(F.log(16.0, F.col("__rows") / RANGE_ROWS)), F.lit(0)).cast("int").alias("__digits"))
     rows = rows.join(F.broadcast(due) if due.count() <= BROADCAST_LEAVES else due, names)
     id_text = F.coalesce(F.col(key).cast("string"), F.lit("null"))
-    rows = rows.withColumn("__k", F.md5(F.concat(F.lit(f"{seed}:"), F.col("__e").cast("string"), F.lit(":"), id_text))).withColumn("__b", F.substring("__k", 1, RANGE_DIGITS))
+    rows = rows.withColumn("__k", F.md5(F.concat(F.lit(f"{seed}:"), F.col("__e").cast("string"), F.lit(":"), id_text))).withColumn("__b", F.substr("__k", F.lit(1), F.col("__digits")))
     ties = [F.col(f"`{c}`") for c, kind in light.dtypes if not kind.startswith("map") and c.lower() != "epoch"]
     sums = rows.groupBy(*names, "__b").agg(F.sum("__t").alias("__c"))
     sums = sums.withColumn("__before", F.sum("__c").over(W.partitionBy(*names).orderBy("__b")) - F.col("__c")).drop("__c")
@@ -108,7 +108,7 @@ def draw(light: DataFrame, levels: list[str], key: str, tokens: str, weights: di
     epochs = F.col("__e") + F.when(F.col("__sum") < F.col("__rest"), 1).otherwise(0)
     rows = rows.withColumn("__n", epochs).where("__n > 0")
     rows = rows.withColumn("epoch", F.explode(F.sequence(F.lit(0), F.col("__n") - 1)))
-    return rows.drop(*names, "__t", "__e", "__rest", "__k", "__b", "__before", "__sum", "__n")
+    return rows.drop(*names, "__t", "__e", "__rest", "__digits", "__k", "__b", "__before", "__sum", "__n")
 
 
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
