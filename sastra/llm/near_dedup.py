@@ -168,14 +168,14 @@ def _alike(percent: int, n: str, m: str) -> str:
     return f"100 * least({n}, {m}) >= {percent} * greatest({n}, {m})"
 
 
-def _confirm(pairs: DataFrame, regs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Of (a, b) pairs those that the estimate leaves and the full sets confirm."""
+def _confirm(pairs: DataFrame, regs: DataFrame, sets: DataFrame, percent: int, m: int) -> DataFrame:
+    """Of (a, b) pairs those that the estimate leaves and the full sets confirm; ``m`` is about their number."""
     left, right = (regs.select(F.col("id").alias(k), F.col("n").alias(f"n{k}"), F.col("regs").alias(f"r{k}")) for k in "ab")
     near = pairs.join(left, "a").join(right, "b").where(F.expr(_alike(percent, "na", "nb"))).where(estimated_similarity("ra", "rb", "na", "nb") >= percent / 100 - slack(percent))
-    near = cut(near.select("a", "b"))
+    near = cut(in_parts(near.select("a", "b"), m))
     full = near.join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("sb")), "b").join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("sa")), "a")
     common = full.select("a", "b", F.size(F.array_intersect("sa", "sb")).alias("c"), (F.size("sa") + F.size("sb")).alias("t"))
-    return cut(common.where(f"100 * c >= {percent} * (t - c)").select("a", "b").distinct())
+    return cut(in_parts(common.where(f"100 * c >= {percent} * (t - c)").select("a", "b").distinct(), m))
 
 
 def _block_links(left: list[np.ndarray], right: list[np.ndarray], percent: int) -> tuple[np.ndarray, np.ndarray]:
@@ -219,7 +219,7 @@ def _forest(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return out
 
 
-def _in_blocks(placed: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def _in_blocks(placed: DataFrame, sets: DataFrame, percent: int, m: int) -> DataFrame:
     """(a, b) links within large buckets, whose members are dealt into blocks of about ``BLOCK``; only links leave a task.
 
     Of the links of two blocks those are kept that join different components, as a forest. A member's block lies in its largest bucket, so buckets of one group share blocks; blocks that meet in a bucket are compared once.
@@ -230,7 +230,7 @@ def _in_blocks(placed: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     whole = home.groupBy("b", "level", "comp").agg(F.count("*").alias("c"))
     whole = whole.withColumn("pure", F.when(F.col("c") >= BLOCK, F.col("comp")))
     rest = whole.groupBy("b", "level", "pure").agg(F.sum("c").alias("of"))
-    whole = cut(whole.join(rest.withColumnRenamed("pure", "q"), ["b", "level"]).where(F.col("pure").eqNullSafe(F.col("q"))).select("b", "level", "comp", "pure", "of"))
+    whole = cut(in_parts(whole.join(rest.withColumnRenamed("pure", "q"), ["b", "level"]).where(F.col("pure").eqNullSafe(F.col("q"))).select("b", "level", "comp", "pure", "of"), m))
     home = home.join(whole, ["b", "level", "comp"])
     home = cut(home.select("id", "comp", "level", "pure", F.xxhash64("b", "level", F.coalesce("pure", F.lit(-1)), F.pmod(F.xxhash64("id"), F.ceil(F.col("of") / BLOCK))).alias("block")))
     meet = placed.select("bucket", "id").join(home, "id").select("bucket", F.struct("block", "level", "pure").alias("x")).distinct()
@@ -263,30 +263,32 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, size: int = SHINGLE
     """
     spark = docs.sparkSession
     known = store(sketches(docs, size), "sketches")
+    n = known.count()
     able = known.where("n > 0 and id is not null")
     classes = able.groupBy("n", "s1", "s2").agg(F.min("id").alias("rep"))
-    classes = store(classes, "classes")
+    classes = store(in_parts(classes, n), "classes")
     reps = able.join(classes, ["n", "s1", "s2"]).where("id = rep").dropDuplicates(["id", "n", "s1", "s2"]).select("id", "n", "regs", "bands")
-    reps = store(reps, "reps")
+    reps = store(in_parts(reps, n), "reps")
     release(spark)
 
     members = reps.select("id", "n", F.explode("bands").alias("bucket"))
-    sizes = cut(members.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1"))
-    members = cut(members.join(sizes, "bucket"))
-    score = cut(members.groupBy("id").agg(F.sum("size").alias("score")))
+    sizes = cut(in_parts(members.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1"), n))
+    members = cut(in_parts(members.join(sizes, "bucket"), 4 * n))
+    m = members.count()
+    score = cut(in_parts(members.groupBy("id").agg(F.sum("size").alias("score")), n))
     members = members.join(score, "id").select("bucket", "id", "n", "score")
     involved = score.select("id")
     regs = reps.join(involved, "id", "left_semi").select("id", "n", "regs")
-    regs = cut(regs)
+    regs = cut(in_parts(regs, n))
     sets = store(_sets(docs.join(involved.withColumnRenamed("id", "doc_id"), "doc_id", "left_semi"), size), "sets")
 
     release(spark)
 
     leaders = members.groupBy("bucket").agg(F.max(F.struct("score", (-F.col("id")).alias("o"), F.col("id").alias("a"), F.col("n").alias("na"))).alias("l")).select("bucket", "l.a", "l.na")
-    leaders = cut(leaders)
+    leaders = cut(in_parts(leaders, m))
     star = members.join(leaders, "bucket").where("id <> a").where(_alike(percent, "n", "na"))
-    tested = cut(star.select(F.least("a", "id").alias("a"), F.greatest("a", "id").alias("b")).distinct())
-    links = _confirm(tested, regs, sets, percent)
+    tested = cut(in_parts(star.select(F.least("a", "id").alias("a"), F.greatest("a", "id").alias("b")).distinct(), m))
+    links = _confirm(tested, regs, sets, percent, m)
     del star, leaders
     release(spark)
     labels = components(links)
@@ -294,16 +296,16 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, size: int = SHINGLE
 
     placed = members.join(labels, "id", "left").select("bucket", "id", "n", F.coalesce("comp", "id").alias("comp"))
     torn = placed.groupBy("bucket").agg(F.count("*").alias("size"), F.min("comp").alias("x"), F.max("comp").alias("y")).where("x < y").select("bucket", "size")
-    torn = cut(torn)
-    placed = cut(placed.join(torn, "bucket"))
+    torn = cut(in_parts(torn, m))
+    placed = cut(in_parts(placed.join(torn, "bucket"), m))
     small = placed.where(f"size <= {SMALL}")
     other = small.select("bucket", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("comp").alias("cb"))
     rest = small.withColumnRenamed("id", "a").join(other, "bucket").where("a < b and comp <> cb").where(_alike(percent, "n", "nb")).select("a", "b").distinct()
     rest = rest.join(tested, ["a", "b"], "left_anti")
-    links = links.union(_confirm(rest, regs, sets, percent))
+    links = links.union(_confirm(rest, regs, sets, percent, m))
     del rest, other, small
     release(spark)
-    links = links.union(_in_blocks(placed.where(f"size > {SMALL}"), sets, percent))
+    links = links.union(_in_blocks(placed.where(f"size > {SMALL}"), sets, percent, m))
     release(spark)
     labels = components(links)
 
