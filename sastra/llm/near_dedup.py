@@ -163,19 +163,31 @@ def slack(percent: int) -> float:
     return max(SLACK, 6 * (percent / 100 * (1 - percent / 100) / REGISTERS) ** 0.5)
 
 
-def _alike(percent: int, n: str, m: str) -> str:
-    """Sizes that a similarity of ``percent`` allows."""
-    return f"100 * least({n}, {m}) >= {percent} * greatest({n}, {m})"
+#: (percent, words of a shingle): the documents that a rule links.
+Rules = tuple[tuple[int, int], ...]
 
 
-def _confirm(pairs: DataFrame, regs: DataFrame, sets: DataFrame, percent: int, m: int) -> DataFrame:
+def _by_rule(rules: Rules, node: str, value) -> str:
+    """SQL for ``value(percent)`` of the rule that a node belongs to."""
+    if len(rules) == 1:
+        return f"{value(rules[0][0])!r}"
+    return f"case pmod({node}, {len(rules)}) {' '.join(f'when {r} then {value(p)!r}' for r, (p, _) in enumerate(rules))} end"
+
+
+def _alike(rules: Rules, node: str, n: str, m: str) -> str:
+    """Sizes that a similarity of the rule's percent allows."""
+    return f"100 * least({n}, {m}) >= ({_by_rule(rules, node, lambda p: p)}) * greatest({n}, {m})"
+
+
+def _confirm(pairs: DataFrame, regs: DataFrame, sets: DataFrame, rules: Rules, m: int) -> DataFrame:
     """Of (a, b) pairs those that the estimate leaves and the full sets confirm; ``m`` is about their number."""
     left, right = (regs.select(F.col("id").alias(k), F.col("n").alias(f"n{k}"), F.col("regs").alias(f"r{k}")) for k in "ab")
-    near = pairs.join(left, "a").join(right, "b").where(F.expr(_alike(percent, "na", "nb"))).where(estimated_similarity("ra", "rb", "na", "nb") >= percent / 100 - slack(percent))
+    near = pairs.join(left, "a").join(right, "b").where(F.expr(_alike(rules, "a", "na", "nb")))
+    near = near.where(estimated_similarity("ra", "rb", "na", "nb") >= F.expr(_by_rule(rules, "a", lambda p: float(p / 100 - slack(p)))))
     near = cut(in_parts(near.select("a", "b"), m))
     full = near.join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("sb")), "b").join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("sa")), "a")
     common = full.select("a", "b", F.size(F.array_intersect("sa", "sb")).alias("c"), (F.size("sa") + F.size("sb")).alias("t"))
-    return cut(in_parts(common.where(f"100 * c >= {percent} * (t - c)").select("a", "b").distinct(), m))
+    return cut(in_parts(common.where(f"100 * c >= ({_by_rule(rules, 'a', lambda p: p)}) * (t - c)").select("a", "b").distinct(), m))
 
 
 def _block_links(left: list[np.ndarray], right: list[np.ndarray], percent: int) -> tuple[np.ndarray, np.ndarray]:
@@ -219,14 +231,15 @@ def _forest(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return out
 
 
-def _in_blocks(placed: DataFrame, sets: DataFrame, percent: int, m: int) -> DataFrame:
+def _in_blocks(placed: DataFrame, sets: DataFrame, rules: Rules, m: int) -> DataFrame:
     """(a, b) links within large buckets, whose members are dealt into blocks of about ``BLOCK``; only links leave a task.
 
     Of the links of two blocks those are kept that join different components, as a forest. A member's block lies in its largest bucket, so buckets of one group share blocks; blocks that meet in a bucket are compared once.
-    A block's sets are of one size class, a power of 100 / ``percent``: sets that link are of the same class or of the next. Components that fill blocks have blocks of their own.
+    A block's sets are of one size class, a power of 100 over the rule's percent: sets that link are of the same class or of the next. Components that fill blocks have blocks of their own.
     """
     home = placed.groupBy("id").agg(F.max(F.struct("size", "bucket")).alias("h"), F.first("comp").alias("comp"), F.min("n").alias("n"))
-    home = cut(home.select("id", "comp", F.col("h.bucket").alias("b"), F.floor(F.log("n") / float(np.log(100 / percent) * (1 + 1e-9) if percent < 100 else 1)).alias("level")))
+    width = F.expr(_by_rule(rules, "id", lambda p: float(np.log(100 / p) * (1 + 1e-9) if p < 100 else 1)))
+    home = cut(home.select("id", "comp", F.col("h.bucket").alias("b"), F.floor(F.log("n") / width).alias("level")))
     whole = home.groupBy("b", "level", "comp").agg(F.count("*").alias("c"))
     whole = whole.withColumn("pure", F.when(F.col("c") >= BLOCK, F.col("comp")))
     rest = whole.groupBy("b", "level", "pure").agg(F.sum("c").alias("of"))
@@ -246,7 +259,7 @@ def _in_blocks(placed: DataFrame, sets: DataFrame, percent: int, m: int) -> Data
     def run(key, pdf):
         left = pdf[pdf["side"] == 0]
         right = left if key[0] == key[1] else pdf[pdf["side"] == 1]
-        i, j = _block_links(list(left["shingles"]), list(right["shingles"]), percent)
+        i, j = _block_links(list(left["shingles"]), list(right["shingles"]), rules[left["id"].iat[0] % len(rules)][0])
         found = pd.DataFrame({"a": left["id"].to_numpy()[i], "b": right["id"].to_numpy()[j], "ca": left["comp"].to_numpy()[i], "cb": right["comp"].to_numpy()[j]})
         found = found[found["ca"] != found["cb"]].drop_duplicates(["ca", "cb"])
         return found[_forest(found["ca"].to_numpy(), found["cb"].to_numpy())][["a", "b"]]
@@ -261,13 +274,25 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, size: int = SHINGLE
     shingle; without words or text a document links with nothing. Rows that repeat an id count as one document. A
     null id can't be linked and has a null component. An empty table gives an empty result.
     """
-    spark = docs.sparkSession
-    known = store(sketches(docs, size), "sketches")
+    out = _near(docs, ((percent, size),))
+    return out.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.when(F.col("id").isNotNull(), F.coalesce("comp", "id")).alias("component_id"))
+
+
+def _near(docs: DataFrame, rules: Rules) -> DataFrame:
+    """(id, n, comp) for each row and rule: a document is a node of each rule, id * rules + the rule's place, and nodes link under their own rule. ``comp`` is the smallest node reachable, or null."""
+    spark, count = docs.sparkSession, len(rules)
+    known = None
+    for r, (_, size) in enumerate(rules):
+        one = sketches(docs, size)
+        if count > 1:  # buckets are a rule's own
+            one = one.withColumn("id", F.col("id") * count + r).withColumn("bands", F.transform("bands", lambda x, r=r: F.xxhash64(x, F.lit(r))))
+        known = one if known is None else known.unionByName(one)
+    known = store(known, "sketches")
     n = known.count()
-    able = known.where("n > 0 and id is not null")
-    classes = able.groupBy("n", "s1", "s2").agg(F.min("id").alias("rep"))
+    able = known.where("n > 0 and id is not null").withColumn("r", F.pmod("id", F.lit(count)))
+    classes = able.groupBy("r", "n", "s1", "s2").agg(F.min("id").alias("rep"))
     classes = store(in_parts(classes, n), "classes")
-    reps = able.join(classes, ["n", "s1", "s2"]).where("id = rep").dropDuplicates(["id", "n", "s1", "s2"]).select("id", "n", "regs", "bands")
+    reps = able.join(classes, ["r", "n", "s1", "s2"]).where("id = rep").dropDuplicates(["id", "n", "s1", "s2"]).select("id", "n", "regs", "bands")
     reps = store(in_parts(reps, n), "reps")
     release(spark)
 
@@ -280,15 +305,20 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, size: int = SHINGLE
     involved = score.select("id")
     regs = reps.join(involved, "id", "left_semi").select("id", "n", "regs")
     regs = cut(in_parts(regs, n))
-    sets = store(_sets(docs.join(involved.withColumnRenamed("id", "doc_id"), "doc_id", "left_semi"), size), "sets")
+    sets = None
+    for r, (_, size) in enumerate(rules):
+        mine = involved.where(F.pmod("id", F.lit(count)) == r).select(F.expr(f"(id - {r}) div {count}").alias("doc_id"))
+        one = _sets(docs.join(mine, "doc_id", "left_semi"), size).withColumn("id", F.col("id") * count + r)
+        sets = one if sets is None else sets.unionByName(one)
+    sets = store(sets, "sets")
 
     release(spark)
 
     leaders = members.groupBy("bucket").agg(F.max(F.struct("score", (-F.col("id")).alias("o"), F.col("id").alias("a"), F.col("n").alias("na"))).alias("l")).select("bucket", "l.a", "l.na")
     leaders = cut(in_parts(leaders, m))
-    star = members.join(leaders, "bucket").where("id <> a").where(_alike(percent, "n", "na"))
+    star = members.join(leaders, "bucket").where(f"id <> a and pmod(id, {count}) = pmod(a, {count})").where(_alike(rules, "id", "n", "na"))
     tested = cut(in_parts(star.select(F.least("a", "id").alias("a"), F.greatest("a", "id").alias("b")).distinct(), m))
-    links = _confirm(tested, regs, sets, percent, m)
+    links = _confirm(tested, regs, sets, rules, m)
     del star, leaders
     release(spark)
     labels = components(links)
@@ -300,18 +330,17 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, size: int = SHINGLE
     placed = cut(in_parts(placed.join(torn, "bucket"), m))
     small = placed.where(f"size <= {SMALL}")
     other = small.select("bucket", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("comp").alias("cb"))
-    rest = small.withColumnRenamed("id", "a").join(other, "bucket").where("a < b and comp <> cb").where(_alike(percent, "n", "nb")).select("a", "b").distinct()
+    rest = small.withColumnRenamed("id", "a").join(other, "bucket").where(f"a < b and comp <> cb and pmod(a, {count}) = pmod(b, {count})").where(_alike(rules, "a", "n", "nb")).select("a", "b").distinct()
     rest = rest.join(tested, ["a", "b"], "left_anti")
-    links = links.union(_confirm(rest, regs, sets, percent, m))
+    links = links.union(_confirm(rest, regs, sets, rules, m))
     del rest, other, small
     release(spark)
-    links = links.union(_in_blocks(placed.where(f"size > {SMALL}"), sets, percent, m))
+    links = links.union(_in_blocks(placed.where(f"size > {SMALL}"), sets, rules, m))
     release(spark)
     labels = components(links)
 
-    of_class = classes.join(labels, classes["rep"] == labels["id"], "left").select("n", "s1", "s2", F.coalesce("comp", "rep").alias("comp"))
-    out = known.select("id", "n", "s1", "s2").join(of_class, ["n", "s1", "s2"], "left")
-    return out.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.when(F.col("id").isNotNull(), F.coalesce("comp", "id")).alias("component_id"))
+    of_class = classes.join(labels, classes["rep"] == labels["id"], "left").select("r", "n", "s1", "s2", F.coalesce("comp", "rep").alias("comp"))
+    return known.select("id", "n", "s1", "s2", F.pmod("id", F.lit(count)).alias("r")).join(of_class, ["r", "n", "s1", "s2"], "left").select("id", "n", "comp")
 
 
 def _ties(docs: DataFrame) -> list:
@@ -324,15 +353,19 @@ def one_of_each(docs: DataFrame, percent: int = PERCENT, size: int = SHINGLE, al
     Of rows that repeat both id and text one stays; rows that repeat an id with another text stay beside it. Null and empty texts link with nothing and
     stay. An empty table stays empty. Documents link by ``percent`` and ``size``, or by any further (percent, size) in ``also``; components are those of all links.
     """
-    below = lambda p, n: near_duplicates(docs.select("doc_id", "text"), p, n).where("component_id < doc_id")
-    if also:
-        links = docs.sparkSession.createDataFrame([], "a long, b long")
-        for rule in ((percent, size), *also):
-            links = cut(links.union(below(*rule).select("component_id", "doc_id").distinct()))
-            release(docs.sparkSession)
-        gone = components(links).where("comp < id").select(F.col("id").alias("doc_id"))
+    texts, rules = docs.select(F.col("doc_id").cast("long"), "text"), ((percent, size), *also)
+    far = texts.agg(F.max(F.abs(F.col("doc_id").cast("decimal(20,0)")))).first()[0] or 0
+    if len(rules) > 1 and far >= (1 << 63) // len(rules) - 1:  # ids too large to number the nodes of several rules: one rule after the other
+        passes = [(rule,) for rule in rules]
     else:
-        gone = below(percent, size).select("doc_id").distinct()
+        passes = [rules]
+    links = docs.sparkSession.createDataFrame([], "a long, b long")
+    for some in passes:
+        node = lambda c, k=len(some): F.expr(f"({c} - pmod({c}, {k})) div {k}")
+        found = _near(texts, some).where("comp < id").select(node("comp").alias("a"), node("id").alias("b")).distinct()
+        links = cut(links.union(found))
+        release(docs.sparkSession)
+    gone = (components(links).where("comp < id") if len(rules) > 1 else links.withColumnRenamed("b", "id")).select(F.col("id").alias("doc_id")).distinct()
     n = free_name(docs, "n")
     first = W.partitionBy("doc_id", F.xxhash64("text")).orderBy(*_ties(docs))
     kept = docs.join(gone, "doc_id", "left_anti").withColumn(n, F.row_number().over(first))
