@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import FOLD, NOT_SPACE, Words, cut, free_name, mix, read, release, slices, small_batches, store
+from .common import FOLD, NOT_SPACE, Words, cut, discard, free_name, mix, read, release, slices, small_batches, store
 
 REGISTERS, BAND, MANTISSA = 96, 4, 10
 #: The estimate may lie so far below the threshold at least (six standard errors at 0.85; see :func:`slack`).
@@ -287,13 +287,16 @@ def _near(docs: DataFrame, rules: Rules) -> DataFrame:
         if count > 1:  # buckets are a rule's own
             one = one.withColumn("id", F.col("id") * count + r).withColumn("bands", F.transform("bands", lambda x, r=r: F.xxhash64(x, F.lit(r))))
         known = one if known is None else known.unionByName(one)
-    known = store(known, "sketches")
+    sketched = store(known, "sketches")
+    known = store(sketched.select("id", "n", "s1", "s2"), "known")
     n = known.count()
-    able = known.where("n > 0 and id is not null").withColumn("r", F.pmod("id", F.lit(count)))
+    able = sketched.where("n > 0 and id is not null").withColumn("r", F.pmod("id", F.lit(count)))
     classes = able.groupBy("r", "n", "s1", "s2").agg(F.min("id").alias("rep"))
     classes = store(in_parts(classes, n), "classes")
     reps = able.join(classes, ["r", "n", "s1", "s2"]).where("id = rep").dropDuplicates(["id", "n", "s1", "s2"]).select("id", "n", "regs", "bands")
     reps = store(in_parts(reps, n), "reps")
+    del able
+    discard(sketched)  # what is read from here on stands in the others
     release(spark)
 
     members = reps.select("id", "n", F.explode("bands").alias("bucket"))

@@ -35,6 +35,22 @@ def test_empty(spark):
         assert docs.count() == 0
 
 
+def test_far_ids_and_odd_rows(spark):
+    """Ids too large for nodes of two rules, nulls in any column, repeated rows, and columns named like those inside."""
+    text = " ".join(f"w{i}" for i in range(60))
+    rows = [(1 << 62, text, "en", "src0", 1), ((1 << 62) + 5, text + " x", None, None, None), (-7, "other words here", "en", "src1", 2), (None, None, None, None, None), (3, None, "de", "src0", 0), (3, None, "de", "src0", 0), (4, "", "de", "src0", 0)]
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    for shift, kept in ((0, [-7, 0, 3, 4, 1 << 62]), (1 << 62, [-7, 0, 0, 3, 4])):
+        docs = spark.createDataFrame([(i if i is None or i < 100 else i - shift, *r) for i, *r in rows], schema).selectExpr("*", "1 AS __n", "2 AS __hits", "3 AS shard_", "4 AS comp")
+        got = P.near_duplicates(spark, docs, "")
+        assert got.columns == docs.columns and sorted((r["doc_id"] or 0) for r in got.collect()) == sorted(kept)
+        clean = P.benchmark_leaks(spark, got, DATA)
+        assert clean.columns == docs.columns and clean.count() == got.count() and {r["__hits"] for r in clean.collect()} == {2}
+        mixed = P.mixture(spark, clean, DATA)
+        assert mixed.columns == docs.columns
+        assert P.shards(spark, mixed, DATA).count() == mixed.count()
+
+
 def test_near_duplicates_like_brute_force(spark):
     rng = random.Random(2)
     some = lambda n: ["".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(n)]
