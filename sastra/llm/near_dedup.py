@@ -311,9 +311,9 @@ def _near(docs: DataFrame, rules: Rules) -> DataFrame:
     sets = None
     for r, (_, size) in enumerate(rules):
         mine = involved.where(F.pmod("id", F.lit(count)) == r).select(F.expr(f"(id - {r}) div {count}").alias("doc_id"))
-        one = _sets(docs.join(mine, "doc_id", "left_semi"), size).withColumn("id", F.col("id") * count + r)
+        one = store(_sets(docs.join(mine, "doc_id", "left_semi"), size).withColumn("id", F.col("id") * count + r), "sets")
         sets = one if sets is None else sets.unionByName(one)
-    sets = store(sets, "sets")
+        release(spark)  # the texts were shuffled for the rule
 
     release(spark)
 
