@@ -32,4 +32,4 @@ def test_same_as_sql(spark, name):
 
 def test_snippet_scan_holds_every_layer(spark):
     got = {r["analyzer"] for r in entry.queries()["snippet_scan"](spark, DATA).collect()}
-    assert got == {"regex", "ast", "call"}
+    assert got == {"regex", "ast", "call", "secret"}
