@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import FOLD, NOT_SPACE, Words, cut, discard, free_name, mix, read, release, slices, small_batches, store
+from .common import FOLD, NOT_SPACE, Words, cut, discard, fetch, free_name, mix, read, release, slices, small_batches, store
 
 REGISTERS, BAND, MANTISSA = 96, 4, 10
 #: The estimate may lie so far below the threshold at least (six standard errors at 0.85; see :func:`slack`).
@@ -131,28 +131,62 @@ def _sets(docs: DataFrame, size: int) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("id"), "text").mapInArrow(run, "id long, shingles array<long>")
 
 
-#: Rows of a part of a small table: parts would else be as many as shuffles have, most of them empty.
-PART_ROWS = 4096
+#: Rows of a part of a small table: parts would else be as many as shuffles have, most of them empty. Rows of a few numbers take larger parts.
+PART_ROWS, NARROW_ROWS = 4096, 32_768
+#: So many links (16 bytes each) are followed on the driver, more of them in rounds on the executors: a round's stages cost the driver more than those links.
+LOCAL_LINKS = 100_000
 
 
-def in_parts(df: DataFrame, rows: int) -> DataFrame:
+def in_parts(df: DataFrame, rows: int, each: int = PART_ROWS) -> DataFrame:
     """``df`` of about ``rows`` rows in no more parts than those need; never in more than it has."""
-    return df.coalesce(max(8, rows // PART_ROWS))
+    return df.coalesce(max(8, rows // each))
+
+
+def narrow(df: DataFrame, rows: int) -> DataFrame:
+    """:func:`in_parts` for rows of a few numbers."""
+    return in_parts(df, rows, NARROW_ROWS)
+
+
+def least_reachable(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct ends of the links (a, b) and the smallest end reachable from each: roots hook onto smaller labels, then all paths are halved to their roots."""
+    ids, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    x, y = at[: len(a)], at[len(a) :]
+    comp = np.arange(len(ids))
+    while (comp[x] != comp[y]).any():
+        cx, cy = comp[x], comp[y]
+        np.minimum.at(comp, np.maximum(cx, cy), np.minimum(cx, cy))
+        while (comp != (up := comp[comp])).any():
+            comp = up
+    return ids, ids[comp]
 
 
 def components(links: DataFrame) -> DataFrame:
-    """(id, comp) of every end of (a, b) links, comp the smallest id reachable: labels spread along links, then jump to their label's label."""
+    """(id, comp) of every end of (a, b) links, comp the smallest id reachable: up to ``LOCAL_LINKS`` links on the driver, more by :func:`spread_labels`."""
+    links = links.select("a", "b")
+    if links.count() > LOCAL_LINKS:
+        return spread_labels(links)
+    got = fetch(links)
+    ids, comp = least_reachable(*(got.column(c).to_numpy().astype(np.int64) for c in "ab"))
+    return cut(links.sparkSession.createDataFrame(pa.table({"id": ids, "comp": comp}), "id long, comp long"))
+
+
+def spread_labels(links: DataFrame) -> DataFrame:
+    """:func:`components` of any number of links: labels spread along links, to the ends and to the ends' labels, then jump to their label's label.
+
+    As whole labels move, rounds grow with the logarithm of a chain's length and not with the length.
+    """
     both = cut(links.select("a", "b").union(links.select("b", "a")).distinct())
     n = both.count()
-    labels = cut(in_parts(both.groupBy(F.col("a").alias("id")).agg(F.least(F.min("b"), F.col("id")).alias("comp")), n))
+    labels = cut(narrow(both.groupBy(F.col("a").alias("id")).agg(F.least(F.min("b"), F.col("id")).alias("comp")), n))
     while True:
         near = both.join(labels, both["b"] == labels["id"]).groupBy("a").agg(F.min("comp").alias("near"))
-        spread = labels.join(near, labels["id"] == near["a"]).select("id", F.least("comp", "near").alias("comp"), F.col("comp").alias("old"))
-        spread = cut(in_parts(spread, n))
+        offered = labels.join(near, labels["id"] == near["a"]).select("id", F.least("comp", "near").alias("low"), F.col("comp").alias("old"))
+        offered = offered.union(offered.select(F.col("old").alias("id"), "low", F.lit(None).cast("long").alias("old")))
+        spread = cut(narrow(offered.groupBy("id").agg(F.min("low").alias("comp"), F.max("old").alias("old")), n))
         top = spread.select(F.col("id").alias("__i"), F.col("comp").alias("__c"))
-        jumped = cut(in_parts(spread.join(top, spread["comp"] == top["__i"]).select("id", F.least("comp", "__c").alias("comp"), "old"), n))
+        jumped = cut(narrow(spread.join(top, spread["comp"] == top["__i"]).select("id", F.least("comp", "__c").alias("comp"), "old"), n))
         labels = jumped.select("id", "comp")
-        del near, spread, top
+        del near, offered, spread, top
         release(links.sparkSession)
         if jumped.where("comp <> old").isEmpty():
             return labels
@@ -184,10 +218,10 @@ def _confirm(pairs: DataFrame, regs: DataFrame, sets: DataFrame, rules: Rules, m
     left, right = (regs.select(F.col("id").alias(k), F.col("n").alias(f"n{k}"), F.col("regs").alias(f"r{k}")) for k in "ab")
     near = pairs.join(left, "a").join(right, "b").where(F.expr(_alike(rules, "a", "na", "nb")))
     near = near.where(estimated_similarity("ra", "rb", "na", "nb") >= F.expr(_by_rule(rules, "a", lambda p: float(p / 100 - slack(p)))))
-    near = cut(in_parts(near.select("a", "b"), m))
+    near = cut(narrow(near.select("a", "b"), m))
     full = near.join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("sb")), "b").join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("sa")), "a")
     common = full.select("a", "b", F.size(F.array_intersect("sa", "sb")).alias("c"), (F.size("sa") + F.size("sb")).alias("t"))
-    return cut(in_parts(common.where(f"100 * c >= ({_by_rule(rules, 'a', lambda p: p)}) * (t - c)").select("a", "b").distinct(), m))
+    return cut(narrow(common.where(f"100 * c >= ({_by_rule(rules, 'a', lambda p: p)}) * (t - c)").select("a", "b").distinct(), m))
 
 
 def _block_links(left: list[np.ndarray], right: list[np.ndarray], percent: int) -> tuple[np.ndarray, np.ndarray]:
@@ -239,13 +273,13 @@ def _in_blocks(placed: DataFrame, sets: DataFrame, rules: Rules, m: int) -> Data
     """
     home = placed.groupBy("id").agg(F.max(F.struct("size", "bucket")).alias("h"), F.first("comp").alias("comp"), F.min("n").alias("n"))
     width = F.expr(_by_rule(rules, "id", lambda p: float(np.log(100 / p) * (1 + 1e-9) if p < 100 else 1)))
-    home = cut(home.select("id", "comp", F.col("h.bucket").alias("b"), F.floor(F.log("n") / width).alias("level")))
+    home = cut(narrow(home.select("id", "comp", F.col("h.bucket").alias("b"), F.floor(F.log("n") / width).alias("level")), m))
     whole = home.groupBy("b", "level", "comp").agg(F.count("*").alias("c"))
     whole = whole.withColumn("pure", F.when(F.col("c") >= BLOCK, F.col("comp")))
     rest = whole.groupBy("b", "level", "pure").agg(F.sum("c").alias("of"))
-    whole = cut(in_parts(whole.join(rest.withColumnRenamed("pure", "q"), ["b", "level"]).where(F.col("pure").eqNullSafe(F.col("q"))).select("b", "level", "comp", "pure", "of"), m))
+    whole = cut(narrow(whole.join(rest.withColumnRenamed("pure", "q"), ["b", "level"]).where(F.col("pure").eqNullSafe(F.col("q"))).select("b", "level", "comp", "pure", "of"), m))
     home = home.join(whole, ["b", "level", "comp"])
-    home = cut(home.select("id", "comp", "level", "pure", F.xxhash64("b", "level", F.coalesce("pure", F.lit(-1)), F.pmod(F.xxhash64("id"), F.ceil(F.col("of") / BLOCK))).alias("block")))
+    home = cut(narrow(home.select("id", "comp", "level", "pure", F.xxhash64("b", "level", F.coalesce("pure", F.lit(-1)), F.pmod(F.xxhash64("id"), F.ceil(F.col("of") / BLOCK))).alias("block")), m))
     meet = placed.select("bucket", "id").join(home, "id").select("bucket", F.struct("block", "level", "pure").alias("x")).distinct()
     meet = meet.groupBy("bucket").agg(F.array_sort(F.collect_list("x")).alias("blocks"))
     pairs = meet.select(F.posexplode("blocks").alias("i", "x"), "blocks").select("x", F.explode(F.slice("blocks", F.col("i") + 1, F.size("blocks"))).alias("y"))
@@ -300,10 +334,10 @@ def _near(docs: DataFrame, rules: Rules) -> DataFrame:
     release(spark)
 
     members = reps.select("id", "n", F.explode("bands").alias("bucket"))
-    sizes = cut(in_parts(members.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1"), n))
-    members = cut(in_parts(members.join(sizes, "bucket"), 4 * n))
+    sizes = cut(narrow(members.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1"), n))
+    members = cut(narrow(members.join(sizes, "bucket"), 4 * n))
     m = members.count()
-    score = cut(in_parts(members.groupBy("id").agg(F.sum("size").alias("score")), n))
+    score = cut(narrow(members.groupBy("id").agg(F.sum("size").alias("score")), n))
     members = members.join(score, "id").select("bucket", "id", "n", "score")
     involved = score.select("id")
     regs = reps.join(involved, "id", "left_semi").select("id", "n", "regs")
@@ -318,9 +352,9 @@ def _near(docs: DataFrame, rules: Rules) -> DataFrame:
     release(spark)
 
     leaders = members.groupBy("bucket").agg(F.max(F.struct("score", (-F.col("id")).alias("o"), F.col("id").alias("a"), F.col("n").alias("na"))).alias("l")).select("bucket", "l.a", "l.na")
-    leaders = cut(in_parts(leaders, m))
+    leaders = cut(narrow(leaders, m))
     star = members.join(leaders, "bucket").where(f"id <> a and pmod(id, {count}) = pmod(a, {count})").where(_alike(rules, "id", "n", "na"))
-    tested = cut(in_parts(star.select(F.least("a", "id").alias("a"), F.greatest("a", "id").alias("b")).distinct(), m))
+    tested = cut(narrow(star.select(F.least("a", "id").alias("a"), F.greatest("a", "id").alias("b")).distinct(), m))
     links = _confirm(tested, regs, sets, rules, m)
     del star, leaders
     release(spark)
@@ -329,18 +363,22 @@ def _near(docs: DataFrame, rules: Rules) -> DataFrame:
 
     placed = members.join(labels, "id", "left").select("bucket", "id", "n", F.coalesce("comp", "id").alias("comp"))
     torn = placed.groupBy("bucket").agg(F.count("*").alias("size"), F.min("comp").alias("x"), F.max("comp").alias("y")).where("x < y").select("bucket", "size")
-    torn = cut(in_parts(torn, m))
-    placed = cut(in_parts(placed.join(torn, "bucket"), m))
-    small = placed.where(f"size <= {SMALL}")
-    other = small.select("bucket", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("comp").alias("cb"))
-    rest = small.withColumnRenamed("id", "a").join(other, "bucket").where(f"a < b and comp <> cb and pmod(a, {count}) = pmod(b, {count})").where(_alike(rules, "a", "n", "nb")).select("a", "b").distinct()
-    rest = rest.join(tested, ["a", "b"], "left_anti")
-    links = links.union(_confirm(rest, regs, sets, rules, m))
-    del rest, other, small
-    release(spark)
-    links = links.union(_in_blocks(placed.where(f"size > {SMALL}"), sets, rules, m))
-    release(spark)
-    labels = components(links)
+    torn = cut(narrow(torn, m))
+    placed = cut(narrow(placed.join(torn, "bucket"), m))
+    few, many = placed.agg(F.count_if(F.col("size") <= SMALL), F.count_if(F.col("size") > SMALL)).first()
+    if few:
+        small = placed.where(f"size <= {SMALL}")
+        other = small.select("bucket", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("comp").alias("cb"))
+        rest = small.withColumnRenamed("id", "a").join(other, "bucket").where(f"a < b and comp <> cb and pmod(a, {count}) = pmod(b, {count})").where(_alike(rules, "a", "n", "nb")).select("a", "b").distinct()
+        rest = rest.join(tested, ["a", "b"], "left_anti")
+        links = links.union(_confirm(rest, regs, sets, rules, few * SMALL))
+        del rest, other, small
+        release(spark)
+    if many:
+        links = links.union(_in_blocks(placed.where(f"size > {SMALL}"), sets, rules, many))
+        release(spark)
+    if few or many:
+        labels = components(links)
 
     of_class = classes.join(labels, classes["rep"] == labels["id"], "left").select("r", "n", "s1", "s2", F.coalesce("comp", "rep").alias("comp"))
     return known.select("id", "n", "s1", "s2", F.pmod("id", F.lit(count)).alias("r")).join(of_class, ["r", "n", "s1", "s2"], "left").select("id", "n", "comp")
@@ -357,8 +395,8 @@ def one_of_each(docs: DataFrame, percent: int = PERCENT, size: int = SHINGLE, al
     stay. An empty table stays empty. Documents link by ``percent`` and ``size``, or by any further (percent, size) in ``also``; components are those of all links.
     """
     texts, rules = docs.select(F.col("doc_id").cast("long"), "text"), ((percent, size), *also)
-    far = texts.agg(F.max(F.abs(F.col("doc_id").cast("decimal(20,0)")))).first()[0] or 0
-    if len(rules) > 1 and far >= (1 << 63) // len(rules) - 1:  # ids too large to number the nodes of several rules: one rule after the other
+    far, n = texts.agg(F.max(F.abs(F.col("doc_id").cast("decimal(20,0)"))), F.count("*")).first()
+    if len(rules) > 1 and (far or 0) >= (1 << 63) // len(rules) - 1:  # ids too large to number the nodes of several rules: one rule after the other
         passes = [(rule,) for rule in rules]
     else:
         passes = [rules]
@@ -366,13 +404,13 @@ def one_of_each(docs: DataFrame, percent: int = PERCENT, size: int = SHINGLE, al
     for some in passes:
         node = lambda c, k=len(some): F.expr(f"({c} - pmod({c}, {k})) div {k}")
         found = _near(texts, some).where("comp < id").select(node("comp").alias("a"), node("id").alias("b")).distinct()
-        links = cut(links.union(found))
+        links = cut(narrow(links.union(found), n * len(rules)))
         release(docs.sparkSession)
     gone = (components(links).where("comp < id") if len(rules) > 1 else links.withColumnRenamed("b", "id")).select(F.col("id").alias("doc_id")).distinct()
-    n = free_name(docs, "n")
+    place = free_name(docs, "n")
     first = W.partitionBy("doc_id", F.xxhash64("text")).orderBy(*_ties(docs))
-    kept = docs.join(gone, "doc_id", "left_anti").withColumn(n, F.row_number().over(first))
-    return kept.where((F.col(n) == 1) | F.col("doc_id").isNull()).select(*[F.col(f"`{c}`") for c in docs.columns])
+    kept = docs.join(gone, "doc_id", "left_anti").withColumn(place, F.row_number().over(first))
+    return kept.where((F.col(place) == 1) | F.col("doc_id").isNull()).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

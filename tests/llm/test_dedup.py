@@ -103,3 +103,50 @@ def test_estimate_corrects_collisions():
 
 def test_band_recall_at_the_threshold():
     assert (1 - 0.85**N.BAND) ** (N.REGISTERS // N.BAND) < 1e-7
+
+
+def test_components_on_the_driver_and_in_rounds(spark, monkeypatch):
+    """Few links are followed on the driver, more in rounds: both find the smallest id reachable."""
+    rng = random.Random(3)
+    chain = rng.sample(range(1000, 1200), 200)
+    links = list(zip(chain, chain[1:])) + [(rng.randrange(400), rng.randrange(400)) for _ in range(150)] + [(-5, 1 << 62), (7, 7)]
+    parent = {x: x for pair in links for x in pair}
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, b in links:
+        x, y = root(a), root(b)
+        parent[max(x, y)] = min(x, y)
+    want = sorted((x, root(x)) for x in parent)
+    df = spark.createDataFrame(links, "a long, b long")
+    assert sorted(map(tuple, N.components(df).collect())) == want
+    assert N.components(df.limit(0)).count() == 0
+    monkeypatch.setattr(N, "LOCAL_LINKS", len(links) - 1)
+    rounds = []
+    monkeypatch.setattr(N, "release", lambda _: rounds.append(1))
+    assert sorted(map(tuple, N.components(df).collect())) == want
+    assert len(rounds) <= 10
+
+
+def test_tasks_of_small_tables(spark):
+    """The driver keeps something of every task: many shuffle partitions don't make as many parts of each small table, nor rounds of them."""
+    rows = corpus(4)
+    held = {"spark.sql.shuffle.partitions": "64", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in held}
+    context = spark.sparkContext
+    try:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+        context.setJobGroup("dedup", "dedup")
+        kept = N.one_of_each(spark.createDataFrame(rows, SCHEMA), 85, 3, also=((80, 5),)).count()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+        context.setLocalProperty("spark.jobGroup.id", None)
+    tracker = context.statusTracker()
+    jobs = [tracker.getJobInfo(j) for j in tracker.getJobIdsForGroup("dedup")]
+    assert 0 < kept < len(rows)
+    assert len(jobs) < 140
