@@ -131,7 +131,7 @@ def _sets(docs: DataFrame, size: int) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("id"), "text").mapInArrow(run, "id long, shingles array<long>")
 
 
-#: Rows of a part of a small table: parts would else be as many as shuffles have, most of them empty. Rows of a few numbers take larger parts.
+#: Rows of a part of a small table: parts would else be as many as shuffles have, most of them empty. Rows of a few numbers that are made from rows like them take larger parts.
 PART_ROWS, NARROW_ROWS = 4096, 32_768
 #: So many links (16 bytes each) are followed on the driver, more of them in rounds on the executors: a round's stages cost the driver more than those links.
 LOCAL_LINKS = 100_000
@@ -177,7 +177,7 @@ def spread_labels(links: DataFrame) -> DataFrame:
     """
     both = cut(links.select("a", "b").union(links.select("b", "a")).distinct())
     n = both.count()
-    labels = cut(narrow(both.groupBy(F.col("a").alias("id")).agg(F.least(F.min("b"), F.col("id")).alias("comp")), n))
+    labels = cut(in_parts(both.groupBy(F.col("a").alias("id")).agg(F.least(F.min("b"), F.col("id")).alias("comp")), n))
     while True:
         near = both.join(labels, both["b"] == labels["id"]).groupBy("a").agg(F.min("comp").alias("near"))
         offered = labels.join(near, labels["id"] == near["a"]).select("id", F.least("comp", "near").alias("low"), F.col("comp").alias("old"))
@@ -218,10 +218,10 @@ def _confirm(pairs: DataFrame, regs: DataFrame, sets: DataFrame, rules: Rules, m
     left, right = (regs.select(F.col("id").alias(k), F.col("n").alias(f"n{k}"), F.col("regs").alias(f"r{k}")) for k in "ab")
     near = pairs.join(left, "a").join(right, "b").where(F.expr(_alike(rules, "a", "na", "nb")))
     near = near.where(estimated_similarity("ra", "rb", "na", "nb") >= F.expr(_by_rule(rules, "a", lambda p: float(p / 100 - slack(p)))))
-    near = cut(narrow(near.select("a", "b"), m))
+    near = cut(in_parts(near.select("a", "b"), m))
     full = near.join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("sb")), "b").join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("sa")), "a")
     common = full.select("a", "b", F.size(F.array_intersect("sa", "sb")).alias("c"), (F.size("sa") + F.size("sb")).alias("t"))
-    return cut(narrow(common.where(f"100 * c >= ({_by_rule(rules, 'a', lambda p: p)}) * (t - c)").select("a", "b").distinct(), m))
+    return cut(in_parts(common.where(f"100 * c >= ({_by_rule(rules, 'a', lambda p: p)}) * (t - c)").select("a", "b").distinct(), m))
 
 
 def _block_links(left: list[np.ndarray], right: list[np.ndarray], percent: int) -> tuple[np.ndarray, np.ndarray]:
@@ -334,10 +334,10 @@ def _near(docs: DataFrame, rules: Rules) -> DataFrame:
     release(spark)
 
     members = reps.select("id", "n", F.explode("bands").alias("bucket"))
-    sizes = cut(narrow(members.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1"), n))
-    members = cut(narrow(members.join(sizes, "bucket"), 4 * n))
+    sizes = cut(in_parts(members.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1"), n))
+    members = cut(in_parts(members.join(sizes, "bucket"), 4 * n))
     m = members.count()
-    score = cut(narrow(members.groupBy("id").agg(F.sum("size").alias("score")), n))
+    score = cut(in_parts(members.groupBy("id").agg(F.sum("size").alias("score")), n))
     members = members.join(score, "id").select("bucket", "id", "n", "score")
     involved = score.select("id")
     regs = reps.join(involved, "id", "left_semi").select("id", "n", "regs")
@@ -404,7 +404,7 @@ def one_of_each(docs: DataFrame, percent: int = PERCENT, size: int = SHINGLE, al
     for some in passes:
         node = lambda c, k=len(some): F.expr(f"({c} - pmod({c}, {k})) div {k}")
         found = _near(texts, some).where("comp < id").select(node("comp").alias("a"), node("id").alias("b")).distinct()
-        links = cut(narrow(links.union(found), n * len(rules)))
+        links = cut(in_parts(links.union(found), n * len(rules)))
         release(docs.sparkSession)
     gone = (components(links).where("comp < id") if len(rules) > 1 else links.withColumnRenamed("b", "id")).select(F.col("id").alias("doc_id")).distinct()
     place = free_name(docs, "n")
