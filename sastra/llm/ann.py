@@ -1,9 +1,9 @@
 """Approximate nearest neighbours by an inverted file of coarse centroids with product-quantised residuals.
 
 A bounded sample trains the coarse centroids and the residual codebooks in numpy. Every vector is indexed: it goes to its
-nearest centroid's list with one byte a subspace. A query probes the lists of largest centroid product, ranks their rows by its
-asymmetric distance tables (query times codebook, one table a subspace), and rescores the best of each block exactly, in double
-precision, on the original vectors. How many lists are probed is measured at fit time on the sample.
+nearest centroid's list with one byte a subspace. A query probes the lists of largest centroid product, bounds their rows' products by its
+asymmetric distance tables (query times codebook, one table a subspace) and by what the codes leave out, and rescores every row that may
+be among the best of its block exactly, in double precision, on the original vectors. How many lists are probed is measured at fit time on the sample.
 
 Equal vectors are indexed once, with their smallest ids, so copies of one vector can't fill a list. Long lists and
 lists that many queries probe are cut into a grid of blocks, each one task's work. A query's bound from the sample (no final
@@ -27,12 +27,10 @@ from .common import cut, fetch, read
 K, EVERY = 20, 20
 #: Vectors that the index is fitted on at most, lists at most, vectors for each list at least, subspaces at most, codes in a subspace.
 SAMPLE, LISTS, PER_LIST, SUBSPACES, CODES = 16_384, 1024, 256, 16, 256
-#: Part of the sample's true neighbours that the probed lists must hold, and sample queries that measure it.
-TARGET, PROBES = 0.97, 512
-#: Rows and queries of a block, and rows of a block that are rescored for a query.
-ROWS, QUERIES, RESCORED = 8192, 2048, 96
-#: Approximate products are told apart to one part in so many of the largest.
-ROUNDING = np.float32(1 << 20)
+#: Part of the true neighbours that the probed lists must hold, queries that measure it, and vectors outside the sample among which they look too.
+TARGET, PROBES, HELD_OUT = 0.97, 512, 8192
+#: Rows and queries of a block, and pairs of both that are rescored at once.
+ROWS, QUERIES, PAIRS = 8192, 2048, 32_768
 SEED = 1
 
 
@@ -62,8 +60,12 @@ def _nearest(x: np.ndarray, centers: np.ndarray) -> np.ndarray:
     return np.concatenate([(x[i : i + 4096] @ centers.T - half).argmax(axis=1) for i in range(0, len(x), 4096)]) if len(x) else np.zeros(0, np.int64)
 
 
-def train(sample: np.ndarray, total: int, k: int) -> Index:
-    """Fit on (rows, dim) float32 vectors out of ``total``."""
+def train(sample: np.ndarray, total: int, k: int, asked: np.ndarray | None = None, held_out: np.ndarray | None = None) -> Index:
+    """Fit on (rows, dim) float32 vectors out of ``total``.
+
+    How many lists to probe is measured on vectors of the queries, as they may lie unlike the rows (without ``asked``, on rows), and on neighbours in and
+    out of the sample, each weighted by the rows it stands for: centroids fit their own sample better than other rows.
+    """
     rng = np.random.default_rng(SEED)
     lists = int(np.clip(min(np.sqrt(total), len(sample) / 16, total / PER_LIST), 1, LISTS))
     centroids = _kmeans(sample, lists, rng)
@@ -72,13 +74,19 @@ def train(sample: np.ndarray, total: int, k: int) -> Index:
     parts = min(SUBSPACES, sample.shape[1])
     edges = np.linspace(0, sample.shape[1], parts + 1).astype(int)
     books = [_kmeans(residual[:, a:b], min(CODES, len(sample)), rng, 8) for a, b in zip(edges[:-1], edges[1:], strict=True)]
-    ask = rng.choice(len(sample), min(PROBES, len(sample)), replace=False)
-    near = sample[ask] @ sample.T
-    near[np.arange(len(ask)), ask] = -np.inf
-    best = np.argpartition(-near, min(k, len(sample) - 1), axis=1)[:, :k]
-    rank = np.argsort(np.argsort(-(sample[ask] @ centroids.T), axis=1), axis=1)
-    need = np.take_along_axis(rank, home[best], axis=1).ravel()
-    probes = int(np.quantile(need, TARGET, method="higher")) + 1 if len(need) else 1
+    if asked is None or not len(asked):
+        asked = sample[rng.choice(len(sample), min(PROBES, len(sample)), replace=False)]
+    rows = sample if held_out is None else np.concatenate([sample, held_out])
+    near = asked @ rows.T
+    place = {v.tobytes(): i for i, v in enumerate(rows)}
+    for i, v in enumerate(asked):  # a query isn't its own neighbour
+        near[i, place.get(v.tobytes(), [])] = -np.inf
+    best = np.argpartition(-near, min(k, len(rows) - 1), axis=1)[:, :k]
+    rank = np.argsort(np.argsort(-(asked @ centroids.T), axis=1), axis=1)
+    need = np.take_along_axis(rank, _nearest(rows, centroids)[best], axis=1).ravel()
+    weight = np.where(best.ravel() < len(sample), 1.0, (total - len(sample)) / max(len(rows) - len(sample), 1))
+    share = np.cumsum(np.bincount(need, weight, lists)) / weight.sum()
+    probes = min(int(np.searchsorted(share, TARGET)) + 1, lists)
     return Index(centroids, books, edges, probes, sample)
 
 
@@ -90,26 +98,43 @@ def encode(index: Index, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return home, codes.astype(np.uint8)
 
 
-def search_block(index: Index, queries: np.ndarray, bound: np.ndarray, vectors: np.ndarray, codes: np.ndarray, k: int):
-    """(query, row, score) triples of one block: the ``k`` best of each query that reach its bound."""
+def search_block(index: Index, home: int, queries: np.ndarray, bound: np.ndarray, vectors: np.ndarray, codes: np.ndarray, k: int):
+    """(query, row, score) triples of one block of the list ``home``: the ``k`` best of each query that reach its bound.
+
+    A row's product is its distance tables' sum, give or take the query's length times what its codes leave out of the row. Every row whose product may be
+    among the ``k`` best is rescored, so rows that the codes can't tell apart are all looked at.
+    """
+    center = index.centroids[home].astype(np.float64)
+    decoded = np.concatenate([book[codes[:, m]] for m, book in enumerate(index.codebooks)], axis=1).astype(np.float64)
+    longest = np.linalg.norm(vectors, axis=1)
+    left_out = np.linalg.norm(vectors - center - decoded, axis=1)
+    # rounding: the tables' sums have 24 bits, the rest 53
+    dim = vectors.shape[1] + len(index.codebooks)
+    left_out += dim * (2.0**-22 * np.linalg.norm(decoded, axis=1) + 2.0**-50 * (np.linalg.norm(center) + longest))
+    longest = longest.max()
     out = []
     for lo in range(0, len(queries), 256):
-        q = queries[lo : lo + 256].astype(np.float32)
-        keep = min(RESCORED, len(vectors))
-        if keep < len(vectors):
-            tables = [q[:, a:b] @ book.T for a, b, book in zip(index.edges[:-1], index.edges[1:], index.codebooks, strict=True)]
-            approx = sum(t[:, codes[:, m]] for m, t in enumerate(tables))  # the centroid's part is the same for all rows of a list
-            # products that agree but for rounding count as equal, and equal ones go by row, that is by smaller id
-            scale = np.maximum(np.abs(approx).max(axis=1, keepdims=True), np.float32(1e-30))
-            place = (np.rint(approx * (-ROUNDING / scale)).astype(np.int64) << 32) | np.arange(len(vectors))
-            pick = np.sort(np.argpartition(place, keep - 1, axis=1)[:, :keep], axis=1)
-        else:
-            pick = np.broadcast_to(np.arange(len(vectors)), (len(q), len(vectors)))
-        exact = np.einsum("qd,qkd->qk", queries[lo : lo + 256], vectors[pick])
-        top = np.argsort(-exact, axis=1, kind="stable")[:, :k]
-        score = np.take_along_axis(exact, top, axis=1)
-        qi, ki = np.nonzero(score >= bound[lo : lo + 256, None])
-        out.append((qi + lo, pick[qi, top[qi, ki]], score[qi, ki]))
+        exact_q = queries[lo : lo + 256]
+        q, length = exact_q.astype(np.float32), np.linalg.norm(exact_q, axis=1)
+        approx = (exact_q @ center)[:, None] + sum((q[:, a:b] @ book.T)[:, codes[:, m]] for m, (a, b, book) in enumerate(zip(index.edges[:-1], index.edges[1:], index.codebooks, strict=True)))
+        doubt = length[:, None] * left_out
+        least = bound[lo : lo + 256]
+        if len(vectors) > k:
+            least = np.fmax(least, -np.partition(doubt - approx, k - 1, axis=1)[:, k - 1])
+        able = ~(approx + doubt < least[:, None])
+        rows = np.flatnonzero(able.any(axis=0))
+        able = able[:, rows]
+        exact = np.where(able, exact_q @ vectors[rows].T, -np.inf)
+        # this product's last bits depend on the block's shape, so the best are taken with room for them and scored alike everywhere
+        if len(rows) > k:
+            able &= exact >= (-np.partition(-exact, k - 1, axis=1)[:, k - 1] - dim * 2.0**-50 * length * longest)[:, None]
+        qi, at = np.nonzero(able)
+        ri = rows[at]
+        score = np.concatenate([np.zeros(0), *(np.einsum("pd,pd->p", exact_q[qi[i : i + PAIRS]], vectors[ri[i : i + PAIRS]]) for i in range(0, len(qi), PAIRS))])
+        order = np.lexsort((ri, -score, qi))  # equal products go by row, that is by smaller id
+        qi, ri, score = qi[order], ri[order], score[order]
+        good = (np.arange(len(qi)) - np.searchsorted(qi, qi) < k) & (score >= bound[lo : lo + 256][qi])
+        out.append((qi[good] + lo, ri[good], score[good]))
     return [np.concatenate(x) for x in zip(*out, strict=True)]
 
 
@@ -174,10 +199,16 @@ def _one_length(rows: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     ship(spark)
     classes = cut(_classes(rows, k))
     total = classes.count()
-    sample = fetch(classes.select("v").orderBy(F.xxhash64("v"), "v").limit(SAMPLE))
+    sample = fetch(classes.select("v").orderBy(F.xxhash64("v"), "v").limit(SAMPLE + HELD_OUT))
     if not total:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    index = train(_matrix(sample.column("v").combine_chunks(), np.float32), total, k)
+    # equal queries ask once; one id may ask with several vectors
+    asked = queries.groupBy("v").agg(F.min("vec_id").alias("q"))
+    asked = cut(asked.select("v", F.concat(F.col("q").cast("string"), F.lit(":"), F.hex(F.xxhash64("v"))).alias("q")))
+    some = fetch(asked.select("v").orderBy(F.xxhash64("v"), "v").limit(PROBES))
+    vectors = lambda t: _matrix(t.column("v").combine_chunks(), np.float32) + np.float32(0)
+    sample = vectors(sample)
+    index = train(sample[:SAMPLE], total, k, vectors(some), sample[SAMPLE:])
     model = spark.sparkContext.broadcast(index)
     longest = float(np.linalg.norm(index.sample.astype(np.float64), axis=1).max())
     kind = dict(rows.dtypes)["v"]
@@ -207,9 +238,6 @@ def _one_length(rows: DataFrame, queries: DataFrame, k: int) -> DataFrame:
             bounds = np.where(few, -np.inf, bound[:, None])[at, order]
             yield pa.RecordBatch.from_arrays([b.column("q").take(pa.array(at)), b.column("v").take(pa.array(at)), pa.array(bounds), pa.array(lists[at, order].astype(np.int32))], ["q", "v", "bound", "list"])
 
-    # equal queries ask once; one id may ask with several vectors
-    asked = queries.groupBy("v").agg(F.min("vec_id").alias("q"))
-    asked = cut(asked.select("v", F.concat(F.col("q").cast("string"), F.lit(":"), F.hex(F.xxhash64("v"))).alias("q")))
     probes = cut(asked.mapInArrow(probe, f"q string, v {kind}, bound double, list int"))
     cuts = spark.createDataFrame(pd.DataFrame({"list": np.arange(len(index.centroids), dtype=np.int32)}))
     for df, name, size in ((indexed, "r", ROWS), (probes, "c", QUERIES)):
@@ -219,13 +247,13 @@ def _one_length(rows: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     left = probes.join(cuts, "list").withColumn("c", F.pmod(F.xxhash64("q"), F.col("c")).cast("int")).withColumn("r", every("r"))
     right = indexed.join(cuts, "list").withColumn("r", F.pmod(F.xxhash64(F.col("ids")[0]), F.col("r")).cast("int")).withColumn("c", every("c"))
 
-    def run(_, ask, have):
+    def run(key, ask, have):
         if not (ask.num_rows and have.num_rows):
             return pa.table({"q": pa.array([], pa.string()), "score": pa.array([], pa.float64()), "ids": pa.array([], pa.list_(pa.int64()))})
         have = have.take(pc.sort_indices(pc.list_element(have.column("ids"), 0)))  # ties go to smaller ids
         column = lambda t, name: t.column(name).combine_chunks()
         codes = np.frombuffer(b"".join(column(have, "codes").to_pylist()), np.uint8).reshape(have.num_rows, -1)
-        qi, row, score = search_block(model.value, _matrix(column(ask, "v")), column(ask, "bound").to_numpy(), _matrix(column(have, "v")), codes, k + 1)
+        qi, row, score = search_block(model.value, key[0].as_py(), _matrix(column(ask, "v")), column(ask, "bound").to_numpy(), _matrix(column(have, "v")), codes, k + 1)
         return pa.table({"q": column(ask, "q").take(pa.array(qi)), "score": pa.array(score), "ids": column(have, "ids").take(pa.array(row))})
 
     by = ("list", "r", "c")

@@ -179,6 +179,25 @@ def test_recall_of_many_lists(spark):
     assert len(got) == 6000 and hit >= 0.9 * 6000
 
 
+@pytest.mark.parametrize("odd", ["tight clusters", "queries unlike rows"])
+def test_recall_of_odd_rows(spark, odd):
+    # rows that no code tells apart, and queries whose neighbours lie in more lists than those of most rows
+    rng = np.random.default_rng(7)
+    unit = lambda x: x / np.linalg.norm(x, axis=1, keepdims=True)
+    x = unit(unit(rng.normal(size=(3, 64)))[rng.integers(3, size=6000)] + 0.01 * rng.normal(size=(6000, 64)))
+    if odd == "queries unlike rows":
+        x[::20] = unit(rng.normal(size=(300, 64)))
+    x = x.astype("f4")
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, v array<float>")
+    got = ann.nearest(df, df.where("vec_id % 20 = 0"), 20).toPandas()
+    hit = 0
+    for i, g in got.groupby("query_id"):
+        s = x.astype("f8") @ x[i].astype("f8")
+        s[i] = -np.inf
+        hit += len(set(np.argsort(-s, kind="stable")[:20]) & set(g["vec_id"]))
+    assert len(got) == 6000 and hit >= 0.95 * 6000
+
+
 # ---------------------------------------------------------------- pages
 
 
