@@ -193,8 +193,19 @@ def anomalies(history: DataFrame, current: DataFrame, key: str = "repo", least:
     """DOC-3: (key, n, mean, deviation, score, anomalous): a scan's count against the (key, n) counts of earlier scans.
 
     The score is the distance from their mean in standard deviations; counts that never varied make any change anomalous. A key without history has no score and isn't anomalous.
+    A score that is ``least`` but for rounding falls on one side or the other with the order of additions, so a key's counts (one number a scan) are added in
+    ascending order: equal counts get equal answers.
     """
-    base = history.groupBy(key).agg(F.avg("n").alias("mean"), F.stddev_pop("n").alias("deviation"))
+
+    def add(state, x):
+        gap = x - state["mean"]
+        mean = state["mean"] + gap / (state["count"] + 1)
+        return F.struct((state["count"] + 1).alias("count"), mean.alias("mean"), (state["squares"] + (x - mean) * gap).alias("squares"))
+
+    start = F.struct(F.lit(0.0).alias("count"), F.lit(0.0).alias("mean"), F.lit(0.0).alias("squares"))
+    deviation = lambda counts: F.aggregate(F.array_sort(counts), start, add, lambda s: F.when(s["count"] > 0, F.sqrt(s["squares"] / s["count"])))
+    base = history.groupBy(key).agg(F.avg("n").alias("mean"), F.collect_list(F.col("n").cast("double")).alias("counts"))
+    base = base.select(key, "mean", deviation(F.col("counts")).alias("deviation"))
     rows = current.select(key, "n").join(base, key, "left")
     gap = F.abs(F.col("n") - F.col("mean"))
     score = F.when(F.col("deviation") > 0, gap / F.col("deviation"))
