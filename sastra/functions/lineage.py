@@ -48,8 +48,9 @@ def numbered(df: DataFrame, *order: str, name: str = "n") -> DataFrame:
     """``df`` with its place from 1 by the columns ``order``, which should tell rows apart.
 
     Rows are range-partitioned and counted range by range; ranges get their offsets from one row each, so no task holds all rows.
+    ``df`` is computed once: finding the ranges reads all rows before they are dealt out.
     """
-    ranged = df.repartitionByRange(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *order)
+    ranged = cut(df).repartitionByRange(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *order)
     ranged = cut(ranged.withColumn("__range", F.spark_partition_id()))
     counts = ranged.groupBy("__range").agg(F.count("*").alias("__c"))
     offsets = counts.select("__range", (F.sum("__c").over(W.partitionBy(F.lit(0)).orderBy("__range")) - F.col("__c")).alias("__before"))  # one row a range

@@ -106,10 +106,10 @@ def in_order(findings: DataFrame) -> DataFrame:
 
     A group may hold most findings, so no window holds one: places come from a range-partitioned numbering, less the groups before.
     """
-    sizes = findings.groupBy("severity").agg(F.count("*").alias("n"))
+    rows = numbered(findings.withColumn("__rank", severity_rank(F.col("severity"), REPORT_RANK)), "__rank", "severity", "file_path", "line", "column", "rule_id", "message", name="at").drop("__rank")
+    sizes = rows.groupBy("severity").agg(F.count("*").alias("n"))  # of the numbered rows, so that the scan behind the findings runs once
     before = F.sum("n").over(W.partitionBy(F.lit(0)).orderBy(severity_rank(F.col("severity"), REPORT_RANK), "severity")) - F.col("n")  # one row a severity
     sizes = sizes.select(F.col("severity").alias("__s"), "n", before.alias("__before"))
-    rows = numbered(findings.withColumn("__rank", severity_rank(F.col("severity"), REPORT_RANK)), "__rank", "severity", "file_path", "line", "column", "rule_id", "message", name="at").drop("__rank")
     rows = rows.join(F.broadcast(sizes), F.col("severity").eqNullSafe(F.col("__s")))  # one row a severity
     return rows.withColumn("nth", F.col("at") - F.col("__before")).drop("__s", "__before")
 
