@@ -74,15 +74,16 @@ def normalise(content: Column) -> Column:
 def explode_lines(files: DataFrame, content: str = "content", keep_last_empty: bool = False) -> DataFrame:
     """PRJ-2: one row a line: ``line`` from 1, ``line_text`` without and ``raw_line`` with its newline.
 
-    The Python contract has no final empty line, the editor's has; an empty file has no line in the first. Texts are cut after
-    newlines, so that a line needs nothing but itself and the file's text doesn't travel with its lines.
+    The Python contract has no final empty line, the editor's has; an empty file has no line in the first. Texts are cut at
+    newlines, one plain character, and all but the last get theirs back; the file's text doesn't travel with its lines.
     """
     kept = [c for c in files.columns if c != content]
-    pieces = F.split(normalise(F.coalesce(F.col(content), F.lit(""))), r"(?<=\n)", -1)
-    rows = files.select(*kept, F.posexplode(pieces).alias("__p", "raw_line"))
+    pieces = F.split(normalise(F.coalesce(F.col(content), F.lit(""))), "\n", -1)
+    rows = files.select(*kept, pieces.alias("__pieces")).select(*kept, F.size("__pieces").alias("__n"), F.posexplode("__pieces").alias("__p", "line_text"))
+    line = F.col("__p") + 1
     if not keep_last_empty:
-        rows = rows.where("raw_line <> ''")
-    return rows.select(*kept, (F.col("__p") + 1).alias("line"), F.rtrim("raw_line", F.lit("\n")).alias("line_text"), "raw_line")
+        rows = rows.where((line < F.col("__n")) | (F.col("line_text") != ""))
+    return rows.select(*kept, line.alias("line"), "line_text", F.when(line < F.col("__n"), F.concat("line_text", F.lit("\n"))).otherwise(F.col("line_text")).alias("raw_line"))
 
 
 def line_count(content: Column) -> Column:

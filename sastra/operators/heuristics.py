@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import entropy, explode_lines, is_test_path, suffix
 from .hits import TYPE, explode_hits, hit
+from .rules import may_match
 
 # Ours: families of structured secrets, by the public prefixes of their vendors.
 SECRET_FAMILIES = (
@@ -49,16 +50,28 @@ def heuristic_findings(files: DataFrame) -> DataFrame:
     return explode_hits(rows, heuristic_hits(F.col("file_path"), F.col("line_text")))
 
 
+def _quotes(line: Column) -> Column:
+    return line.contains('"') | line.contains("'")
+
+
+def quotes_or_secret(line: Column) -> Column:
+    """A cheap test that holds for every line with a hit of :func:`secret_hits`."""
+    out = _quotes(line) & line.rlike(QUOTED)
+    for _, p in SECRET_FAMILIES:
+        out = out | (may_match(line, p, cased=True) & line.rlike(p))
+    return out
+
+
 def secret_hits(line: Column) -> Column:
     """SEC-1 (ours): structured secrets and quoted values of high entropy. The value itself never leaves this operator."""
     secret = lambda name, at, n: hit(rule_id=f"Secret: {name}", severity="critical", cwe="CWE-798", confidence="high", message="Secret value in source", column=at, length=n, analyzer="secret", layer_ord=4)
-    families = [F.when(line.rlike(p), secret(name, F.regexp_instr(line, F.lit(p)), F.length(F.regexp_substr(line, F.lit(p))))) for name, p in SECRET_FAMILIES]
-    value = F.regexp_extract(line, QUOTED, 1)
+    families = [F.when(may_match(line, p, cased=True) & line.rlike(p), secret(name, F.regexp_instr(line, F.lit(p)), F.length(F.regexp_substr(line, F.lit(p))))) for name, p in SECRET_FAMILIES]
+    value = F.when(_quotes(line), F.regexp_extract(line, QUOTED, 1)).otherwise("")
     random = F.when((F.length(value) >= LEAST_LENGTH) & (entropy(value) >= LEAST_BITS), secret("High Entropy Value", F.regexp_instr(line, F.lit(QUOTED)) + 1, F.length(value)))
     return F.array_compact(F.array(*families, random)).cast(TYPE)
 
 
 def secret_findings(files: DataFrame) -> DataFrame:
     """SEC-1 over files that aren't tests."""
-    rows = explode_lines(files.where(~is_test_path(F.col("file_path"))))
+    rows = explode_lines(files.where(~is_test_path(F.col("file_path")))).where(quotes_or_secret(F.col("line_text")))
     return explode_hits(rows, secret_hits(F.col("line_text")))

@@ -22,11 +22,13 @@ def line_layers(files: DataFrame, severities: Sequence[str] | None = None, custo
     """The three line layers in one pass: each line is split off once and all its hits are one array. Test files meet the heuristics only."""
     path, line = F.col("file_path"), F.col("line_text")
     chosen = rules.select_rules((*rules.CATALOG, *custom), severities)
-    seen = F.when(F.col("raw_line").rlike(rules.ANCHORS), rules.finding_hits(chosen, F.col("raw_line"), F.col("language"))) if not custom else rules.finding_hits(chosen, F.col("raw_line"), F.col("language"))
-    tested = is_test_path(path)
-    rows = explode_lines(files.where(~tested | suffix(path).isin(*heuristics.WEB, *heuristics.NATIVE)))
-    checked = F.when(~tested, F.concat(F.coalesce(seen, hits.none()), heuristics.secret_hits(line)))
-    return hits.explode_hits(rows, F.concat(F.coalesce(checked, hits.none()), heuristics.heuristic_hits(path, line)))
+    raw, language = F.col("raw_line"), F.col("language")
+    # what a path says is said once a file, not once a line
+    known = files.withColumns({"__tested": is_test_path(path), "__suffixed": suffix(path).isin(*heuristics.WEB, *heuristics.NATIVE)})
+    tested, suffixed = F.col("__tested"), F.col("__suffixed")
+    rows = explode_lines(known.where(~tested | suffixed)).where(suffixed | rules.any_match(chosen, raw, language) | heuristics.quotes_or_secret(line))
+    checked = F.when(~tested, F.concat(rules.finding_hits(chosen, raw, language), heuristics.secret_hits(line))).otherwise(hits.none())
+    return hits.explode_hits(rows, F.concat(checked, F.when(suffixed, heuristics.heuristic_hits(path, line)).otherwise(hits.none())))
 
 
 def layers(files: DataFrame, severities: Sequence[str] | None = None, custom=(), deep: bool = True) -> DataFrame:

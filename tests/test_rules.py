@@ -176,3 +176,23 @@ def test_plugins(spark):
     assert held.for_language("python") == ["all"]
     found = scan.scan(rows, plugins=held).collect()
     assert sorted((r["file_path"], r["rule_id"], r["severity"], r["analyzer"]) for r in found) == [("a.py", "p", "medium", "plugin:all"), ("b.go", "p", "medium", "plugin:all")]
+
+
+def test_lines_are_gated_by_texts_that_matches_need(spark):
+    # the cheap searches leave out nothing that a rule matches, whatever its case, and do leave out other lines
+    custom = ("(?i)ab|c", r"[a-z&&[^b]]x", r"\Q+\E1", "x{0,2}yy@", "(ab|cd)+[.]e", "[:=]", r"a\.b|\$")
+    chosen = [*rules.CATALOG, *(rules.Rule(f"c{i}", "low", r, ("*",), None) for i, r in enumerate(custom))]
+    bad = [line for _, line in LINES]
+    lines = [*bad, *map(str.upper, bad), *map(str.lower, bad), "ab", "C", "ax", "+1", "XXYY@", "CD.E", "plain words", "it's: so", "a=b", "$", "dES RC4", "described"]
+    for language in ("go", "python", "cpp", "ruby", "none"):
+        rows = spark.createDataFrame([(x, language) for x in lines], "line string, language string")
+        line, of = F.col("line"), F.col("language")
+        plain = F.lit(False)
+        for r in chosen:
+            plain = plain | (rules.applies(r, of) & line.rlike(rules.dialect(r.regex)))
+        got = rows.select(plain.alias("plain"), rules.any_match(chosen, line, of).alias("any"), (F.size(rules.hits(chosen, line, of)) > 0).alias("hits")).collect()
+        assert all(r["plain"] == r["any"] == r["hits"] for r in got) and {r["plain"] for r in got} == {True, False}
+    words = spark.createDataFrame([("described at length",), ("a token: here",), ("DES",)], "line string")
+    crypto, secret = (rules.CATALOG[i].regex for i in (7, 5))
+    got = words.select(rules.may_match(F.col("line"), crypto), rules.may_match(F.col("line"), secret)).collect()
+    assert [tuple(r) for r in got] == [(True, False), (False, False), (True, False)]
